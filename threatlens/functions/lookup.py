@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatlens import rules
+from threatlens import rules, session
 
 
 def literal_map(table: dict) -> Column:
@@ -38,23 +38,23 @@ def event_label(event_id: Column) -> Column:
 
 
 def severity_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, i) for i, s in enumerate(rules.SEVERITIES)],
-                                 "severity string, rank int")
+    return session.table(spark, [(s, i) for i, s in enumerate(rules.SEVERITIES)],
+                         "severity string, rank int")
 
 
 def event_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(rules.WINDOWS_EVENT_LABELS.items()),
-                                 "event_id int, event_description string")
+    return session.table(spark, list(rules.WINDOWS_EVENT_LABELS.items()),
+                         "event_id int, event_description string")
 
 
 def syslog_severity_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(rules.SYSLOG_SEVERITIES)),
-                                 "severity_code int, severity string")
+    return session.table(spark, list(enumerate(rules.SYSLOG_SEVERITIES)),
+                         "severity_code int, severity string")
 
 
 def syslog_facility_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(rules.SYSLOG_FACILITIES.items()),
-                                 "facility_code int, facility string")
+    return session.table(spark, list(rules.SYSLOG_FACILITIES.items()),
+                         "facility_code int, facility string")
 
 
 def with_event_label(events: DataFrame, event_id: str = "event_id") -> DataFrame:

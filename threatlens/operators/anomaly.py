@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threatlens import rules
+from threatlens import rules, session
 from threatlens.functions import lookup, text
 from threatlens.schemas import NODES
 
@@ -176,8 +176,8 @@ class Forest:
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
         spark = self.nodes.sparkSession
         s = self.scaler
-        spark.createDataFrame(
-            [(i, n, m, d, s.rows, self.sample, self.offset, self.profile)
+        session.table(
+            spark, [(i, n, m, d, s.rows, self.sample, self.offset, self.profile)
              for i, (n, m, d) in enumerate(zip(s.names, s.means, s.stds))],
             "position int, name string, mean double, std double, rows bigint, sample int, "
             "offset double, profile string").coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatlens import rules
+from threatlens import rules, session
 from threatlens.functions import text
 from threatlens.operators import whitelist
 from threatlens.operators.sliding import sliding_count
@@ -26,21 +26,39 @@ def enabled_rules(config: dict | None, profile: rules.Profile) -> list[rules.Pat
 
 
 def _with_texts(entries: DataFrame, profile: rules.Profile) -> DataFrame:
-    """Decode once per entry; every detector reads these columns."""
+    """Decode once per entry; every detector reads these columns.
+
+    A ``_low`` column is the lower-cased text, or null where the text is not
+    ASCII and a plain comparison could miss what a pattern would find.
+    """
     if profile.name == "strict":
-        return entries.withColumns({
+        texts = entries.withColumns({
             "_path": text.evaluated_once(text.detection_text(F.col("path"), F.col("protocol"))),
             "_referrer": text.evaluated_once(
                 text.url_decode_twice(F.coalesce(F.col("referrer"), F.lit(""))))})
-    return entries.withColumn("_path", text.evaluated_once(text.url_decode_once(F.col("path"))))
+        texts = texts.withColumn("_full", text.evaluated_once(F.concat_ws(" ", "_path", "_referrer")))
+    else:
+        texts = entries.withColumn("_path", text.evaluated_once(text.url_decode_once(F.col("path"))))
+        texts = texts.withColumn("_full", F.col("_path"))
+    return texts.withColumns({
+        f"_low{c}": text.evaluated_once(F.when(F.octet_length(c) == F.char_length(c), F.lower(c)))
+        for c in ("_path", "_full", "user_agent")})
 
 
-def _inspected(rule: rules.PatternRule) -> Column:
-    if rule.text == "user_agent":
-        return F.col("user_agent")
-    if rule.text == "path_and_referrer":
-        return F.concat_ws(" ", "_path", "_referrer")
-    return F.col("_path")
+def _inspected(rule: rules.PatternRule) -> str:
+    return {"path": "_path", "path_and_referrer": "_full", "user_agent": "user_agent"}[rule.text]
+
+
+def _hit(rule: rules.PatternRule) -> Column:
+    """Whether the rule matches; most texts lack every hint and skip the patterns."""
+    column = _inspected(rule)
+    low, hinted = F.col(f"_low{column}"), F.lit(False)
+    for needed in rule.hints:
+        together = low.contains(needed[0])
+        for literal in needed[1:]:
+            together = together & low.contains(literal)
+        hinted = hinted | together
+    return (low.isNull() | hinted) & F.col(column).rlike(text.any_of(rule.patterns))
 
 
 def _details(rule: rules.PatternRule, profile: rules.Profile) -> Column:
@@ -63,8 +81,8 @@ def _threat(det: int, threat_type: str, severity: Column, description: Column, p
 
 
 def _pattern_threat(rule: rules.PatternRule, profile: rules.Profile) -> Column:
-    """The rule's finding, or null: one walk of one alternation decides."""
-    inspected = _inspected(rule)
+    """The rule's finding, or null."""
+    inspected = F.col(_inspected(rule))
     if rule.payload == "match":
         payload = text.truncate(text.first_match(inspected, rule.patterns), 200)
     else:
@@ -73,7 +91,7 @@ def _pattern_threat(rule: rules.PatternRule, profile: rules.Profile) -> Column:
     description = F.format_string(
         rule.description, F.col("ip"), text.truncate(F.col("user_agent"), rule.agent_chars)) \
         if "%" in rule.description else F.lit(rule.description)
-    return F.when(inspected.rlike(text.any_of(rule.patterns)), _threat(
+    return F.when(_hit(rule), _threat(
         profile.order.index(rule.threat_type), rule.threat_type, F.lit(rule.severity),
         description, payload, F.lit(rule.confidence), _details(rule, profile)))
 
@@ -231,7 +249,7 @@ def detector_stats(entries: DataFrame, threats: DataFrame) -> DataFrame:
              .otherwise(F.lit("by_type")).alias("metric"),
             F.coalesce("threat_type", F.lit("")).alias("name"), "value"),
         # A total of zero must show when nothing was found.
-        entries.sparkSession.createDataFrame([("threats_detected", "", 0)],
-                                             "metric string, name string, value bigint")]
+        session.table(entries.sparkSession, [("threats_detected", "", 0)],
+                      "metric string, name string, value bigint")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]) \
         .groupBy("metric", "name").agg(F.sum("value").alias("value"))

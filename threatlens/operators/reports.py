@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatlens import rules
+from threatlens import rules, session
 from threatlens.functions import lookup, text
 
 ORDER = ("seq", "det")
@@ -164,8 +164,8 @@ def summary_rows(entries: DataFrame, threats: DataFrame, blocked: DataFrame | No
             F.lit("totals").alias("section"), F.lit("threats").alias("name"),
             F.col("threats").alias("value")))))).alias("m")).select("m.*")
     lines = _metric(entries.agg(F.count("*").alias("value")), "totals", "lines_processed")
-    zeros = spark.createDataFrame(
-        [("totals", n, 0) for n in ("lines_processed", "threats", "unique_attacker_ips", "blocked_ips")],
+    zeros = session.table(
+        spark, [("totals", n, 0) for n in ("lines_processed", "threats", "unique_attacker_ips", "blocked_ips")],
         "section string, name string, value bigint")
     out = expanded.unionByName(lines).unionByName(zeros)
     if blocked is not None:
@@ -233,8 +233,8 @@ def text_report(entries: DataFrame, threats: DataFrame, source_file: str = "",
 
     def fixed(section: int, lines: Sequence[str]) -> list[tuple]:
         return [(section, i, 0, line) for i, line in enumerate(lines)]
-    frame = spark.createDataFrame(
-        fixed(0, ["=" * 70, f"  {title}", "=" * 70, f"  Generated: {generated}",
+    frame = session.table(
+        spark, fixed(0, ["=" * 70, f"  {title}", "=" * 70, f"  Generated: {generated}",
                   f"  Source: {source_file}", "=" * 70, "", "SUMMARY", "-" * 40])
         + fixed(2, ["", "SEVERITY BREAKDOWN", "-" * 40])
         + fixed(4, ["", "THREAT TYPES", "-" * 40])

@@ -112,8 +112,11 @@ def alert_outbox(threats: DataFrame, profile: str = "classic") -> DataFrame:
 
 
 def write_threats(threats: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Findings as Parquet, partitioned by day and severity."""
-    (threats.withColumn("day", F.to_date("ts")).write.mode(mode)
+    """Findings as Parquet, partitioned by day and severity.
+
+    Rows are rebalanced first: few files per folder, and large folders split.
+    """
+    (threats.withColumn("day", F.to_date("ts")).hint("rebalance", "day", "severity").write.mode(mode)
      .partitionBy("day", "severity").parquet(path))
 
 

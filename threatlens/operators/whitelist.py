@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatlens import session
 from threatlens.functions.text import floor_div
 
 log = logging.getLogger(__name__)
@@ -55,7 +56,7 @@ def exclude_ips(entries: DataFrame, ips: Sequence[str], column: str = "ip") -> D
         return entries
     if len(listed) <= INLINE_NETWORKS:
         return entries.filter(F.col(column).isNull() | ~F.col(column).isin(*listed))
-    table = entries.sparkSession.createDataFrame([(ip,) for ip in listed], "_listed string")
+    table = session.table(entries.sparkSession, [(ip,) for ip in listed], "_listed string")
     return entries.join(_sized(table, len(listed)), F.col(column) == F.col("_listed"), "left_anti")
 
 
@@ -89,7 +90,7 @@ def exclude_networks(entries: DataFrame, listed: Sequence[str], column: str = "i
 
 
 def range_table(spark: SparkSession, ranges: Sequence[tuple[int, int]]) -> DataFrame:
-    return spark.createDataFrame(list(ranges), "lo bigint, hi bigint")
+    return session.table(spark, list(ranges), "lo bigint, hi bigint")
 
 
 def anti_join_ranges(entries: DataFrame, ranges: DataFrame, column: str = "ip",
@@ -187,8 +188,8 @@ def audit(entries: DataFrame, listed: Sequence[str], broad_prefix: int = 16) ->
                      float(net.num_addresses) if net is not None else None,
                      int(net.network_address) if v4 else None,
                      int(net.broadcast_address) if v4 else None))
-    table = spark.createDataFrame(
-        rows, "entry string, valid boolean, broad boolean, addresses double, lo bigint, hi bigint")
+    table = session.table(
+        spark, rows, "entry string, valid boolean, broad boolean, addresses double, lo bigint, hi bigint")
     per_ip = entries.groupBy("ip").agg(F.count("*").alias("n")).withColumn("_ip", ipv4_number(F.col("ip")))
     size = 1 << BUCKET_BITS
     buckets = table.filter("lo is not null").select("entry", "lo", "hi", F.explode(F.sequence(

@@ -12,6 +12,12 @@ from threatlens.operators import campaigns, detect, parsers, reports, respond
 from threatlens.sources import files
 
 
+def stage(rows: DataFrame, path: str) -> DataFrame:
+    """Writes rows as Parquet and reads them back: parse once, prune columns after."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Analysis:
     """Lazy entries and findings of one input, and the reports over them."""
@@ -38,8 +44,7 @@ class Analysis:
         findings, so this pays as soon as more than one of them is wanted.
         """
         spark = self.entries.sparkSession
-        self.entries.write.mode("overwrite").parquet(f"{path}/entries")
-        entries = spark.read.schema(self.entries.schema).parquet(f"{path}/entries")
+        entries = stage(self.entries, f"{path}/entries")
         found = detect.detect_all(entries, self.config, self.profile)
         respond.write_threats(found, f"{path}/threats")
         threats = spark.read.parquet(f"{path}/threats").drop("day")

@@ -587,8 +587,8 @@ def _(spark, d):
     WHEN regexp_matches(line, 'sqlmap') THEN 2 WHEN regexp_matches(line, '" 40[0-9] ') THEN 3 END AS rule_no FROM lines)
     JOIN (VALUES (1, 'union'), (2, 'tool'), (3, 'denied')) r(rule_no, name) USING (rule_no)""")
 def _(spark, d):
-    table = spark.createDataFrame(
-        [(1, "union", "(?i)union.+select"), (2, "tool", "sqlmap"), (3, "denied", '" 40[0-9] ')],
+    table = session.table(
+        spark, [(1, "union", "(?i)union.+select"), (2, "tool", "sqlmap"), (3, "denied", '" 40[0-9] ')],
         "rule_no int, name string, pattern string")
     return detect.match_rule_table(_lines(spark, d), table, "value").select(_id(), "rule_no", "name")
 
@@ -1146,9 +1146,13 @@ def _(spark, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Bridge, parsing, allow lists, all detectors and the summary."""
+    """Lines to entries to findings to the summary, with allow lists and all detectors.
+
+    Entries are staged: the pattern rules, the two passes of the window counter
+    and the line count then read columns instead of parsing lines again.
+    """
     session.prepare(spark)
-    entries = _entries(spark, d)
+    entries = analysis.stage(_entries(spark, d).drop("extra"), session.fresh_path(spark, "entries"))
     config = CONFIG | {"whitelist": {"ips": ["192.168.0.0/16"], "user_agents": ["GoogleBot"]}}
     return reports.summary_rows(entries, detect.detect_all(entries, config))
 

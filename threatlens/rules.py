@@ -53,6 +53,19 @@ STRICT_USER_AGENTS = (
     "(?i)gobuster", "(?i)wpscan", "(?i)havij", "(?i)acunetix", "(?i)nessus",
     "(?i)openvas", "(?i)burpsuite", "(?i)metasploit", "(?i)hydra", "(?i)w3af",
 )
+# What an ASCII text must contain, in lower case, for any pattern of the list to
+# match: each entry names texts that must all be there.
+STRICT_SQL_INJECTION_HINTS = (
+    ("'",), ("%27",), ("union", "select"), ("--",), ("#",), ("/*",), ("drop",), ("exec",), ("xp_cmdshell",),
+    ("information_schema",), ("load_file",), ("outfile",), ("or", "="), ("database",), ("concat",),
+)
+STRICT_PATH_TRAVERSAL_HINTS = (
+    ("../",), ("..\\",), ("%2e%2e",), ("/etc/",), ("\\windows\\system32",), ("/proc/self",), ("boot.ini",),
+)
+STRICT_XSS_HINTS = (
+    ("<script",), ("javascript",), ("onload",), ("onerror",), ("onclick",), ("onmouseover",), ("<iframe",),
+    ("alert",), ("document.cookie",),
+)
 STRICT_LOGIN_MARKERS = ("/login", "/wp-login", "/admin", "/auth", "/signin")
 
 # --- fixed values: classic profile patterns, in match order -----------------
@@ -103,6 +116,19 @@ CLASSIC_LOGIN_PATHS = (
     "/.env", "/.git/config", "/phpmyadmin/", "/xmlrpc.php",
 )
 
+CLASSIC_SQL_INJECTION_HINTS = (
+    ("'",), ("%27",), ("union", "select"), ("--",), ("#",), ("/*",), ("table",), ("database",), ("exec",),
+    ("xp_cmdshell",), ("sleep",), ("benchmark",), ("1", "="), ("char",),
+)
+CLASSIC_PATH_TRAVERSAL_HINTS = (
+    ("../",), ("..\\",), ("%2e%2e",), ("..%2f",), ("%252e",), ("/etc/",), ("\\windows\\system32",), ("boot.ini",),
+)
+CLASSIC_XSS_HINTS = (
+    ("<script",), ("javascript",), ("onload",), ("onclick",), ("onmouseover",), ("onerror",), ("onfocus",),
+    ("onblur",), ("document.",), ("alert",), ("prompt",), ("confirm",), ("eval",), ("%3cscript",), ("&#",),
+    ("data:text/html",),
+)
+
 # --- fixed values: log line patterns and time formats -----------------------
 ACCESS_STRICT_LINE = (
     r'(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s*([^"]*)"\s+'
@@ -172,6 +198,7 @@ class PatternRule:
     payload: str              # "text" (what was inspected) or "match" (what matched)
     description: str          # SQL format string; %1$s is the ip, %2$s the user agent
     confidence: float | None
+    hints: tuple[tuple[str, ...], ...]
     payload_chars: int | None = 200   # None: kept whole
     agent_chars: int | None = None    # how much of the agent the description shows
     optional: bool = True             # False: cannot be switched off
@@ -189,19 +216,27 @@ class Profile:
     contamination: float
 
 
+def literal_hints(patterns: tuple[str, ...]) -> tuple[tuple[str, ...], ...]:
+    """For patterns that are plain words."""
+    return tuple((p.removeprefix("(?i)"),) for p in patterns)
+
+
 # Descriptions and severities below are fixed values of the two profiles.
 STRICT = Profile(
     name="strict",
     rules=(
         PatternRule("sql_injection", "SQL_INJECTION", "CRITICAL", STRICT_SQL_INJECTION,
-                    "path_and_referrer", "text", "SQL Injection from %1$s", 0.95),
+                    "path_and_referrer", "text", "SQL Injection from %1$s", 0.95,
+                    STRICT_SQL_INJECTION_HINTS),
         PatternRule("path_traversal", "PATH_TRAVERSAL", "HIGH", STRICT_PATH_TRAVERSAL,
-                    "path", "text", "Path Traversal from %1$s", 0.90),
+                    "path", "text", "Path Traversal from %1$s", 0.90,
+                    STRICT_PATH_TRAVERSAL_HINTS),
         PatternRule("xss", "XSS", "HIGH", STRICT_XSS,
-                    "path_and_referrer", "text", "XSS attempt from %1$s", 0.90),
+                    "path_and_referrer", "text", "XSS attempt from %1$s", 0.90,
+                    STRICT_XSS_HINTS),
         PatternRule("suspicious_ua", "SUSPICIOUS_UA", "MEDIUM", STRICT_USER_AGENTS,
                     "user_agent", "text", "Suspicious UA from %1$s: %2$s", 0.85,
-                    payload_chars=None),
+                    literal_hints(STRICT_USER_AGENTS), payload_chars=None),
     ),
     order=("SQL_INJECTION", "PATH_TRAVERSAL", "XSS", "SUSPICIOUS_UA", "BRUTE_FORCE"),
     bruteforce_threshold=5, bruteforce_window=60,
@@ -211,14 +246,17 @@ CLASSIC = Profile(
     name="classic",
     rules=(
         PatternRule("sql_injection", "SQL_INJECTION", "HIGH", CLASSIC_SQL_INJECTION,
-                    "path", "match", "SQL Injection girişimi tespit edildi", None),
+                    "path", "match", "SQL Injection girişimi tespit edildi", None,
+                    CLASSIC_SQL_INJECTION_HINTS),
         PatternRule("path_traversal", "PATH_TRAVERSAL", "HIGH", CLASSIC_PATH_TRAVERSAL,
-                    "path", "match", "Path traversal saldırısı tespit edildi", None),
+                    "path", "match", "Path traversal saldırısı tespit edildi", None,
+                    CLASSIC_PATH_TRAVERSAL_HINTS),
         PatternRule("xss", "XSS", "MEDIUM", CLASSIC_XSS,
-                    "path", "match", "XSS girişimi tespit edildi", None),
+                    "path", "match", "XSS girişimi tespit edildi", None,
+                    CLASSIC_XSS_HINTS),
         PatternRule("suspicious_ua", "SUSPICIOUS_UA", "LOW", CLASSIC_USER_AGENTS,
                     "user_agent", "text", "Şüpheli User-Agent tespit edildi: %2$s", None,
-                    agent_chars=100, optional=False),
+                    literal_hints(CLASSIC_USER_AGENTS), agent_chars=100, optional=False),
     ),
     order=("BRUTE_FORCE", "DDOS", "SQL_INJECTION", "PATH_TRAVERSAL", "XSS", "SUSPICIOUS_UA"),
     bruteforce_threshold=100, bruteforce_window=60,

@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def build(app: str = "threatlens", cores: int | str = "*") -> SparkSession:
@@ -27,6 +30,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few fixed rows as part of the plan, without a job that ships them from Python."""
+    fields = T._parse_datatype_string(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return spark.createDataFrame(
+        pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, fields)],
+                 names=fields.fieldNames()), schema=fields)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatlens import session
 from threatlens.functions.text import floor_div
 from threatlens.sources.files import seq_of
 
@@ -65,8 +66,8 @@ def with_fields(events: DataFrame) -> DataFrame:
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, *row) for i, row in enumerate(TEMPLATES)],
+    return session.table(
+        spark, [(i, *row) for i, row in enumerate(TEMPLATES)],
         "template int, method string, path string, status int, agent string")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from threatlens import session
 from threatlens.operators.sliding import latest_counts, sliding_count
 
 
@@ -92,7 +93,7 @@ class SlidingCounter:
             if newest is not None:
                 state = state.filter(F.col("_us") >= newest - (self.window + self.lateness) * 1_000_000)
             state.write.mode("overwrite").parquet(f"{self.path}/state/batch={batch_id}")
-            spark.createDataFrame([(newest, stats["late"])], "newest bigint, late bigint") \
+            session.table(spark, [(newest, stats["late"])], "newest bigint, late bigint") \
                 .coalesce(1).write.mode("overwrite").parquet(f"{self.path}/progress/batch={batch_id}")
         finally:
             rows.unpersist()

@@ -98,7 +98,11 @@ def drain_latest(stream: DataFrame, path: str, checkpoint: str, mode: str = "upd
 
 
 def block_stream(threats: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """One block per address within ``ttl``; the state of older addresses is dropped."""
+    """One block per address within ``ttl``.
+
+    An address is forgotten, and can be blocked again, once the newest time
+    seen by earlier batches is ``ttl`` past the end of its block.
+    """
     return (respond.blockable(threats).withColumnRenamed("source_ip", "ip")
             .withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["ip"])
             .select("ip", F.col("ts").alias("blocked_at"), "threat_type", "severity"))
