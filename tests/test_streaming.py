@@ -67,7 +67,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_blocks_once_per_ttl(spark, tmp_path):
     schema = "source_ip string, ts timestamp, threat_type string, severity string"
     base = datetime(2024, 1, 1, tzinfo=timezone.utc)
-    for i, (ip, minutes) in enumerate([("a", 0), ("a", 5), ("b", 6), ("c", 200), ("a", 300)]):
+    for i, (ip, minutes) in enumerate([("a", 0), ("a", 5), ("b", 6), ("c", 200), ("c", 210), ("a", 300)]):
         spark.createDataFrame([(ip, base + timedelta(minutes=minutes), "XSS", "HIGH")], schema) \
             .coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema) \

@@ -140,6 +140,18 @@ def _metric(df: DataFrame, section: str, name: Column | str = "", value: str = "
                      F.col(value).cast("bigint").alias("value"))
 
 
+def _traffic_totals(entries: DataFrame, threats: DataFrame) -> DataFrame:
+    """Lines, requests and distinct addresses of traffic and findings, in one pass over either."""
+    addresses = entries.select("ip", F.lit(1).alias("n")).unionByName(
+        threats.select(F.col("source_ip").alias("ip"), F.lit(0).alias("n")))
+    totals = addresses.groupBy("ip").agg(F.sum("n").alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), F.count("*").alias("ips"))
+    return totals.select(F.explode(F.array(*[
+        F.struct(F.lit("totals").alias("section"), F.lit(name).alias("name"), F.col(c).alias("value"))
+        for name, c in (("lines_processed", "lines"), ("requests", "lines"), ("unique_ips", "ips"))])).alias("m")
+    ).select("m.*")
+
+
 def summary_rows(entries: DataFrame, threats: DataFrame, blocked: DataFrame | None = None,
                  profile: str = "strict") -> DataFrame:
     """The summary as (section, name, value) rows.
@@ -163,7 +175,10 @@ def summary_rows(entries: DataFrame, threats: DataFrame, blocked: DataFrame | No
         F.when(F.col("threats").isNotNull(), F.struct(
             F.lit("totals").alias("section"), F.lit("threats").alias("name"),
             F.col("threats").alias("value")))))).alias("m")).select("m.*")
-    lines = _metric(entries.agg(F.count("*").alias("value")), "totals", "lines_processed")
+    if profile == "classic":
+        lines = _traffic_totals(entries, threats)
+    else:
+        lines = _metric(entries.agg(F.count("*").alias("value")), "totals", "lines_processed")
     zeros = session.table(
         spark, [("totals", n, 0) for n in ("lines_processed", "threats", "unique_attacker_ips", "blocked_ips")],
         "section string, name string, value bigint")
@@ -171,10 +186,6 @@ def summary_rows(entries: DataFrame, threats: DataFrame, blocked: DataFrame | No
     if blocked is not None:
         out = out.unionByName(_metric(
             blocked.agg(F.count_distinct("ip").alias("value")), "totals", "blocked_ips"))
-    if profile == "classic":
-        everyone = union_ips(entries.select("ip"), threats.select(F.col("source_ip").alias("ip")))
-        out = out.unionByName(_metric(everyone.agg(F.count("*").alias("value")), "totals", "unique_ips"))
-        out = out.unionByName(lines.withColumn("name", F.lit("requests")))
     return out.groupBy("section", "name").agg(F.sum("value").alias("value"))
 
 
@@ -226,7 +237,9 @@ def text_report(entries: DataFrame, threats: DataFrame, source_file: str = "",
     Only limited or fixed-size parts are listed, so the sort and the write are small.
     """
     spark = entries.sparkSession
-    rows = summary_rows(entries, threats, blocked)
+    # A few counters, used by several parts below: computed once.
+    rows = session.table(spark, [tuple(r) for r in summary_rows(entries, threats, blocked).collect()],
+                         "section string, name string, value bigint")
     totals = rows.filter("section = 'totals'")
     labels = {"lines_processed": "Lines Processed  ", "threats": "Threats Detected ",
               "unique_attacker_ips": "Unique Attackers ", "blocked_ips": "Blocked IPs      "}

@@ -61,13 +61,19 @@ def _id() -> Column:
     return F.col("seq.pos").alias("event_id")
 
 
+def _staged_threats(spark: SparkSession, d: str, profile: str = "strict") -> DataFrame:
+    """The narrow columns of the findings, written once for queries that read them repeatedly."""
+    narrow = _threats(spark, d, profile).select("seq", "det", "threat_type", "severity", "source_ip", "ts")
+    return analysis.stage(narrow, session.fresh_path(spark, "threats"))
+
+
 def _iso(column: str = "ts", name: str = "ts") -> Column:
     return text.iso_time(F.col(column)).alias(name)
 
 
 def _write_lines(lines: DataFrame, path: str) -> str:
     """Text files whose name order is the arrival order."""
-    (lines.repartitionByRange(8, "seq").sortWithinPartitions("seq").select("value")
+    (lines.repartitionByRange("seq").sortWithinPartitions("seq").select("value")
      .write.mode("overwrite").text(path))
     return path
 
@@ -704,7 +710,7 @@ def _(spark, d):
     UNION ALL SELECT 'totals', 'unique_ips', count(*) FROM (SELECT ip FROM classic UNION
         SELECT source_ip FROM cthreats)""")
 def _(spark, d):
-    entries, threats = _entries(spark, d, "classic"), _threats(spark, d, "classic")
+    entries, threats = _entries(spark, d, "classic"), _staged_threats(spark, d, "classic")
     return reports.summary_rows(entries, threats, respond.block_decisions(threats), "classic")
 
 
@@ -773,7 +779,7 @@ _TOP_SQL = """SELECT source_ip AS ip, count(*) AS count, min(event_id * 10 + det
     UNION ALL SELECT 'recent_threats', row_number() OVER (ORDER BY event_id DESC, det DESC), threat_type, event_id
         FROM (SELECT * FROM threats ORDER BY event_id DESC, det DESC LIMIT 50) r""")
 def _(spark, d):
-    return reports.dashboard_stats(_entries(spark, d), _threats(spark, d))
+    return reports.dashboard_stats(_entries(spark, d), _staged_threats(spark, d))
 
 
 @query("period_reports", """SELECT threat_type, strftime(period, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS period_start,
@@ -968,21 +974,17 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     return bridge.with_fields(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
 
 
-def _slices(spark: SparkSession, d: str, n: int = 3) -> str:
-    """The events as n consecutive drops, each arriving after the one before."""
+def _in_drops(spark: SparkSession, d: str, consume: Callable[[DataFrame], DataFrame | None],
+              n: int = 3) -> DataFrame | None:
+    """The events in n consecutive drops; ``consume`` reads what is new after each of them."""
     events = spark.read.parquet(f"{d}/events.parquet")
     last = events.agg(F.max("event_id")).first()[0] + 1
-    path = session.fresh_path(spark, "drops")
+    path, out = session.fresh_path(spark, "drops"), None
     for i in range(n):
         arriving = events.filter(F.col("event_id").between(last * i // n, last * (i + 1) // n - 1))
-        arriving.coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
-def _drop_stream(spark: SparkSession, d: str) -> DataFrame:
-    path = _slices(spark, d)
-    schema = spark.read.parquet(path).schema
-    return bridge.with_fields(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+        arriving.write.mode("append").parquet(path)
+        out = consume(bridge.with_fields(spark.readStream.schema(events.schema).parquet(path)))
+    return out
 
 
 def _paths(spark: SparkSession) -> tuple[str, str]:
@@ -1010,10 +1012,13 @@ def _(spark, d):
 
 @query("stream_sliding_count", "SELECT event_id, ip, n AS window_count FROM s_counted")
 def _(spark, d):
-    entries = detect.bruteforce_candidates(parsers.parse_nginx(bridge.access_lines(_drop_stream(spark, d))))
     out, checkpoint = _paths(spark)
     counter = counters.SlidingCounter(out, window_seconds=o.WINDOW)
-    counter.start(entries.select("ip", "ts", "seq"), checkpoint, poll_interval=None).awaitTermination()
+
+    def consume(events):
+        entries = detect.bruteforce_candidates(parsers.parse_nginx(bridge.access_lines(events)))
+        counter.start(entries.select("ip", "ts", "seq"), checkpoint, poll_interval=None).awaitTermination()
+    _in_drops(spark, d, consume)
     return counter.results(spark).select(_id(), "ip", "window_count")
 
 
@@ -1021,10 +1026,13 @@ def _(spark, d):
     '%Y-%m-%dT%H:%M:%S') || '+00:00' AS window_start, count(*) AS count FROM (SELECT ip, unnest(generate_series(
     {o.seconds()} // 3600 - 5, {o.seconds()} // 3600)) AS start FROM entries) GROUP BY ip, start""")
 def _(spark, d):
-    entries = parsers.parse_nginx(bridge.access_lines(_drop_stream(spark, d))).select("ip", "ts")
-    counted = counters.window_counts(entries, "6 hours", "1 hour")
-    return tail.drain_latest(counted, *_paths(spark), "update", ["ip", "window_start"]).select(
-        "ip", _iso("window_start", "window_start"), "count")
+    paths = _paths(spark)
+
+    def consume(events):
+        entries = parsers.parse_nginx(bridge.access_lines(events)).select("ip", "ts")
+        counted = counters.window_counts(entries, "6 hours", "1 hour")
+        return tail.drain_latest(counted, *paths, "update", ["ip", "window_start"])
+    return _in_drops(spark, d, consume).select("ip", _iso("window_start", "window_start"), "count")
 
 
 @query("stream_sessions", f"""SELECT source_ip AS ip, threat_type, {o.iso('session')} AS session_start,
@@ -1033,8 +1041,12 @@ def _(spark, d):
     lag({o.seconds()}) OVER (PARTITION BY source_ip, threat_type ORDER BY ts, event_id) >= {_GAP}, true) AS fresh
     FROM ({_ROWWISE}) t) f) s GROUP BY ALL""")
 def _(spark, d):
-    found = tail.parse_detect(bridge.access_lines(_drop_stream(spark, d))).select("source_ip", "threat_type", "ts")
-    return tail.drain_latest(counters.session_counts(found, "1 day"), *_paths(spark), "complete").select(
+    paths = _paths(spark)
+
+    def consume(events):
+        found = tail.parse_detect(bridge.access_lines(events)).select("source_ip", "threat_type", "ts")
+        return tail.drain_latest(counters.session_counts(found, "1 day"), *paths, "complete")
+    return _in_drops(spark, d, consume).select(
         "ip", "threat_type", _iso("session_start", "session_start"), "attempts")
 
 
@@ -1048,8 +1060,12 @@ def _(spark, d):
 
 @query("stream_live_stats", f"SELECT threat_type, severity, count(*) AS count FROM ({_ROWWISE}) t GROUP BY ALL")
 def _(spark, d):
-    found = tail.parse_detect(bridge.access_lines(_drop_stream(spark, d)))
-    return tail.drain_latest(tail.live_stats(found), *_paths(spark), "complete")
+    paths = _paths(spark)
+
+    def consume(events):
+        found = tail.parse_detect(bridge.access_lines(events))
+        return tail.drain_latest(tail.live_stats(found), *paths, "complete")
+    return _in_drops(spark, d, consume)
 
 
 # --- models and external scoring ----------------------------------------------

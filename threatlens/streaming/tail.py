@@ -100,8 +100,9 @@ def drain_latest(stream: DataFrame, path: str, checkpoint: str, mode: str = "upd
 def block_stream(threats: DataFrame, ttl: str = "1 hour") -> DataFrame:
     """One block per address within ``ttl``.
 
-    An address is forgotten, and can be blocked again, once the newest time
-    seen by earlier batches is ``ttl`` past the end of its block.
+    An address is forgotten at the end of the batch whose watermark (the newest
+    time of earlier batches less ``ttl``) passes the end of its block; findings
+    after that batch block it again.
     """
     return (respond.blockable(threats).withColumnRenamed("source_ip", "ip")
             .withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["ip"])
