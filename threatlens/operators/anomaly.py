@@ -197,17 +197,21 @@ def load(spark: SparkSession, path: str) -> Forest:
 
 def train(entries: DataFrame, profile: str = "strict", contamination: float | None = None,
           trees: int = 100, seed: int = 42) -> Forest:
-    """Fits a forest; needs at least 10 entries (strict) or one (classic)."""
+    """Fits a forest; needs at least 10 entries (strict) or one (classic).
+
+    The features are staged, because scaling, sampling and the cut each read them.
+    """
     p = rules.profile(profile)
     contamination = p.contamination if contamination is None else contamination
     names = feature_names(profile)
-    rows = features(entries, profile)
+    spark = entries.sparkSession
+    rows = session.stage(features(entries, profile).select("seq", *[f"f_{n}" for n in names]),
+                         session.fresh_path(spark, "features"))
     scaler = fit_scaler(rows, names)
     needed = 10 if profile == "strict" else 1
     if scaler.rows < needed:
         raise ValueError(f"need at least {needed} entries, got {scaler.rows}")
     scaled = scaler.apply(rows)
-    spark = entries.sparkSession
     built = _tree_samples(scaled, names, scaler.rows, trees, seed) \
         .groupBy("tree").applyInPandas(_grow(seed), NODES)
     # At most 511 nodes per tree; kept as rows of the plan so they are grown once.

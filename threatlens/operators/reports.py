@@ -215,7 +215,7 @@ def dashboard_stats(entries: DataFrame, threats: DataFrame, top: int = 10, last:
     """Totals, breakdowns, top addresses and latest findings: (section, position, name, value)."""
     counters = summary_rows(entries, threats).filter(
         (F.col("section") != "totals") | F.col("name").isin("lines_processed", "threats")) \
-        .select("section", F.lit(0).alias("position"), "name", "value")
+        .select("section", F.lit(0).cast("bigint").alias("position"), "name", "value")
     return counters.unionByName(_ranked(top_attackers(threats, top), "top_ips", [F.desc("count"), F.col("first")],
                                         F.col("ip"), F.col("count"))) \
         .unionByName(_ranked(recent(threats.select("threat_type", *ORDER), last), "recent_threats",
@@ -225,7 +225,7 @@ def dashboard_stats(entries: DataFrame, threats: DataFrame, top: int = 10, last:
 def _ranked(limited: DataFrame, section: str, order: Sequence[Column], name: Column, value: Column) -> DataFrame:
     # The input is already limited to a handful of rows.
     position = F.row_number().over(Window.partitionBy(F.lit(section)).orderBy(*order))
-    return limited.select(F.lit(section).alias("section"), position.alias("position"),
+    return limited.select(F.lit(section).alias("section"), position.cast("bigint").alias("position"),
                           name.alias("name"), value.cast("bigint").alias("value"))
 
 

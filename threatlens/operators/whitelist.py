@@ -179,7 +179,7 @@ def audit(entries: DataFrame, listed: Sequence[str], broad_prefix: int = 16) ->
     """
     spark = entries.sparkSession
     rows = []
-    for entry in listed:
+    for entry in dict.fromkeys(listed):
         parsed, _ = networks([entry])
         net = parsed[0] if parsed else None
         v4 = net is not None and net.version == 4

@@ -7,17 +7,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatlens import rules
+from threatlens import rules, session
 from threatlens.operators import campaigns, detect, parsers, reports, respond
 from threatlens.sources import files
 
 
-def stage(rows: DataFrame, path: str) -> DataFrame:
-    """Writes rows as Parquet and reads them back: parse once, prune columns after."""
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 @dataclass(frozen=True)
 class Analysis:
     """Lazy entries and findings of one input, and the reports over them."""
@@ -44,7 +38,7 @@ class Analysis:
         findings, so this pays as soon as more than one of them is wanted.
         """
         spark = self.entries.sparkSession
-        entries = stage(self.entries, f"{path}/entries")
+        entries = session.stage(self.entries, f"{path}/entries")
         found = detect.detect_all(entries, self.config, self.profile)
         respond.write_threats(found, f"{path}/threats")
         threats = spark.read.parquet(f"{path}/threats").drop("day")
@@ -75,6 +69,9 @@ def analyze_lines(lines: DataFrame, fmt: str = "nginx", profile: str = "strict",
 def analyze_entries(entries: DataFrame, profile: str = "strict", config: dict | None = None,
                     source: str = "") -> Analysis:
     rules.profile(profile)
+    if "ip" not in entries.columns:
+        raise ValueError("these records carry no address; detectors need access-log style entries "
+                         "(for syslog, the strict profile gives them)")
     return Analysis(entries, detect.detect_all(entries, config, profile), profile, config, source)
 
 

@@ -64,7 +64,7 @@ def _id() -> Column:
 def _staged_threats(spark: SparkSession, d: str, profile: str = "strict") -> DataFrame:
     """The narrow columns of the findings, written once for queries that read them repeatedly."""
     narrow = _threats(spark, d, profile).select("seq", "det", "threat_type", "severity", "source_ip", "ts")
-    return analysis.stage(narrow, session.fresh_path(spark, "threats"))
+    return session.stage(narrow, session.fresh_path(spark, "threats"))
 
 
 def _iso(column: str = "ts", name: str = "ts") -> Column:
@@ -381,8 +381,8 @@ _SPECIAL = f"len(path) - len(translate(path, {o.q(rules.STRICT_SPECIAL_CHARS)},
 def _(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet")
     return _entries(spark, d, "classic").select(
-        F.col("seq.pos").alias("id"), text.query_params(F.col("path")).alias("params")).unionByName(
-        pages.select(F.col("page_id").alias("id"), text.query_params(F.col("url")).alias("params")))
+        F.col("seq.pos").alias("id"), text.query_params(F.col("path")).cast("bigint").alias("params")).unionByName(
+        pages.select(F.col("page_id").alias("id"), text.query_params(F.col("url")).cast("bigint").alias("params")))
 
 
 @query("fn_special_chars", f"""SELECT event_id, {_SPECIAL} AS n,
@@ -484,7 +484,7 @@ def _(spark, d):
 _AUDIT = ["10.0.0.0/8", "10.0.0.16/28", bridge.BRUTE_FORCE_IP, "not an address"]
 
 
-@query("whitelist_audit", f"""SELECT entry, valid, broad, addresses, coalesce(n, 0) AS rows_hidden FROM (
+@query("whitelist_audit", f"""SELECT entry, valid, broad, CAST(addresses AS DOUBLE) AS addresses, coalesce(n, 0) AS rows_hidden FROM (
     {o.values([(e, i) for i, e in enumerate(_AUDIT)])}) l(entry, no) JOIN ({o.values([
         (0, "true", "true", 2.0 ** 24, 167772160, 184549375), (1, "true", "false", 16.0, 167772176, 167772191),
         (2, "true", "false", 1.0, 3325256781, 3325256781)]).replace("'true'", "true").replace("'false'", "false")},
@@ -859,7 +859,7 @@ def _(spark, d):
     from pyspark.sql import Window
     ranked = reports.sort_types(_threats(spark, d, "classic"), "classic")    # a row per type
     position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("count"), "first"))
-    return ranked.select("threat_type", "count", position.alias("position"))
+    return ranked.select("threat_type", "count", position.cast("bigint").alias("position"))
 
 
 @query("severity_order", f"""SELECT s.severity, 3 - rank AS position, count(event_id) AS count FROM (
@@ -1168,7 +1168,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     and the line count then read columns instead of parsing lines again.
     """
     session.prepare(spark)
-    entries = analysis.stage(_entries(spark, d).drop("extra"), session.fresh_path(spark, "entries"))
+    entries = session.stage(_entries(spark, d).drop("extra"), session.fresh_path(spark, "entries"))
     config = CONFIG | {"whitelist": {"ips": ["192.168.0.0/16"], "user_agents": ["GoogleBot"]}}
     return reports.summary_rows(entries, detect.detect_all(entries, config))
 
