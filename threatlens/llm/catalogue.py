@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlens import session
-from threatlens.llm import exact, packing, shared, simhash, token_files
+from threatlens.llm import (exact, language, mixing, packing, quality, shared, simhash, token_files, weak_rules)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +52,26 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.documents(spark, sf_dir))
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.scored(shared.documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op3_weak_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.judged(shared.documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "posterior")
+
+
+@query("op7_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(shared.documents(spark, sf_dir))
+
+
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.amounts(shared.documents(spark, sf_dir))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,14 +11,22 @@ from pyspark.sql import functions as F
 
 from threatlens import session
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 #: A key counts as hot from this share of all rows on, so at most 1,000 keys can be hot.
 HOT_SHARE = 1000
 HOT_LEAST = 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Batches to Python are bounded in rows and bytes, whatever the length of a text."""
+    """Batches to Python are bounded in rows and bytes, whatever the length of a text.
+
+    Python workers find this package as the driver did, also where PYTHONPATH does not say so.
+    """
     session.prepare(spark)
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, known]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
