@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlens import session
-from threatlens.llm import (exact, language, mixing, packing, quality, shared, simhash, token_files, weak_rules)
+from threatlens.llm import (exact, language, mixing, packing, quality, secret_scan, shared, simhash, spans, token_files,
+                            weak_rules)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,3 +76,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mixing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(shared.documents(spark, sf_dir))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(shared.documents(spark, sf_dir))
+    counts = [F.size(F.filter("base", _of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in secret_scan.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.written(F.col("spans")).alias("spans"))
+
+
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+@query("op8_sentence_spans")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.deduplicated(shared.documents(spark, sf_dir)).select(
+        "doc_id", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), "removed", "text")
