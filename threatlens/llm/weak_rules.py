@@ -24,6 +24,8 @@ from threatlens.llm import native, shared
 WINDOW = 5
 GOOD, BAD, ABSTAIN = 1, 0, 2
 ROUNDS = 200
+#: A word of letters with at most one mark behind it.
+PLAIN_WORD = r"(?<![^\x20\x09-\x0D])[\p{L}’'-]++[.,;:!?]?(?![^\x20\x09-\x0D])"
 #: Bounds of an estimated accuracy: rules are better than chance and never infallible.
 LEAST, MOST = 0.55, 0.99
 
@@ -63,31 +65,38 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", native.bound(native.words(text), of_words).alias("w"), native.bound(lines, of_lines).alias("l"),
         native.count_of(text, "#*$%&|<>").alias("n_symbols"), native.count_of(text, "A-Z").alias("n_upper"),
-        native.count_of(text, ".?").alias("n_stops"), native.count_of(text, "!").alias("n_cries")).select(
-        "doc_id", "w.*", "l.*", "n_symbols", "n_upper", "n_stops", "n_cries")
+        native.count_of(text, ".?").alias("n_stops"), native.count_of(text, "!").alias("n_cries"),
+        native.count_of(text, r"\p{L}").alias("n_letters"),
+        F.regexp_count(text, F.lit(PLAIN_WORD)).cast("long").alias("n_plain")).select(
+        "doc_id", "w.*", "l.*", "n_symbols", "n_upper", "n_stops", "n_cries", "n_letters", "n_plain")
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    vote = F.when(bad, BAD)
+    return (vote if good is None else vote.when(good, GOOD)).otherwise(ABSTAIN)
 
 
 def votes() -> dict[str, Column]:
-    """Each rule's vote, from the columns of ``measured``."""
+    """Each rule's vote, from the columns of ``measured``.
+
+    Most rules look for one fault; a text without it may have others, so they
+    abstain.  Three tell what good texts look like and vote either way.
+    """
     n, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
-    length, symbols, equal = chars / n, F.col("n_symbols") / n, F.col("n_dup_lines") / lines
-    repeated, upper, cries = F.col("n_repeat_words") / n, F.col("n_upper") / chars, F.col("n_cries") / n
-    variety, stops = F.log1p(F.col("n_distinct")) / F.log1p(n), F.col("n_stops") / n
+    length, plain, stops = chars / n, F.col("n_plain") / n, F.col("n_stops") / n
     enough = n >= 20
     return {
-        "word_length": _vote(length.between(3.5, 9), (length < 2.5) | (length > 12)),
-        "symbols": _vote(symbols < 0.05, symbols > 0.3),
-        "equal_lines": _vote((equal == 0) & (lines > 1), equal > 0.3),
-        "repeated_words": _vote(enough & (repeated == 0), enough & (repeated > 0.2)),
-        "upper_case": _vote(upper < 0.12, upper > 0.4),
-        "variety": _vote(enough & (variety > 0.8), enough & (variety < 0.6)),
-        "sentences": _vote(stops.between(0.02, 0.5), enough & (stops == 0)),
-        "cries": _vote(cries < 0.05, cries > 0.3),
+        "word_length": _vote((length < 2.5) | (length > 12), length.between(3.5, 9)),
+        "symbols": _vote(F.col("n_symbols") / n > 0.3),
+        "equal_lines": _vote(F.col("n_dup_lines") / lines > 0.3),
+        "repeated_words": _vote(enough & (F.col("n_repeat_words") / n > 0.2)),
+        "upper_case": _vote(F.col("n_upper") / chars > 0.4),
+        "variety": _vote(enough & (F.log1p("n_distinct") / F.log1p(n) < 0.6)),
+        "sentences": _vote(enough & (stops == 0), stops.between(0.02, 0.5)),
+        "cries": _vote(F.col("n_cries") / n > 0.3),
+        "letters": _vote(F.col("n_letters") / chars < 0.75),
+        "plain_words": _vote(plain < 0.6, plain > 0.9),
     }
 
 
@@ -139,7 +148,7 @@ def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     rows = shared.staged(measured(docs), "rule-counts")
     rules = votes()
     counted = rows.select(*[v.alias(k) for k, v in rules.items()]).groupBy(*rules).agg(F.count("*").alias("n"))
-    patterns = {tuple(r[:-1]): r.n for r in counted.collect()}      # at most 3 ** 8
+    patterns = {tuple(r[:-1]): r.n for r in counted.collect()}      # at most 3 ** 10
     prior, accuracy = estimate(patterns, len(rules))
     odds = F.lit(math.log(prior / (1 - prior)))
     for vote, a in zip(rules.values(), accuracy):
