@@ -44,3 +44,35 @@ def test_model_does_not_depend_on_partitions(traffic):
 def test_too_few_rows(traffic):
     with pytest.raises(ValueError):
         anomaly.train(traffic.limit(5))
+
+
+def test_samples_come_from_all_rows(spark):
+    """Above and below any fixed pool size every tree gets its own whole sample."""
+    from pyspark.sql import functions as F
+    rows = spark.range(100_000).select(
+        F.struct(F.lpad((F.col("id") % 8).cast("string"), 3, "0").alias("part"), F.col("id").alias("pos")).alias("seq"),
+        F.col("id").cast("double").alias("z_a"))
+    found = anomaly._tree_samples(rows, ("a",), 100_000, 30, 42).select("tree", F.col("x")[0].alias("v")).collect()
+    per_tree = {}
+    for tree, v in found:
+        per_tree.setdefault(tree, set()).add(v)
+    assert len(per_tree) == 30 and all(len(s) == 256 for s in per_tree.values())
+    assert len(set().union(*per_tree.values())) > 7000      # trees hardly share rows
+    assert min(v for _, v in found) < 1000 and max(v for _, v in found) > 99_000
+    small = anomaly._tree_samples(rows.limit(100), ("a",), 100, 5, 1, max_samples=40).groupBy("tree").count().collect()
+    assert [r["count"] for r in small] == [40] * 5
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=3000), np.repeat(0.25, 900), [1e9, -1e-9, 5.0]])
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for share in (0.0, 0.05, 0.1, 0.5, 0.617, 1.0):
+        assert anomaly.quantile(rows, "v", share, len(values)) == pytest.approx(np.quantile(values, share), abs=1e-12)
+
+
+def test_training_result(traffic):
+    forest = anomaly.train(traffic, contamination=0.1, trees=10)
+    assert forest.training_samples == 606
+    flagged = forest.score(traffic).filter("is_anomaly").count()
+    assert forest.anomalies_in_training == flagged <= 0.1 * 606

@@ -166,3 +166,12 @@ def test_custom_rules(spark):
     got = detect.detect_custom(df, custom, F.col("t")).orderBy("id", "rule_no").collect()
     assert [(r.id, r.rule, r.severity, r.payload) for r in got] == [
         (1, "k", "CRITICAL", "API_KEY=abc"), (1, "w", "LOW", "more"), (2, "w", "LOW", "none")]
+
+
+def test_a_table_of_six_thousand_rules(spark):
+    table = spark.createDataFrame([(i, f"r{i}", f"(?i)needle{i}x") for i in range(6000)],
+                                  "rule_no int, name string, pattern string")
+    rows = spark.createDataFrame([(1, "a NEEDLE5999X"), (2, "needle7x needle3x"), (3, "nothing"), (4, None)],
+                                 "id int, line string")
+    found = {r.id: r.name for r in detect.match_rule_table(rows, table, "line").collect()}
+    assert found == {1: "r5999", 2: "r3"}

@@ -115,5 +115,35 @@ def test_prompts_and_scorer(entries):
     batches = scoring.batch_prompts(df, 10, "H:").orderBy("batch").collect()
     assert [b.lines for b in batches] == [10, 10, 5] and batches[1].prompt.startswith("H:1.1.1.1 - - ")
     assert scoring.head_prompt(df, 2, "").first().prompt.count("\n") == 1
-    scored = scoring.score_external(scoring.entry_prompts(df)).orderBy("seq").collect()
+    scored = scoring.score_external(scoring.entry_prompts(df), scoring.pattern_scorer("(?i)nikto")).orderBy("seq").collect()
     assert [r.seq.pos for r in scored if r.reply.is_threat] == [7]
+
+
+def test_clean_logs_materialize(entries, tmp_path):
+    from threatlens.plans import analysis
+    clean = analysis.analyze_entries(entries([("1.1.1.1", "/about", 200, "Mozilla/5.0", i) for i in range(3)]))
+    stored = clean.materialize(str(tmp_path / "run"))
+    assert stored.threats.count() == 0 and stored.threats.columns == clean.threats.columns
+    stored.write_reports(str(tmp_path / "report"))
+
+
+def test_undated_findings_keep_their_campaign(spark):
+    from threatlens.operators import campaigns
+    rows = [("9.9.9.9", "XSS", "Mozilla", None, ("p", 0)), ("9.9.9.9", "XSS", "Mozilla", None, ("p", 1)),
+            ("9.9.9.9", "XSS", "Mozilla", "2024-01-15 10:00:00", ("p", 2))]
+    threats = spark.createDataFrame(rows, "source_ip string, threat_type string, user_agent string, t string, "
+                                          "seq struct<part:string,pos:bigint>").selectExpr("*", "cast(t as timestamp) ts")
+    found = {r.session is None: r.attempts for r in campaigns.campaigns(threats, gap="1 hour").collect()}
+    assert found == {True: 2, False: 1}
+
+
+def test_prompts_do_not_depend_on_slices(spark):
+    from pyspark.sql import functions as F
+    from threatlens.operators import scoring
+
+    def batches(slices):
+        part = F.lpad(F.floor(F.col("id") * slices / 300).cast("string"), 4, "0")
+        rows = spark.range(300).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("raw"),
+                                       F.struct(part.alias("part"), F.col("id").alias("pos")).alias("seq"))
+        return sorted(tuple(r) for r in scoring.batch_prompts(rows).collect())
+    assert batches(1) == batches(7) and len(batches(7)) == 6

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from threatlens.operators import behaviour
+from threatlens.operators import behaviour, sliding
 from threatlens.operators.sliding import latest_counts, sliding_count
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -68,9 +68,25 @@ def test_no_task_holds_a_hot_key(spark):
     df = frame(spark, [("hot", t, t) for t in range(2000)])
     plan = sliding_count(df, F.col("key"), F.col("ts"), F.col("seq"), 60)._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan =="):]
-    # Every shuffle spreads a key over time as well.
-    for part in physical.split("hashpartitioning(")[1:]:
-        assert "_us" in part[:60] or "_bucket" in part[:60]
+    # Every shuffle spreads a key over time as well, but for the sums of whole hours.
+    alone = [part for part in physical.split("hashpartitioning(")[1:]
+             if not any(c in part[:60] for c in ("_us", "_cell", "_group"))]
+    assert all("_group" in part[:900] for part in alone)
+
+
+def test_groups_do_not_grow_with_the_rows_of_a_hot_key(spark):
+    """Ten times the rows at microsecond times: no group of cells or hours gets longer."""
+    def widths(n):
+        us = F.floor(F.col("id") * (7_200_000_000 / n)).cast("bigint")
+        points = spark.range(n).select(F.lit("hot").alias("_key"), us.alias("_us"), F.lit("p").alias("_part"),
+                                       F.lit(1).cast("bigint").alias("_n"), F.lit(1).alias("_kind"))
+        assert points.select("_us").distinct().count() == n
+        cell = F.floor(F.col("_us") / sliding.CELL_US)
+        cells = points.select(cell.alias("c"), F.floor(cell / sliding.GROUP_CELLS).alias("g")).distinct()
+        ranked = sliding._ranked(points).agg(F.max("_rank"), F.count_distinct("_rank")).first()
+        assert tuple(ranked) == (n - 1, n)
+        return cells.groupBy("g").count().agg(F.max("count")).first()[0], cells.select("g").distinct().count()
+    assert widths(20_000) == widths(200_000) == (sliding.GROUP_CELLS, 2)
 
 
 def test_port_scan(spark):

@@ -1,9 +1,8 @@
 """Traffic features and isolation-forest scores.
 
-The model is data: a table of tree nodes and a table of feature scales.  Trees
-see at most ``SAMPLE`` rows each, the algorithm's own subsample, so fitting
-costs one aggregation and one filtered pass over the traffic, and the node
-table's size depends on the number of trees only.
+The model is data: a table of tree nodes and a table of feature scales.  Every
+tree draws its own ``max_samples`` rows from all rows, the algorithm's own
+subsample, so the node table's size depends on the number of trees only.
 """
 
 from __future__ import annotations
@@ -22,8 +21,7 @@ from threatlens import rules, session
 from threatlens.functions import lookup, text
 from threatlens.schemas import NODES
 
-SAMPLE = 256
-POOL = 1 << 16
+MAX_SAMPLES = 256
 STRICT_FEATURES = ("status", "bytes", "path_length", "has_query", "method", "hour", "special_chars")
 CLASSIC_FEATURES = ("method", "status", "bytes", "path_length", "agent_length", "query_params",
                     "special_chars", "is_error", "is_server_error", "hour")
@@ -95,22 +93,56 @@ def _uniform(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def _tree_samples(scaled: DataFrame, names: tuple[str, ...], rows: int, trees: int, seed: int) -> DataFrame:
-    """Up to SAMPLE rows per tree, chosen by hash, so partitioning does not matter."""
-    key = [F.col("seq.part"), F.col("seq.pos")]
-    vector = F.array(*[F.col(f"z_{n}") for n in names]).alias("x")
-    pool = scaled.select(vector, _uniform(*key, F.lit(seed)).alias("_u"), *[k.alias(a) for k, a in
-                         zip(key, ("_part", "_pos"))])
-    kept = rows
-    if rows > POOL:
-        pool, kept = pool.filter(F.col("_u") < POOL / rows), POOL
-    draw = F.struct(F.col("_tree"), _uniform(F.col("_part"), F.col("_pos"), F.col("_tree"), F.lit(seed)).alias("_v"))
-    share = min(1.0, 2.0 * SAMPLE / max(kept, 1))
-    drawn = (pool.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-             .withColumn("_v", draw["_v"]).filter(F.col("_v") < share))
-    rank = F.row_number().over(Window.partitionBy("_tree").orderBy("_v", "_part", "_pos"))
-    return drawn.withColumn("_rank", rank).filter(F.col("_rank") <= SAMPLE).select(
-        F.col("_tree").alias("tree"), "_rank", "x")
+def _tree_samples(scaled: DataFrame, names: tuple[str, ...], rows: int, trees: int, seed: int,
+                  max_samples: int = MAX_SAMPLES) -> DataFrame:
+    """The rows of each tree's sample, chosen by hash from all rows, so partitioning does not matter.
+
+    A row meets every tree as a number in [0, 1) and leaves the scan only for
+    trees where that number is small: twice the wanted rows of a tree are kept,
+    and the smallest numbers win.
+    """
+    part, pos = F.col("seq.part"), F.col("seq.pos")
+    share = min(1.0, 2.0 * max_samples / max(rows, 1))
+    drawn = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
+                    lambda t: F.struct(t.alias("tree"), _uniform(part, pos, t, F.lit(seed)).alias("v"))),
+        lambda d: d["v"] < share)
+    hits = scaled.select(F.array(*[F.col(f"z_{n}") for n in names]).alias("x"), part.alias("_part"),
+                         pos.alias("_pos"), drawn.alias("_drawn")).filter(F.size("_drawn") > 0)
+    hits = hits.select("x", "_part", "_pos", F.inline("_drawn"))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("v", "_part", "_pos"))
+    return hits.withColumn("_rank", rank).filter(F.col("_rank") <= max_samples).select("tree", "_rank", "x")
+
+
+def kth_smallest(rows: DataFrame, column: str, k: int, bins: int = 1000) -> float:
+    """The exact k-th smallest value (0-based) of a numeric column without a sort.
+
+    Each pass counts the values of the range that holds it in ``bins`` slices
+    and goes on in one of them, until that slice holds a single value.
+    """
+    value, low, high, before = F.col(column), None, None, 0
+    while True:
+        if low is None:
+            low, high = rows.agg(F.min(value), F.max(value)).first()
+        if low == high:
+            return low
+        slot = F.least(F.floor((value - F.lit(low)) / F.lit(high - low) * bins), F.lit(bins - 1))
+        slices = (rows.filter(value.between(low, high)).groupBy(slot.alias("slot"))
+                  .agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+                  .orderBy("slot").collect())
+        for s in slices:
+            if before + s["n"] > k:
+                low, high = s["low"], s["high"]
+                break
+            before += s["n"]
+
+
+def quantile(rows: DataFrame, column: str, share: float, total: int) -> float:
+    """The exact quantile, interpolated between neighbours."""
+    at = (total - 1) * share
+    low = kth_smallest(rows, column, math.floor(at))
+    high = low if at == math.floor(at) else kth_smallest(rows, column, math.floor(at) + 1)
+    return low + (high - low) * (at - math.floor(at))
 
 
 def _grow(seed: int):
@@ -161,6 +193,11 @@ class Forest:
     sample: int
     offset: float
     profile: str
+    anomalies_in_training: int = 0
+
+    @property
+    def training_samples(self) -> int:
+        return self.scaler.rows
 
     def score(self, entries: DataFrame) -> DataFrame:
         """Entries with ``score``, ``anomaly_score`` and ``is_anomaly``."""
@@ -177,10 +214,10 @@ class Forest:
         spark = self.nodes.sparkSession
         s = self.scaler
         session.table(
-            spark, [(i, n, m, d, s.rows, self.sample, self.offset, self.profile)
+            spark, [(i, n, m, d, s.rows, self.sample, self.offset, self.profile, self.anomalies_in_training)
              for i, (n, m, d) in enumerate(zip(s.names, s.means, s.stds))],
             "position int, name string, mean double, std double, rows bigint, sample int, "
-            "offset double, profile string").coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
+            "offset double, profile string, anomalies bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
 
 
 def load(spark: SparkSession, path: str) -> Forest:
@@ -192,14 +229,15 @@ def load(spark: SparkSession, path: str) -> Forest:
     return Forest(spark.read.parquet(f"{path}/nodes"),
                   Scaler(tuple(r["name"] for r in saved), [r["mean"] for r in saved],
                          [r["std"] for r in saved], first["rows"]),
-                  first["sample"], first["offset"], first["profile"])
+                  first["sample"], first["offset"], first["profile"], first["anomalies"])
 
 
 def train(entries: DataFrame, profile: str = "strict", contamination: float | None = None,
-          trees: int = 100, seed: int = 42) -> Forest:
+          trees: int = 100, seed: int = 42, max_samples: int = MAX_SAMPLES) -> Forest:
     """Fits a forest; needs at least 10 entries (strict) or one (classic).
 
-    The features are staged, because scaling, sampling and the cut each read them.
+    ``max_samples`` is the size of a tree's sample, drawn from all entries.
+    Features and scores are staged, because several passes read them.
     """
     p = rules.profile(profile)
     contamination = p.contamination if contamination is None else contamination
@@ -212,15 +250,19 @@ def train(entries: DataFrame, profile: str = "strict", contamination: float | No
     if scaler.rows < needed:
         raise ValueError(f"need at least {needed} entries, got {scaler.rows}")
     scaled = scaler.apply(rows)
-    built = _tree_samples(scaled, names, scaler.rows, trees, seed) \
+    sample = min(max_samples, scaler.rows)
+    built = _tree_samples(scaled, names, scaler.rows, trees, seed, max_samples) \
         .groupBy("tree").applyInPandas(_grow(seed), NODES)
-    # At most 511 nodes per tree; kept as rows of the plan so they are grown once.
-    nodes = spark.createDataFrame(built.orderBy("tree", "node").toPandas(), NODES)
-    sample = min(SAMPLE, scaler.rows)
-    # The share of anomalies sets the cut; an exact rank would need a global sort.
-    cut = _score(scaled, nodes, names, sample).agg(
-        F.percentile_approx("score", F.lit(contamination), F.lit(10_000)).alias("cut")).first()["cut"]
-    return Forest(nodes, scaler, sample, float(cut), profile)
+    # At most 2 * max_samples nodes per tree; kept as rows of the plan so they are grown once.
+    grown = built.orderBy("tree", "node").toPandas()
+    roots = grown[grown["node"] == 0]
+    if len(roots) != trees or not (roots["size"] == sample).all():
+        raise RuntimeError("a tree did not get its whole sample")
+    nodes = spark.createDataFrame(grown, NODES)
+    scores = session.stage(_score(scaled, nodes, names, sample).select("score"), session.fresh_path(spark, "scores"))
+    cut = quantile(scores, "score", contamination, scaler.rows)
+    below = scores.filter(F.col("score") < F.lit(cut)).count()
+    return Forest(nodes, scaler, sample, cut, profile, below)
 
 
 def _score(scaled: DataFrame, nodes: DataFrame, names: tuple[str, ...], sample: int) -> DataFrame:

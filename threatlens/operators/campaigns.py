@@ -61,6 +61,8 @@ def campaigns(threats: DataFrame, repeated: int = REPEATED, gap: str | None = No
 def sessions(tagged: DataFrame, group: list[str], gap: str) -> DataFrame:
     """Adds ``session``, the start of the row's run of activity without a longer gap.
 
+    Rows without a time form a session of their own, whose start is null.
+
     Runs are found among the distinct seconds of a group, cut into days; a day
     only passes its last second on to the next one, so no task reads all rows of
     a hot address.
@@ -83,7 +85,9 @@ def sessions(tagged: DataFrame, group: list[str], gap: str) -> DataFrame:
     last_starts = last_starts.select(*group, "_day", F.max("_day_start").over(earlier).alias("_inherited"))
     resolved = marked.join(last_starts, [*group, "_day"]).select(
         *group, "_s", F.timestamp_seconds(F.coalesce("_start", "_inherited")).alias("session"))
-    return tagged.withColumn("_s", second).join(resolved, [*group, "_s"]).drop("_s")
+    dated = tagged.filter("ts is not null").withColumn("_s", second).join(resolved, [*group, "_s"]).drop("_s")
+    undated = tagged.filter("ts is null").withColumn("session", F.lit(None).cast("timestamp"))
+    return dated.unionByName(undated)
 
 
 def _seconds(gap: str) -> int:

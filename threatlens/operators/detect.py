@@ -12,6 +12,9 @@ from threatlens.functions import text
 from threatlens.operators import whitelist
 from threatlens.operators.sliding import sliding_count
 
+RULE_GROUP = 250
+
+
 def _no_details() -> Column:
     return F.lit(None).cast("map<string,string>")
 
@@ -226,17 +229,18 @@ def detect_custom(rows: DataFrame, custom: Sequence[dict], column: Column, ip: C
 def match_rule_table(rows: DataFrame, rule_table: DataFrame, column: str) -> DataFrame:
     """First matching rule per row, for rules kept in a table (rule_no, pattern, …).
 
-    The rule table is configuration: it becomes part of the plan, after a check
-    of its size, so that every pattern is compiled once per task and a row stops
-    at its first match.
+    The rule table is configuration: it becomes part of the plan, so that every
+    pattern is compiled once per task.  Rules are asked in groups, and a row stops
+    at the first group that matches.
     """
-    limit = 5000
-    table = rule_table.orderBy("rule_no").limit(limit + 1).collect()
-    if len(table) > limit:
-        raise ValueError(f"more than {limit} rules; split the table by threat type")
-    hit = F.coalesce(*[F.when(F.col(column).rlike(r["pattern"]), F.lit(r["rule_no"])) for r in table])
-    return rows.withColumn("rule_no", hit).filter("rule_no is not null") \
-        .join(rule_table.drop("pattern"), "rule_no")
+    table = rule_table.orderBy("rule_no").collect()
+    groups = [F.coalesce(*[F.when(F.col(column).rlike(r["pattern"]), F.lit(r["rule_no"])) for r in table[at:at + RULE_GROUP]])
+              for at in range(0, len(table), RULE_GROUP)]
+    hit = F.lit(None).cast(rule_table.schema["rule_no"].dataType)
+    matched = rows.withColumn("rule_no", hit)
+    for group in groups:    # one projection each: a single expression of thousands of rules would not compile
+        matched = matched.withColumn("rule_no", text.evaluated_once(F.coalesce("rule_no", group)))
+    return matched.filter("rule_no is not null").join(rule_table.drop("pattern"), "rule_no")
 
 
 def detector_stats(entries: DataFrame, threats: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatlens.functions import lookup, text
@@ -14,18 +14,21 @@ BATCH_HEADER = "Assess these log entries and answer with one JSON object.\n\n"
 
 
 def batch_prompts(entries: DataFrame, max_lines: int = 50, header: str = BATCH_HEADER) -> DataFrame:
-    """One request per ``max_lines`` raw lines in arrival order.
+    """One request per ``max_lines`` raw lines in arrival order; only the last may be shorter.
 
-    Lines are numbered inside their slice of the input, so batches are built in
-    parallel and a batch never exceeds ``max_lines``; the last batch of a slice
-    may be shorter.
+    Lines are numbered inside their slice of the input, and slices through their
+    line counts, so batches do not depend on where files are split.
     """
-    order = F.row_number().over(Window.partitionBy("seq.part").orderBy("seq.pos")) - 1
-    numbered = entries.select("raw", F.col("seq.part").alias("part"), F.col("seq.pos").alias("pos"),
-                              F.floor(order / max_lines).alias("batch"))
-    listed = F.array_sort(F.collect_list(F.struct("pos", "raw")))
-    return numbered.groupBy("part", "batch").agg(
-        F.count("*").alias("lines"), F.min("pos").alias("first_pos"),
+    lines = entries.select("raw", F.col("seq.part").alias("part"), F.col("seq.pos").alias("pos"))
+    counts = lines.groupBy("part").agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)      # one row per slice
+    bases = counts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("pos")) - 1
+    numbered = lines.withColumn("inside", inside).join(bases, "part").select(
+        "raw", "pos", (F.col("base") + F.col("inside")).alias("line")).withColumn("batch", F.floor(F.col("line") / max_lines))
+    listed = F.array_sort(F.collect_list(F.struct("line", "raw")))
+    return numbered.groupBy("batch").agg(
+        F.count("*").alias("lines"), F.min_by("pos", "line").alias("first_pos"),
         F.concat(F.lit(header), F.array_join(F.transform(listed, lambda r: r["raw"]), "\n")).alias("prompt"))
 
 
@@ -45,25 +48,31 @@ def entry_prompts(entries: DataFrame) -> DataFrame:
         F.lit("\nBytes: "), F.col("bytes_sent").cast("string"), F.lit("\n")).alias("prompt"))
 
 
-def offline_scorer(prompts: pd.Series) -> pd.Series:
-    """A stand-in scorer that needs no service: flags a few telling texts."""
-    odd = prompts.str.contains(r"union.+select|<script|\.\./|sqlmap|nikto", case=False, regex=True)
-    return odd.map(lambda bad: (
-        '```json\n{"is_threat": true, "threat_type": "SUSPICIOUS", "severity": "HIGH", '
-        '"confidence": 0.9, "reason": "known pattern"}\n```' if bad else
-        '{"is_threat": false, "threat_type": "NORMAL", "severity": "NONE", '
-        '"confidence": 0.6, "reason": "nothing known"}'))
+def pattern_scorer(pattern: str, threat_type: str = "SUSPICIOUS", severity: str = "HIGH") -> Callable[[Column], Column]:
+    """A scorer by one regular expression, for use where no service may be asked."""
+    def reply(prompt: Column) -> Column:
+        odd = prompt.rlike(pattern)
 
+        def pick(yes, no) -> Column:
+            return F.when(odd, F.lit(yes)).otherwise(F.lit(no))
+        return F.to_json(F.struct(
+            odd.alias("is_threat"), pick(threat_type, "NORMAL").alias("threat_type"),
+            pick(severity, "NONE").alias("severity"), pick(0.9, 0.6).alias("confidence"),
+            pick("known pattern", "nothing known").alias("reason")))
+    return reply
 
-def score_external(requests: DataFrame, scorer: Callable[[pd.Series], pd.Series] = offline_scorer,
-                   column: str = "prompt", require_all: bool = True) -> DataFrame:
-    """Requests with the scorer's reply as a struct, null when it cannot be read.
 
-    ``scorer`` gets a whole Arrow batch of prompts on the executors.
-    """
+def batch_scorer(answer: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:
+    """A scorer from a function of pandas batches, such as a client of a service; called on executors."""
     @F.pandas_udf("string")
     def replies(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield scorer(batch)
-    return requests.withColumn("reply_text", replies(F.col(column))) \
+            yield answer(batch)
+    return replies
+
+
+def score_external(requests: DataFrame, scorer: Callable[[Column], Column], column: str = "prompt",
+                   require_all: bool = True) -> DataFrame:
+    """Requests with the scorer's reply as a struct, null when it cannot be read."""
+    return requests.withColumn("reply_text", scorer(F.col(column))) \
         .withColumn("reply", lookup.reply(F.col("reply_text"), require_all)).drop("reply_text")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from threatlens.functions.text import floor_div
 
-BUCKET_WINDOWS = 16     # a time bucket spans this many windows
+CELL_US = 1_000_000     # microseconds of a cell
+GROUP_CELLS = 3600      # cells of a group
 
 
 def _instants(events: DataFrame) -> DataFrame:
@@ -15,27 +16,61 @@ def _instants(events: DataFrame) -> DataFrame:
     return events.groupBy("_key", "_us", "_part").agg(F.count("*").alias("_n"))
 
 
+def _busy(instants: DataFrame, window_us: int, at_least: int) -> DataFrame:
+    """The instants that a window with ``at_least`` rows can hold.
+
+    A window lies in the stretch of its own length that its last row is in and
+    the one before; where both together have too few rows, nothing can be found.
+    """
+    stretch = floor_div(F.col("_us"), window_us)
+    sums = instants.groupBy("_key", stretch.alias("_stretch")).agg(F.sum("_n").alias("_sum"))
+    both = sums.unionByName(sums.withColumn("_stretch", F.col("_stretch") + 1)) \
+        .groupBy("_key", "_stretch").agg(F.sum("_sum").alias("_sum")).filter(F.col("_sum") >= at_least)
+    wanted = both.select("_key", "_stretch").unionByName(
+        both.select("_key", (F.col("_stretch") - 1).alias("_stretch"))).distinct()
+    return instants.withColumn("_stretch", stretch).join(wanted, ["_key", "_stretch"], "left_semi").drop("_stretch")
+
+
+def _ranked(points: DataFrame) -> DataFrame:
+    """Adds ``_rank``: the rows of the key that come before a point, in three steps of bounded width.
+
+    Rows are summed per cell, cells are summed up inside a group, and groups per
+    key; inside a cell the points are summed up themselves.  A window holds at
+    most the cells of a group, the groups of a key, which are hours, or one
+    second of one key.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def before(*names: str):
+        return lambda *order: F.coalesce(F.sum("_n").over(
+            Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), zero)
+    placed = points.withColumn("_cell", floor_div(F.col("_us"), CELL_US))
+    cells = placed.groupBy("_key", "_cell").agg(F.sum("_n").alias("_n")) \
+        .withColumn("_group", floor_div(F.col("_cell"), GROUP_CELLS))
+    groups = cells.groupBy("_key", "_group").agg(F.sum("_n").alias("_n"))
+    of_group = groups.select("_key", "_group", before("_key")("_group").alias("_of_group"))
+    of_cell = cells.withColumn("_of_cell", before("_key", "_group")("_cell")).drop("_n")
+    bases = of_cell.join(of_group, ["_key", "_group"]).select(
+        "_key", "_cell", (F.col("_of_cell") + F.col("_of_group")).alias("_base"))
+    inside = before("_key", "_cell")("_us", "_kind", "_part")
+    return placed.withColumn("_inside", inside).join(bases, ["_key", "_cell"]).withColumn(
+        "_rank", F.col("_base") + F.col("_inside")).drop("_cell", "_inside", "_base")
+
+
 def _counts_before(instants: DataFrame, window_us: int) -> DataFrame:
     """For every (key, instant, slice): rows of the window that arrived earlier.
 
-    Keys are cut into time buckets; the last window of a bucket is repeated in
-    the next one.  That bounds a window group by the instants of one bucket
-    however many rows a key has, and repeats 1/16 of the (pre-aggregated) rows.
+    That is the rank of the instant less the rank of the place one window
+    before it, which a probe without rows takes among the same points.
     """
-    length = window_us * BUCKET_WINDOWS
-    home = floor_div(F.col("_us"), length)
-    spread = instants.withColumn("_home", home).withColumn("_bucket", F.explode(
-        F.when(F.col("_us") >= (F.col("_home") + 1) * length - window_us,
-               F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array(F.col("_home")))))
-    group = Window.partitionBy("_key", "_bucket")
-    earlier = group.orderBy("_us", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    expired = group.orderBy("_us").rangeBetween(Window.unboundedPreceding, -window_us - 1)
-    zero = F.lit(0).cast("bigint")
-    return (spread
-            .withColumn("_earlier", F.coalesce(F.sum("_n").over(earlier), zero))
-            .withColumn("_expired", F.coalesce(F.sum("_n").over(expired), zero))
-            .filter("_bucket = _home")
-            .select("_key", "_us", "_part", "_n", (F.col("_earlier") - F.col("_expired")).alias("_before")))
+    own = instants.select("_key", "_us", "_part", "_n", F.lit(1).alias("_kind"))
+    probes = instants.select("_key", (F.col("_us") - window_us).alias("_us")).distinct().select(
+        "_key", "_us", F.lit("").alias("_part"), F.lit(0).cast("bigint").alias("_n"), F.lit(0).alias("_kind"))
+    ranked = _ranked(own.unionByName(probes))
+    expired = ranked.filter("_kind = 0").select(
+        "_key", (F.col("_us") + window_us).alias("_us"), F.col("_rank").alias("_expired"))
+    return ranked.filter("_kind = 1").join(expired, ["_key", "_us"]).select(
+        "_key", "_us", "_part", "_n", (F.col("_rank") - F.col("_expired")).alias("_before"))
 
 
 def _keyed(events: DataFrame, key: Column, ts: Column, seq: Column) -> DataFrame:
@@ -53,9 +88,9 @@ def sliding_count(events: DataFrame, key: Column, ts: Column, seq: Column, windo
     count.  Rows below ``at_least`` and rows without key or time are dropped.
     ``history`` (columns _key, _us, _n) adds counts from before these events.
 
-    Only the small (key, instant, slice) table is windowed.  Rows meet it again
-    through an equi join on its full key, and are ranked inside one slice of one
-    instant.
+    Only the small (key, instant, slice) table is windowed, and only where enough
+    rows are close together.  Rows meet it again through an equi join on its full
+    key, and are ranked inside one slice of one instant.
     """
     window_us = int(window_seconds) * 1_000_000
     keyed = _keyed(events, key, ts, seq)
@@ -63,6 +98,8 @@ def sliding_count(events: DataFrame, key: Column, ts: Column, seq: Column, windo
     if history is not None:
         # The empty slice name sorts before every real one.
         instants = instants.unionByName(history.select("_key", "_us", F.lit("").alias("_part"), "_n"))
+    if at_least > 1 and window_us > 0:
+        instants = _busy(instants, window_us, at_least)
     hot = _counts_before(instants, window_us).filter(F.col("_before") + F.col("_n") >= at_least)
     if history is not None:
         hot = hot.filter("_part <> ''")

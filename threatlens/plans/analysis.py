@@ -41,7 +41,8 @@ class Analysis:
         entries = session.stage(self.entries, f"{path}/entries")
         found = detect.detect_all(entries, self.config, self.profile)
         respond.write_threats(found, f"{path}/threats")
-        threats = spark.read.parquet(f"{path}/threats").drop("day")
+        # Clean logs leave no file to infer a schema from.
+        threats = spark.read.schema(found.schema).parquet(f"{path}/threats").drop("day")
         return replace(self, entries=entries, threats=threats)
 
     def summary(self) -> DataFrame:

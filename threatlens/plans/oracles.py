@@ -70,14 +70,14 @@ _time = "strptime({t}, '%d/%b/%Y:%H:%M:%S %z')"
 # Every CTE with the ones it reads; ``sql`` puts the needed ones in front.
 CTES: dict[str, str] = {
     "tpl": f"SELECT * FROM ({values([(i, *t) for i, t in enumerate(bridge.TEMPLATES)])}) "
-           "t(template, method, path, status, agent)",
+           "t(template, method, path, status, referrer, agent)",
     "ev": f"""SELECT event_id, date_trunc('second', ts) AS ts, user_id, event_type, value,
         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
         '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS user_ip,
         CASE event_type {_ids} ELSE 4740 END AS windows_id FROM events""",
     "lines": f"""SELECT event_id, CASE WHEN template IN ({_brute}) THEN {q(bridge.BRUTE_FORCE_IP)} ELSE user_ip END
         || ' - - [' || strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000] "' || method || ' ' || path || ' HTTP/1.1" '
-        || status || ' ' || CAST(floor(value * 100) AS BIGINT) || ' "-" "' || agent || '"' AS line
+        || status || ' ' || CAST(floor(value * 100) AS BIGINT) || ' "' || referrer || '" "' || agent || '"' AS line
         FROM ev JOIN tpl ON k % {len(bridge.TEMPLATES)} = template""",
     "noisy": """SELECT event_id, CASE k % 10 WHEN 7 THEN '# comment' WHEN 8 THEN '   '
         WHEN 9 THEN 'not a log line ' || event_id ELSE line END AS line FROM lines JOIN ev USING (event_id)""",

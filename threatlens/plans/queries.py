@@ -487,7 +487,7 @@ _AUDIT = ["10.0.0.0/8", "10.0.0.16/28", bridge.BRUTE_FORCE_IP, "not an address"]
 @query("whitelist_audit", f"""SELECT entry, valid, broad, CAST(addresses AS DOUBLE) AS addresses, coalesce(n, 0) AS rows_hidden FROM (
     {o.values([(e, i) for i, e in enumerate(_AUDIT)])}) l(entry, no) JOIN ({o.values([
         (0, "true", "true", 2.0 ** 24, 167772160, 184549375), (1, "true", "false", 16.0, 167772176, 167772191),
-        (2, "true", "false", 1.0, 3325256781, 3325256781)]).replace("'true'", "true").replace("'false'", "false")},
+        (2, "true", "false", 1.0, 3405803785, 3405803785)]).replace("'true'", "true").replace("'false'", "false")},
     (3, false, false, NULL, NULL, NULL)) w(no, valid, broad, addresses, lo, hi) USING (no) LEFT JOIN LATERAL (
     SELECT count(*) AS n FROM entries WHERE {_IP_NUMBER} BETWEEN lo AND hi) ON true""")
 def _(spark, d):
@@ -558,18 +558,23 @@ def _(spark, d):
     return _classic_columns(_threats(spark, d, "classic"))
 
 
-@query("detect_pages", f"""SELECT page_id, threat_type FROM (
-    SELECT page_id, 'SQL_INJECTION' AS threat_type FROM pages WHERE {o.any_match('url', rules.STRICT_SQL_INJECTION)}
-    UNION ALL SELECT page_id, 'XSS' FROM pages WHERE regexp_matches(html, '(?i)<script[^>]*>'))""")
+_URL_RULES = (("SQL_INJECTION", rules.STRICT_SQL_INJECTION), ("PATH_TRAVERSAL", rules.STRICT_PATH_TRAVERSAL),
+              ("XSS", rules.STRICT_XSS))
+
+
+@query("detect_pages", "SELECT page_id, part, threat_type FROM (" + " UNION ALL ".join(
+    f"SELECT page_id, 'url' AS part, '{kind}' AS threat_type FROM (SELECT page_id, {o.decode_twice('url')} AS u FROM pages) p "
+    f"WHERE {o.any_match('u', patterns)}" for kind, patterns in _URL_RULES)
+       + f" UNION ALL SELECT page_id, 'html', 'XSS' FROM pages WHERE {o.any_match('html', rules.STRICT_XSS)}) f")
 def _(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet")
-    by_url = detect.detect_custom(pages.select("page_id", "url"), [
-        {"name": "url", "pattern": text.any_of(rules.STRICT_SQL_INJECTION), "severity": "HIGH",
-         "threat_type": "SQL_INJECTION"}], F.col("url"))
-    by_html = detect.detect_custom(pages.select("page_id", "html"), [
-        {"name": "html", "pattern": text.java_regex(rules.STRICT_XSS[0]), "severity": "HIGH",
-         "threat_type": "XSS"}], F.col("html"))
-    return by_url.select("page_id", "threat_type").unionByName(by_html.select("page_id", "threat_type"))
+
+    def found(column, part, kinds):
+        custom = [{"name": part, "pattern": text.any_of(p), "severity": "HIGH", "threat_type": k} for k, p in kinds]
+        return detect.detect_custom(pages.select("page_id", "url", "html"), custom, column).select(
+            "page_id", F.lit(part).alias("part"), "threat_type")
+    return found(text.url_decode_twice(F.col("url")), "url", _URL_RULES).unionByName(
+        found(F.col("html"), "html", _URL_RULES[2:]))
 
 
 CUSTOM = [{"name": "API key", "pattern": r"(?i)api[_-]?key[=: ]+[A-Za-z0-9]{8,}", "severity": "critical",
@@ -1130,8 +1135,7 @@ def _(spark, d):
 
 @query("build_prompts", f"""SELECT batch, count(*) AS lines, min(event_id) AS first_pos,
     {o.q(scoring.BATCH_HEADER)} || string_agg(raw, chr(10) ORDER BY event_id) AS prompt FROM (
-    SELECT event_id, raw, event_id // {bridge.SLICE} AS part, (row_number() OVER (PARTITION BY
-    event_id // {bridge.SLICE} ORDER BY event_id) - 1) // 50 AS batch FROM entries) GROUP BY part, batch""")
+    SELECT event_id, raw, (row_number() OVER (ORDER BY event_id) - 1) // 50 AS batch FROM entries) GROUP BY batch""")
 def _(spark, d):
     return scoring.batch_prompts(_entries(spark, d)).select("batch", "lines", "first_pos", "prompt")
 
@@ -1157,7 +1161,8 @@ def _(spark, d):
     AS DOUBLE) AS confidence FROM (SELECT event_id, regexp_matches({_PROMPT},
     '(?i)union.+select|<script|\\.\\./|sqlmap|nikto') AS odd FROM classic)""")
 def _(spark, d):
-    scored = scoring.score_external(scoring.entry_prompts(_entries(spark, d, "classic")))
+    scorer = scoring.pattern_scorer(r"(?i)union.+select|<script|\.\./|sqlmap|nikto")
+    scored = scoring.score_external(scoring.entry_prompts(_entries(spark, d, "classic")), scorer)
     return scored.select(_id(), "reply.is_threat", "reply.threat_type", "reply.severity", "reply.confidence")
 
 

@@ -47,14 +47,18 @@ def scan_file(spark: SparkSession, path: str, missing: str = "error") -> DataFra
     return _with_order(spark.read.text(path))
 
 
-def scan_directory(spark: SparkSession, path: str, pattern: str = "*.log") -> DataFrame:
-    """Lines of the matching files directly in a directory, in file-name order."""
+def scan_directory(spark: SparkSession, path: str, pattern: str = "*.log", skip_corrupt: bool = False) -> DataFrame:
+    """Lines of the matching files directly in a directory, in file-name order.
+
+    A damaged file is an error; with ``skip_corrupt`` the part that cannot be
+    read is left out, and executors log the file.
+    """
     if not exists(spark, f"{path.rstrip('/')}/{pattern}"):
         log.warning("no files matching %r in %s", pattern, path)
         return empty_lines(spark)
     return _with_order(
         spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "false")
-        .option("ignoreCorruptFiles", "true").text(path))
+        .option("ignoreCorruptFiles", str(skip_corrupt).lower()).text(path))
 
 
 def source_format(source: dict) -> str:
