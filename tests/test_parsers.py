@@ -132,3 +132,22 @@ def test_windows_xml(spark, tmp_path):
     texts = spark.createDataFrame([(event.format(3),), ("<Event>",), (event.format("x"),), ("<Other/>",)],
                                   "value string")
     assert [r.event_id for r in windows.parse_xml_column(texts).collect()] == [3]
+
+
+def test_one_xml_export_is_read_by_several_tasks(spark, tmp_path):
+    from threatlens.sources import windows
+    event = ('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><EventID>{}</EventID>'
+             "<Level>2</Level></System><EventData><Data Name='Note'>{}</Data></EventData></Event>")
+    text = "<?xml version='1.0'?>\n<Events>\n" + "\n".join(event.format(i, "x" * 200) for i in range(300)) + "\n</Events>"
+    (tmp_path / "a.xml").write_text(text)
+    (tmp_path / "b.xml").write_text("<Event><System><EventID>900</EventID></System></Event>")
+    (tmp_path / "c.xml").write_text("<Events><Event><System><EventID>1</Ev <Event><System><EventID>901</EventID>"
+                                    "</System></Event> no event here </Event>")
+    (tmp_path / "d.xml").write_text("not xml at all")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        found = windows.scan_xml(spark, str(tmp_path))
+        assert sorted(r.event_id for r in found.collect()) == [*range(300), 900, 901]
+        assert found.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -11,10 +11,15 @@ from threatlens.schemas import XML_EVENT
 
 
 def scan_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Events of XML export files, each one document; text that is no XML gives no rows."""
-    events = (spark.read.format("xml").option("rowTag", "Event").option("mode", "DROPMALFORMED")
-              .schema(XML_EVENT).load(path))
-    return windows_events(events.select(F.struct("System", "EventData").alias("event")))
+    """Events of XML export files; text that is no XML gives no rows.
+
+    Files are cut after every closing ``Event`` tag, so one export is read by
+    several tasks, and a broken event does not take its neighbours with it.
+    """
+    pieces = spark.read.option("lineSep", "</Event>").text(path)
+    opened = F.regexp_extract("value", r"(?s)^.*(<Event[\s>].*)$", 1)
+    return parse_xml_column(pieces.filter(F.col("value").rlike(r"<Event[\s>]")).select(
+        F.concat(opened, F.lit("</Event>")).alias("value")))
 
 
 def write_xml(documents: DataFrame, path: str, column: str = "value") -> None:
