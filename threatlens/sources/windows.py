@@ -76,9 +76,12 @@ def _last_wins(pairs: Column) -> Column:
     return F.map_from_arrays(keys, values)
 
 
-def parse_blocks(lines: DataFrame) -> DataFrame:
+def parse_blocks(lines: DataFrame, raw: bool = False) -> DataFrame:
     """Blocks of a text export; a line starting with ``Event ID:`` opens one.
 
+    With ``raw`` the lines of a block come along as one text, which then must fit
+    in memory.
+
     The number of a line's block is a running count in file order.  It is taken
     in two steps, so that no task reads a whole file: openings per slice are
     summed over the slices of a file, then counted inside each slice.
@@ -95,28 +98,36 @@ def parse_blocks(lines: DataFrame) -> DataFrame:
     inside = Window.partitionBy("file", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     numbered = marked.join(offsets, ["file", "part"]).withColumn(
         "block", F.col("offset") + F.sum("opens").over(inside))
-    return block_events(
-        numbered.groupBy("file", "block").agg(
-            F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("rows"))
-        .select(F.element_at("rows", 1)["seq"].alias("seq"),
-                F.transform("rows", lambda r: r["value"]).alias("lines")))
+    keyed = numbered.withColumn("key", F.when(F.col("value").contains(":"), _key(F.col("value"))))
 
+    def last(name: str) -> Column:
+        """The value of the last line with this key; combined on the map side, however long a block is."""
+        at = F.when(F.col("key") == name, F.col("seq"))
+        return F.max_by(F.when(F.col("key") == name, _value(F.col("value"))), at).alias(name)
+    events = keyed.groupBy("file", "block").agg(F.min("seq").alias("seq"), *[last(k) for k in BLOCK_KEYS])
+    typed = events.select("file", "block", "seq", *_typed(lambda key, default: F.coalesce(F.col(f"`{key}`"), F.lit(default))))
+    if raw:
+        texts = numbered.groupBy("file", "block").agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda r: r["value"]), "\n").alias("raw"))
+        typed = typed.join(texts, ["file", "block"])
+    return typed.filter("event_id is not null").drop("file", "block")
 
-def block_events(blocks: DataFrame, column: str = "lines") -> DataFrame:
-    """Typed event columns of a ``lines`` array; later duplicates of a key win."""
-    pairs = F.transform(
-        F.filter(F.col(column), lambda line: line.contains(":")),
-        lambda line: F.struct(
-            text.strip(F.substring_index(line, ":", 1)).alias("key"),
-            text.strip(F.substring(line, F.instr(line, ":") + 1, F.length(line))).alias("value")))
-    carried = [c for c in blocks.columns if c != column]
-    fields = F.col("fields")
 
-    def field(key: str, default: str) -> Column:
-        return F.coalesce(F.element_at(fields, key), F.lit(default))
+#: The lines of a block that become columns.
+BLOCK_KEYS = ("Event ID", "Date and Time", "Level", "Log Name", "Computer", "User", "Description", "Source")
 
-    return (blocks.withColumn("fields", _last_wins(pairs)).select(
-        *carried,
+
+def _key(line: Column) -> Column:
+    return text.strip(F.substring_index(line, ":", 1))
+
+
+def _value(line: Column) -> Column:
+    return text.strip(F.substring(line, F.instr(line, ":") + 1, F.length(line)))
+
+
+def _typed(field) -> list[Column]:
+    """The event columns from ``field(key, default)``."""
+    return [
         field("Event ID", "0").try_cast("int").alias("event_id"),
         F.try_to_timestamp(field("Date and Time", ""), F.lit("M/d/yyyy h:m:s a")).alias("ts"),
         F.upper(field("Level", "Information")).alias("level"),
@@ -124,13 +135,22 @@ def block_events(blocks: DataFrame, column: str = "lines") -> DataFrame:
         field("Computer", "Unknown").alias("computer"),
         field("User", "N/A").alias("user"),
         field("Description", "").alias("message"),
-        field("Source", "Unknown").alias("source"),
-        F.array_join(column, "\n").alias("raw")).filter("event_id is not null"))
+        field("Source", "Unknown").alias("source")]
+
+
+def block_events(blocks: DataFrame, column: str = "lines") -> DataFrame:
+    """Typed event columns of a ``lines`` array; later duplicates of a key win."""
+    pairs = F.transform(F.filter(F.col(column), lambda line: line.contains(":")),
+                        lambda line: F.struct(_key(line).alias("key"), _value(line).alias("value")))
+    carried = [c for c in blocks.columns if c != column]
+    return blocks.withColumn("fields", _last_wins(pairs)).select(
+        *carried, *_typed(lambda key, default: F.coalesce(F.element_at(F.col("fields"), key), F.lit(default))),
+        F.array_join(column, "\n").alias("raw")).filter("event_id is not null")
 
 
-def scan_blocks(spark: SparkSession, path: str) -> DataFrame:
+def scan_blocks(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
     from threatlens.sources.files import scan_file
-    return parse_blocks(scan_file(spark, path))
+    return parse_blocks(scan_file(spark, path), raw)
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
