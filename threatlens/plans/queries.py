@@ -1133,6 +1133,33 @@ def _(spark, d):
     return anomaly.load(spark, path).score(entries).groupBy("is_anomaly").agg(F.count("*").alias("n"))
 
 
+@query("forest_samples", """SELECT CAST(t AS INTEGER) AS tree,
+    CAST(least(256, (SELECT count(*) FROM entries)) AS INTEGER) AS size FROM range(100) r(t)""")
+def _(spark, d):
+    return anomaly.train(_entries(spark, d)).nodes.filter("node = 0").select(
+        F.col("tree").cast("int").alias("tree"), F.col("size").cast("int").alias("size"))
+
+
+@query("forest_shares", "SELECT count(*) AS n, true AS within, true AS in_range FROM entries")
+def _(spark, d):
+    entries = _entries(spark, d)
+    scored = anomaly.train(entries, contamination=0.1).score(entries)
+    return scored.agg(F.count("*").alias("n"), (F.count_if("is_anomaly") <= 0.1 * F.count("*")).alias("within"),
+                      F.bool_and(F.col("score").between(-1, 0)).alias("in_range"))
+
+
+@query("model_round_trip", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS differing FROM entries")
+def _(spark, d):
+    entries, path = _entries(spark, d), session.fresh_path(spark, "model")
+    fresh = anomaly.train(entries)
+    fresh.save(path)
+    pair = fresh.score(entries).select(_id(), "score", "is_anomaly").join(
+        anomaly.load(spark, path).score(entries).select(_id(), F.col("score").alias("s"), F.col("is_anomaly").alias("a")),
+        "event_id")
+    return pair.agg(F.count("*").alias("n"), F.count_if((F.col("score") != F.col("s")) | (
+        F.col("is_anomaly") != F.col("a"))).alias("differing"))
+
+
 @query("build_prompts", f"""SELECT batch, count(*) AS lines, min(event_id) AS first_pos,
     {o.q(scoring.BATCH_HEADER)} || string_agg(raw, chr(10) ORDER BY event_id) AS prompt FROM (
     SELECT event_id, raw, (row_number() OVER (ORDER BY event_id) - 1) // 50 AS batch FROM entries) GROUP BY batch""")
