@@ -147,3 +147,13 @@ def test_prompts_do_not_depend_on_slices(spark):
                                        F.struct(part.alias("part"), F.col("id").alias("pos")).alias("seq"))
         return sorted(tuple(r) for r in scoring.batch_prompts(rows).collect())
     assert batches(1) == batches(7) and len(batches(7)) == 6
+
+
+def test_classic_summary_has_period_and_top_attackers(entries):
+    from datetime import datetime
+    found = analysis.analyze_entries(entries(ROWS, "classic"), "classic")
+    row = reports.summary(found.entries, found.threats, None, "x", "classic", datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 2)).first()
+    assert tuple(row.period) == ("2024-01-01T00:00:00", "2024-01-01T00:02:00", 120.0)
+    top = [(t.ip, t["count"]) for t in row.top_attacker_ips]
+    assert top == [(r.ip, r["count"]) for r in reports.top_attackers(found.threats, 10).collect()] and top[0][0] == "1.1.1.1"
+    assert "period" not in reports.summary(found.entries, found.threats, None, "x", "classic").columns

@@ -8,6 +8,7 @@ over few columns of its input.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,9 +191,20 @@ def summary_rows(entries: DataFrame, threats: DataFrame, blocked: DataFrame | No
 
 
 def summary(entries: DataFrame, threats: DataFrame, blocked: DataFrame | None = None,
-            source_file: str = "", profile: str = "strict") -> DataFrame:
-    """The summary as one row; its maps hold one entry per severity and per type."""
+            source_file: str = "", profile: str = "strict", started: datetime | None = None,
+            ended: datetime | None = None) -> DataFrame:
+    """The summary as one row; its maps hold one entry per severity and per type.
+
+    The classic one also has the ten busiest attackers and, where the run's
+    start and end are given, its period.
+    """
     rows = summary_rows(entries, threats, blocked, profile)
+    if profile == "classic":
+        place = F.row_number().over(Window.orderBy(F.desc("count"), "first"))      # of ten rows
+        top = top_attackers(threats, 10).select(
+            F.lit("top").alias("section"), F.concat(F.lpad(place.cast("string"), 2, "0"), F.lit(" "), F.col("ip")).alias("name"),
+            F.col("count").alias("value"))
+        rows = rows.unionByName(top)
 
     def total(name: str) -> Column:
         return F.max(F.when((F.col("section") == "totals") & (F.col("name") == name), F.col("value")))
@@ -208,6 +220,13 @@ def summary(entries: DataFrame, threats: DataFrame, blocked: DataFrame | None =
                total("unique_attacker_ips").alias("unique_attacker_ips")]
     if profile == "classic":
         columns += [total("requests").alias("requests"), total("unique_ips").alias("unique_ips")]
+        listed = F.array_sort(F.array_compact(F.collect_list(F.when(F.col("section") == "top", F.struct("name", "value")))))
+        columns.append(F.transform(listed, lambda t: F.struct(
+            F.substring_index(t["name"], " ", -1).alias("ip"), t["value"].alias("count"))).alias("top_attacker_ips"))
+        if started is not None and ended is not None:
+            columns.append(F.struct(
+                F.lit(started.isoformat()).alias("start"), F.lit(ended.isoformat()).alias("end"),
+                F.lit((ended - started).total_seconds()).alias("duration_seconds")).alias("period"))
     return rows.agg(*columns).withColumn("source_file", F.lit(source_file))
 
 
