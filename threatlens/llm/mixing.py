@@ -137,7 +137,8 @@ def taken_ranges(placed: DataFrame, chosen: DataFrame, block: int = BLOCK) -> Da
     begin = F.col("block_no") * block
     first = F.greatest(F.col("start"), begin)
     last = F.least(F.col("end"), begin + F.col("words"))
-    joined = held.join(chosen.hint("merge"), ["source_no", "block_no"])     # as many rows as blocks: never broadcast.where(last > first)
+    # There are as many slots as blocks: never broadcast.
+    joined = held.join(chosen.hint("merge"), ["source_no", "block_no"]).where(last > first)
     return joined.select("row_no", "epoch", "shard", "slot", (first - F.col("start")).alias("first"),
                          (last - first).alias("words"))
 
