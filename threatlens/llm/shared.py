@@ -29,6 +29,9 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, known]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        # Else the splits of a small table, and with them row numbers, follow the executors alive just then.
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(8, spark.sparkContext.defaultParallelism)))
     return spark
 
 
