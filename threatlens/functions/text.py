@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatlens import rules
@@ -131,12 +131,43 @@ def access_hour(text: Column) -> Column:
     return F.split_part(text, F.lit(":"), F.lit(2)).try_cast("int")
 
 
-def iso_time(ts: Column) -> Column:
-    """ISO 8601 in UTC, fractions only where there are any."""
+def access_offset(text: Column) -> Column:
+    """The offset a line's time is written with, in minutes; null where there is none.
+
+    Reads ``+hhmm``, ``-hh:mm`` and ``Z`` at the end of a text.
+    """
+    digits = F.regexp_extract(text, r"[+-](\d\d):?(\d\d)$", 1), F.regexp_extract(text, r"[+-](\d\d):?(\d\d)$", 2)
+    minutes = digits[0].try_cast("int") * 60 + digits[1].try_cast("int")
+    negative = F.regexp_extract(text, r"([+-])\d\d:?\d\d$", 1) == "-"
+    return F.when(text.endswith("Z"), F.lit(0)).otherwise(F.when(negative, -minutes).otherwise(minutes))
+
+
+def offset_of(rows: DataFrame) -> Column:
+    """The rows' offsets; rows without that column count as UTC."""
+    return F.col("ts_offset") if "ts_offset" in rows.columns else F.lit(0)
+
+
+def local_time(ts: Column, offset: Column) -> Column:
+    """The wall clock of the event: a timestamp to be formatted, not compared."""
+    return F.timestamp_micros(F.unix_micros(ts) + F.coalesce(offset, F.lit(0)).cast("bigint") * 60_000_000)
+
+
+def iso_time(ts: Column, offset: Column | None = None) -> Column:
+    """ISO 8601 with fractions only where there are any.
+
+    ``offset`` holds minutes; times are shown in it, and a null one shows a time
+    without any.  Without ``offset`` times are shown in UTC.
+    """
+    minutes = F.lit(0) if offset is None else offset
+    shown = local_time(ts, minutes)
+    size = F.abs(minutes)
+    suffix = F.concat(F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")),
+                      F.lpad(floor_div(size, 60).cast("string"), 2, "0"), F.lit(":"),
+                      F.lpad((size % 60).cast("string"), 2, "0"))
     return F.concat(
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(F.unix_micros(ts) % 1_000_000 == 0, F.lit("")).otherwise(F.date_format(ts, ".SSSSSS")),
-        F.lit("+00:00"))
+        F.date_format(shown, "yyyy-MM-dd'T'HH:mm:ss"),
+        F.when(F.unix_micros(ts) % 1_000_000 == 0, F.lit("")).otherwise(F.date_format(shown, ".SSSSSS")),
+        F.coalesce(suffix, F.lit("")))
 
 
 def parse_iso(text: Column) -> Column:
@@ -144,8 +175,9 @@ def parse_iso(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)"), F.try_to_timestamp(text))
 
 
-def hour_bucket(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:00")
+def hour_bucket(ts: Column, offset: Column | None = None) -> Column:
+    """The hour on the event's own clock, or in UTC without ``offset``."""
+    return F.date_format(ts if offset is None else local_time(ts, offset), "yyyy-MM-dd'T'HH:00")
 
 
 def query_params(path: Column) -> Column:

@@ -111,7 +111,7 @@ def _threat_columns(found: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return found.select(
         *[c for c in ("seq", "source_name") if c in found.columns],
         t["threat_type"].alias("threat_type"), t["severity"].alias("severity"),
-        F.col("ip").alias("source_ip"), "ts", t["description"].alias("description"),
+        F.col("ip").alias("source_ip"), "ts", text.offset_of(found).alias("ts_offset"), t["description"].alias("description"),
         F.col("path").alias("target"), t["payload"].alias("payload"),
         t["confidence"].alias("confidence"), t["details"].alias("details"),
         F.col("raw").alias("raw_log"), F.lit("rule-based").alias("detection_method"),
@@ -203,9 +203,9 @@ def detect_all(entries: DataFrame, config: dict | None = None,
 
 
 def threat_dict(threats: DataFrame, profile: str = "strict") -> DataFrame:
-    """The exported columns of a finding, with an ISO timestamp."""
-    shared = ["threat_type", "severity", "source_ip", text.iso_time(F.col("ts")).alias("timestamp"),
-              "description"]
+    """The exported columns of a finding, with an ISO timestamp in its own offset."""
+    shared = ["threat_type", "severity", "source_ip",
+              text.iso_time(F.col("ts"), text.offset_of(threats)).alias("timestamp"), "description"]
     if profile == "strict":
         return threats.select(*shared, "payload", "confidence", "raw_log", "detection_method")
     return threats.select(*shared, "target", "payload", "details")

@@ -65,6 +65,7 @@ def _access(lines: DataFrame, source: str, profile: str) -> DataFrame:
         *_carried(lines),
         g[0].alias("ip"),
         text.access_time(g[1]).alias("ts"),
+        text.access_offset(g[1]).alias("ts_offset"),
         text.access_hour(g[1]).alias("ts_hour"),
         g[2].alias("method"),
         path.alias("path"),
@@ -107,7 +108,7 @@ def parse_syslog_entries(lines: DataFrame, year: int | None = None) -> DataFrame
     return hit.select(
         *_carried(lines),
         text.extract_ip(message).alias("ip"),
-        ts.alias("ts"), F.hour(ts).alias("ts_hour"),
+        ts.alias("ts"), F.lit(None).cast("int").alias("ts_offset"), F.hour(ts).alias("ts_hour"),
         F.lit("SYSLOG").alias("method"),
         F.concat(F.lit("/"), program).alias("path"),
         F.lit("HTTP/1.1").alias("protocol"),
@@ -142,6 +143,7 @@ def parse_syslog_messages(lines: DataFrame, year: int | None = None) -> DataFram
     return (kept.select(
         *_carried(lines),
         F.when(modern, text.parse_iso(g5[2])).otherwise(old_ts).alias("ts"),
+        F.when(modern, text.access_offset(g5[2])).alias("ts_offset"),
         F.when(modern, g5[3]).otherwise(g3[5]).alias("hostname"),
         F.when(modern, g5[4]).otherwise(g3[6]).alias("process"),
         F.when(modern, g5[5]).otherwise(g3[7]).try_cast("int").alias("pid"),
@@ -164,7 +166,7 @@ def parse_windows_csv(lines: DataFrame) -> DataFrame:
     return hit.select(
         *_carried(lines),
         text.extract_ip(g[5], rules.WINDOWS_LABELLED_IP, fallback=False).alias("ip"),
-        ts.alias("ts"), F.hour(ts).alias("ts_hour"),
+        ts.alias("ts"), F.lit(None).cast("int").alias("ts_offset"), F.hour(ts).alias("ts_hour"),
         F.lit("EVENT").alias("method"),
         F.concat(F.lit("/event/"), shown).alias("path"),
         F.lit("HTTP/1.1").alias("protocol"),
@@ -232,8 +234,8 @@ def skip_lines(lines: DataFrame, fmt: str = "nginx", profile: str = "strict") ->
 
 
 def entry_projection(entries: DataFrame) -> DataFrame:
-    """The nine exported columns, with an ISO timestamp."""
+    """The nine exported columns, with an ISO timestamp in the line's own offset."""
     return entries.select(
         *[c for c in ("seq",) if c in entries.columns],
-        "ip", text.iso_time(F.col("ts")).alias("timestamp"), "method", "path", "status_code",
+        "ip", text.iso_time(F.col("ts"), text.offset_of(entries)).alias("timestamp"), "method", "path", "status_code",
         "bytes_sent", "referrer", "user_agent", "source")

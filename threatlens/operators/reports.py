@@ -100,8 +100,9 @@ def sort_types(threats: DataFrame, profile: str = "strict") -> DataFrame:
 
 
 def timeline(threats: DataFrame) -> DataFrame:
-    """Findings per hour; those without a time are left out."""
-    return (threats.filter("ts is not null").groupBy(text.hour_bucket(F.col("ts")).alias("hour"))
+    """Findings per hour of their own clock; those without a time are left out."""
+    return (threats.filter("ts is not null")
+            .groupBy(text.hour_bucket(F.col("ts"), text.offset_of(threats)).alias("hour"))
             .agg(F.count("*").alias("count")).orderBy("hour"))
 
 
@@ -230,6 +231,21 @@ def summary(entries: DataFrame, threats: DataFrame, blocked: DataFrame | None =
     return rows.agg(*columns).withColumn("source_file", F.lit(source_file))
 
 
+def classic_summary(entries: DataFrame, threats: DataFrame, blocked: DataFrame | None = None,
+                    started: datetime | None = None, ended: datetime | None = None) -> DataFrame:
+    """The classic summary in the nesting of its JSON report, one row."""
+    one = summary(entries, threats, blocked, "", "classic", started, ended)
+    period = F.col("period") if "period" in one.columns else F.lit(None).cast(
+        "struct<start:string,end:string,duration_seconds:double>")
+    return one.select(
+        period.alias("period"),
+        F.struct(F.col("total_lines_processed").alias("lines_processed"), "requests", "unique_ips",
+                 F.col("total_threats").alias("threats_detected"),
+                 F.col("blocked_ips_count").alias("ips_blocked")).alias("totals"),
+        F.col("threat_type_breakdown").alias("threats_by_type"),
+        F.col("severity_breakdown").alias("threats_by_severity"), "top_attacker_ips")
+
+
 def dashboard_stats(entries: DataFrame, threats: DataFrame, top: int = 10, last: int = 50) -> DataFrame:
     """Totals, breakdowns, top addresses and latest findings: (section, position, name, value)."""
     counters = summary_rows(entries, threats).filter(
@@ -293,8 +309,9 @@ def text_report(entries: DataFrame, threats: DataFrame, source_file: str = "",
     types = lines(types, 5, F.col("item"), F.format_string("  %-20s: %4d", "name", "value"))
     top = _ranked(top_attackers(threats, 10), "top", [F.desc("count"), F.col("first")], F.col("ip"), F.col("count"))
     top = lines(top, 7, F.col("position"), F.format_string("  %-20s: %4d threats", "name", "value"))
-    listed = first(threats.select("severity", "threat_type", "source_ip", "ts", "description", "payload", *ORDER),
-                   details)
+    listed = first(threats.select("severity", "threat_type", "source_ip",
+                                  text.local_time(F.col("ts"), text.offset_of(threats)).alias("ts"),
+                                  "description", "payload", *ORDER), details)
     listed = listed.withColumn("item", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*ORDER)))
     stamp = F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("N/A"))
     block = F.array_compact(F.array(
@@ -310,3 +327,36 @@ def text_report(entries: DataFrame, threats: DataFrame, source_file: str = "",
     for part in (counts, bars, types, top, listed, more):
         out = out.unionByName(part)
     return out.orderBy("section", "item", "part")
+
+
+def classic_text_report(entries: DataFrame, threats: DataFrame, blocked: DataFrame | None = None,
+                        started: datetime | None = None, ended: datetime | None = None,
+                        generated: str = "", title: str = "SECURITY REPORT") -> DataFrame:
+    """Lines of the text report (classic profile) with their order: (section, item, part, line).
+
+    Sections of counters are left out when nothing was found.  Every part is a
+    handful of counters, whatever the number of findings.
+    """
+    one = classic_summary(entries, threats, blocked, started, ended).first()     # counters and ten addresses
+    thick, thin = "=" * 70, "-" * 70
+    titles = rules.CLASSIC_REPORT_TITLES
+    shown = {severity: one["threats_by_severity"].get(severity) for severity in reversed(rules.SEVERITIES)}
+    # Types in order of their number of findings, then of their first one.
+    types = [(r["threat_type"], r["count"]) for r in sort_types(threats, "classic").collect()]
+
+    def part(heading: str, lines: Sequence[str]) -> list[str]:
+        return [f"  {titles[heading]}", thin, *lines] if lines else []
+    sections = [
+        [thick, f"  {title}", thick],
+        [f"  Başlangıç : {started.isoformat() if started else 'N/A'}",
+         f"  Bitiş     : {ended.isoformat() if ended else 'N/A'}", thin],
+        part("totals", [f"  {label}: {one['totals'][name]:,}" for name, label in rules.CLASSIC_REPORT_TOTALS.items()])
+        + [thin],
+        part("type", [f"  {name:<30} : {count:,}" for name, count in types]),
+        part("severity", [f"  {name:<30} : {count:,}" for name, count in shown.items() if count]),
+        part("top", [f"  {i:2}. {t['ip']:<20} : {t['count']:,} olay" for i, t in enumerate(one["top_attacker_ips"], 1)]),
+        [f"  Rapor oluşturuldu: {generated}", thick]]
+    rows = [(number, i, 0, line) for number, lines in enumerate(sections) for i, line in enumerate(lines)]
+    rows += [(number, 1_000_000, 0, thin) for number in (3, 4, 5) if sections[number]]
+    return session.table(entries.sparkSession, rows, "section int, item int, part int, line string") \
+        .orderBy("section", "item", "part")

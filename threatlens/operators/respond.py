@@ -5,6 +5,8 @@ Nothing here calls a firewall or a web service; the tables say what to do.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +62,15 @@ def responder_stats(threats: DataFrame, alerters: int = 1, block: bool = True) -
         (F.count_if(rank >= 1) * alerters).alias("alerts_sent"))
 
 
-def slack_message(footer: str = "threatlens") -> Column:
-    """A Slack attachment as JSON text (classic profile)."""
+def _clock(offset: Column) -> Column:
+    return F.date_format(text.local_time(F.col("ts"), offset), "yyyy-MM-dd HH:mm:ss")
+
+
+def slack_message(footer: str = "threatlens", offset: Column | None = None) -> Column:
+    """A Slack attachment as JSON text (classic profile); ``offset`` is the clock to show, in minutes."""
     def field(title: str, value: Column, short: bool) -> Column:
         return F.struct(F.lit(title).alias("title"), value.alias("value"), F.lit(short).alias("short"))
-    when = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    when = _clock(F.lit(0) if offset is None else offset)
     fields = F.array(
         field("Kaynak IP", F.col("source_ip"), True), field("Hedef", _or_dash(F.col("target")), True),
         field("Açıklama", F.col("description"), False), field("Zaman", when, True),
@@ -84,13 +90,13 @@ def slack_text() -> Column:
                     "source_ip", F.lit("\n"), "description")
 
 
-def telegram_text() -> Column:
+def telegram_text(offset: Column | None = None) -> Column:
     mark = F.coalesce(F.element_at(lookup.literal_map(rules.TELEGRAM_MARKS), F.col("severity")), F.lit("⚪"))
     return F.concat(
         mark, F.lit(" *"), "severity", F.lit(" - "), "threat_type", F.lit("*\n\n\U0001F4CD Kaynak IP: `"),
         "source_ip", F.lit("`\n\U0001F3AF Hedef: `"), _or_dash(F.col("target")),
         F.lit("`\n\U0001F4DD Açıklama: "), "description", F.lit("\n⏰ Zaman: `"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("`"),
+        F.coalesce(_clock(F.lit(0) if offset is None else offset), F.lit("N/A")), F.lit("`"),
         F.when(F.col("payload") != "", F.concat(
             F.lit("\n\U0001F489 Payload: `"), text.truncate(F.col("payload"), 300), F.lit("`")))
         .otherwise(F.lit("")))
@@ -105,9 +111,10 @@ def alert_outbox(threats: DataFrame, profile: str = "classic") -> DataFrame:
     carried = ["seq", "det", "severity", "threat_type", "source_ip"]
     if profile == "strict":
         return threats.select(*carried, F.lit("slack").alias("channel"), slack_text().alias("message"))
+    offset = text.offset_of(threats)
     messages = F.array(
-        F.struct(F.lit("slack").alias("channel"), slack_message().alias("message")),
-        F.struct(F.lit("telegram").alias("channel"), telegram_text().alias("message")))
+        F.struct(F.lit("slack").alias("channel"), slack_message(offset=offset).alias("message")),
+        F.struct(F.lit("telegram").alias("channel"), telegram_text(offset).alias("message")))
     return alertable(threats).select(*carried, F.explode(messages).alias("m")).select(*carried, "m.*")
 
 
@@ -122,10 +129,21 @@ def write_threats(threats: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 def write_json_report(entries: DataFrame, threats: DataFrame, path: str, source_file: str = "",
                       blocked: DataFrame | None = None, profile: str = "strict",
-                      generated: str = "", version: str = "1.0.0") -> None:
-    """Findings as JSON lines in ``threats``, the summary as one JSON object in ``summary``."""
+                      generated: str = "", version: str = "1.0.0", started: datetime | None = None,
+                      ended: datetime | None = None) -> None:
+    """Findings as JSON lines in ``threats``, the summary as one JSON object in ``summary``.
+
+    Each profile has its own layout of the summary.  Findings are never put into
+    that one object, as their number has no bound.
+    """
     from threatlens.operators.detect import threat_dict
     threat_dict(threats, profile).write.mode("overwrite").json(f"{path}/threats")
+    if blocked is not None:
+        blocked.select("ip").distinct().write.mode("overwrite").json(f"{path}/blocked_ips")
+    if profile == "classic":
+        reports.classic_summary(entries, threats, blocked, started, ended) \
+            .coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+        return
     top = reports.top_attackers(threats, 10).agg(F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("rank"), "first", "ip", "count"))),
         lambda r: F.struct(r["ip"].alias("ip"), r["count"].alias("count"))).alias("top_attacker_ips"))
@@ -136,8 +154,6 @@ def write_json_report(entries: DataFrame, threats: DataFrame, path: str, source_
     (line.join(top.withColumn("_one", F.lit(1)), "_one")      # one row on either side
      .select(meta.alias("meta"), "summary", "top_attacker_ips")
      .coalesce(1).write.mode("overwrite").json(f"{path}/summary"))
-    if blocked is not None:
-        blocked.select("ip").distinct().write.mode("overwrite").json(f"{path}/blocked_ips")
 
 
 def write_text_report(report: DataFrame, path: str) -> None:

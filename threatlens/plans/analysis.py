@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,14 +52,18 @@ class Analysis:
     def campaigns(self) -> DataFrame:
         return campaigns.campaigns(self.threats)
 
-    def write_reports(self, path: str, fmt: str = "both", generated: str = "") -> None:
+    def write_reports(self, path: str, fmt: str = "both", generated: str = "",
+                      started: datetime | None = None, ended: datetime | None = None) -> None:
+        """The report files of the profile; only the classic ones show the run's period."""
         if fmt in ("json", "both"):
             respond.write_json_report(self.entries, self.threats, f"{path}/json", self.source,
-                                      self.blocks, self.profile, generated)
+                                      self.blocks, self.profile, generated, started=started, ended=ended)
         if fmt in ("txt", "text", "both"):
-            respond.write_text_report(
-                reports.text_report(self.entries, self.threats, self.source, generated, self.blocks),
-                f"{path}/text")
+            if self.profile == "classic":
+                report = reports.classic_text_report(self.entries, self.threats, self.blocks, started, ended, generated)
+            else:
+                report = reports.text_report(self.entries, self.threats, self.source, generated, self.blocks)
+            respond.write_text_report(report, f"{path}/text")
 
 
 def analyze_lines(lines: DataFrame, fmt: str = "nginx", profile: str = "strict",

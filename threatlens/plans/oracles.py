@@ -54,6 +54,16 @@ def iso(ts: str = "ts") -> str:
     return f"strftime({ts}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
 
 
+def local(ts: str = "ts", zone: str = "zone") -> str:
+    """The time on the clock of the line."""
+    return f"({ts} + CASE {zone} WHEN '-0500' THEN INTERVAL '-300 minutes' WHEN '+0330' THEN INTERVAL '210 minutes' " \
+           "ELSE INTERVAL '0 minutes' END)"
+
+
+def local_iso(ts: str = "ts", zone: str = "zone") -> str:
+    return f"strftime({local(ts, zone)}, '%Y-%m-%dT%H:%M:%S') || substr({zone}, 1, 3) || ':' || substr({zone}, 4)"
+
+
 def decode_twice(x: str) -> str:
     once = f"url_decode(replace({x}, '+', ' '))"
     return f"CASE WHEN contains({once}, '%') THEN url_decode(replace({once}, '+', ' ')) ELSE {once} END"
@@ -65,7 +75,7 @@ def rank(severity: str = "severity") -> str:
 
 _brute = ", ".join(str(i) for i in bridge.BRUTE_FORCE_TEMPLATES)
 _ids = " ".join(f"WHEN {q(k)} THEN {v}" for k, v in bridge.WINDOWS_IDS.items())
-_time = "strptime({t}, '%d/%b/%Y:%H:%M:%S %z')"
+_time = "try_strptime({t}, '%d/%b/%Y:%H:%M:%S %z')"
 
 # Every CTE with the ones it reads; ``sql`` puts the needed ones in front.
 CTES: dict[str, str] = {
@@ -76,7 +86,10 @@ CTES: dict[str, str] = {
         '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS user_ip,
         CASE event_type {_ids} ELSE 4740 END AS windows_id FROM events""",
     "lines": f"""SELECT event_id, CASE WHEN template IN ({_brute}) THEN {q(bridge.BRUTE_FORCE_IP)} ELSE user_ip END
-        || ' - - [' || strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000] "' || method || ' ' || path || ' HTTP/1.1" '
+        || ' - - [' || CASE WHEN k = 98 THEN '41/Foo/2024:10:00:00 +0000'
+            WHEN k % 10 = 3 THEN strftime(ts - INTERVAL 5 HOUR, '%d/%b/%Y:%H:%M:%S') || ' -0500'
+            WHEN k % 10 = 6 THEN strftime(ts + INTERVAL 210 MINUTE, '%d/%b/%Y:%H:%M:%S') || ' +0330'
+            ELSE strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000' END || '] "' || method || ' ' || path || ' HTTP/1.1" '
         || status || ' ' || CAST(floor(value * 100) AS BIGINT) || ' "' || referrer || '" "' || agent || '"' AS line
         FROM ev JOIN tpl ON k % {len(bridge.TEMPLATES)} = template""",
     "noisy": """SELECT event_id, CASE k % 10 WHEN 7 THEN '# comment' WHEN 8 THEN '   '
@@ -105,12 +118,13 @@ def _access(name: str, lines: str, pattern: str, strict: bool, source: str = "ng
     if not strict and source == "apache":
         agent = f"CASE WHEN {agent} = '' THEN '-' ELSE {agent} END"
     return f"""SELECT event_id, {g(1)} AS ip,
-        CAST({_time.format(t=g(2))} AT TIME ZONE 'UTC' AS TIMESTAMP) AS ts,
+        CAST({_time.format(t=g(2))} AT TIME ZONE 'UTC' AS TIMESTAMP) AS ts, substr({g(2)}, -5) AS zone,
         CAST(split_part({g(2)}, ':', 2) AS INTEGER) AS ts_hour, {g(3)} AS method, {g(4)} AS path,
         {protocol} AS protocol, CAST({g(6 + shift)} AS INTEGER) AS status_code,
         CASE WHEN {g(7 + shift)} = '-' THEN 0 ELSE CAST({g(7 + shift)} AS BIGINT) END AS bytes_sent,
         {referrer} AS referrer, {agent} AS user_agent, line AS raw, {q(source)} AS source
-        FROM {lines} WHERE {matches(pattern)}"""
+        FROM {lines} WHERE {matches(pattern)}""" + (
+        "" if strict else f" AND {_time.format(t=g(2))} IS NOT NULL")
 
 
 CTES["entries"] = _access("entries", "lines", rules.ACCESS_STRICT_LINE, True)
@@ -131,7 +145,7 @@ def _strict_rule(rule: rules.PatternRule, det: int) -> str:
     description = q(rule.description.split("%1$s")[0]) + " || ip" + (
         " || ': ' || user_agent" if "%2$s" in rule.description else "")
     return f"""SELECT event_id, {det} AS det, {q(rule.threat_type)} AS threat_type, {q(rule.severity)} AS severity,
-        ip AS source_ip, ts, {description} AS description, path AS target, {payload} AS payload,
+        ip AS source_ip, ts, zone, {description} AS description, path AS target, {payload} AS payload,
         CAST({rule.confidence} AS DOUBLE) AS confidence, user_agent
         FROM texts WHERE {any_match(column, rule.patterns)}"""
 
@@ -145,7 +159,7 @@ def _classic_rule(rule: rules.PatternRule, det: int) -> str:
     pattern = first_pattern(column, rule.patterns) if rule.name == "sql_injection" else "CAST(NULL AS VARCHAR)"
     shown = "user_agent" if rule.text == "user_agent" else "substr(dp, 1, 500)"
     return f"""SELECT event_id, {det} AS det, {q(rule.threat_type)} AS threat_type, {q(rule.severity)} AS severity,
-        ip AS source_ip, ts, {description} AS description, path AS target, {payload} AS payload,
+        ip AS source_ip, ts, zone, {description} AS description, path AS target, {payload} AS payload,
         {pattern} AS pattern, {shown} AS shown, user_agent
         FROM ctexts WHERE {any_match(column, rule.patterns)}"""
 
@@ -165,7 +179,7 @@ def sliding(source: str, window: int, key: str = "ip") -> str:
     """Rows so far of the key minus those older than the window."""
     return f"""SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id)
         - count(*) OVER (PARTITION BY {key} ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING
-            AND INTERVAL {window * 1_000_000 + 1} MICROSECONDS PRECEDING) AS n FROM {source}"""
+            AND INTERVAL {window * 1_000_000 + 1} MICROSECONDS PRECEDING) AS n FROM {source} WHERE ts IS NOT NULL"""
 
 
 _login = " OR ".join(f"contains(lower(path), {q(m)})" for m in rules.STRICT_LOGIN_MARKERS)
@@ -173,7 +187,7 @@ CTES["s_candidates"] = f"""SELECT * FROM entries
     WHERE status_code IN (401, 403) OR (({_login}) AND status_code >= 400)"""
 CTES["s_counted"] = sliding("s_candidates", WINDOW)
 CTES["s_bruteforce"] = f"""SELECT event_id, 4 AS det, 'BRUTE_FORCE' AS threat_type,
-    CASE WHEN n >= {2 * THRESHOLD} THEN 'CRITICAL' ELSE 'HIGH' END AS severity, ip AS source_ip, ts,
+    CASE WHEN n >= {2 * THRESHOLD} THEN 'CRITICAL' ELSE 'HIGH' END AS severity, ip AS source_ip, ts, zone,
     'Brute force: ' || n || ' failed attempts in {WINDOW}s from ' || ip AS description, path AS target,
     path AS payload, least(CAST(1 AS DOUBLE), n / CAST({THRESHOLD} AS DOUBLE)) AS confidence, user_agent
     FROM s_counted WHERE n >= {THRESHOLD}"""
@@ -182,11 +196,11 @@ CTES["c_candidates"] = f"""SELECT * FROM classic
     WHERE split_part(lower(path), '?', 1) IN ({_paths}) AND status_code IN (401, 403, 200)"""
 CTES["c_counted"] = sliding("c_candidates", WINDOW)
 CTES["c_bruteforce"] = f"""SELECT event_id, 0 AS det, 'BRUTE_FORCE' AS threat_type, 'HIGH' AS severity, ip AS source_ip,
-    ts, 'Brute Force saldırısı tespit edildi: ' || n || ' istek / {WINDOW}s' AS description, path AS target,
+    ts, zone, 'Brute Force saldırısı tespit edildi: ' || n || ' istek / {WINDOW}s' AS description, path AS target,
     '' AS payload, CAST(NULL AS VARCHAR) AS pattern, CAST(n AS VARCHAR) AS shown, user_agent
     FROM c_counted WHERE n >= {CLASSIC_BF_THRESHOLD}"""
 CTES["d_counted"] = sliding("classic", WINDOW)
-CTES["c_ddos"] = f"""SELECT event_id, 1 AS det, 'DDOS' AS threat_type, 'CRITICAL' AS severity, ip AS source_ip, ts,
+CTES["c_ddos"] = f"""SELECT event_id, 1 AS det, 'DDOS' AS threat_type, 'CRITICAL' AS severity, ip AS source_ip, ts, zone,
     'Olası DDoS saldırısı: ' || n || ' istek / {WINDOW}s' AS description, path AS target, '' AS payload,
     CAST(NULL AS VARCHAR) AS pattern, CAST(n AS VARCHAR) AS shown, user_agent
     FROM d_counted WHERE n >= {DDOS_THRESHOLD}"""

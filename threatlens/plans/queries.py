@@ -8,6 +8,7 @@ sparse, so window queries use hours where live traffic would use seconds.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,11 @@ def _iso(column: str = "ts", name: str = "ts") -> Column:
     return text.iso_time(F.col(column)).alias(name)
 
 
+def _local() -> Column:
+    """The time on the event's own clock."""
+    return text.iso_time(F.col("ts"), F.col("ts_offset")).alias("ts")
+
+
 def _write_lines(lines: DataFrame, path: str) -> str:
     """Text files whose name order is the arrival order."""
     (lines.repartitionByRange("seq").sortWithinPartitions("seq").select("value")
@@ -193,11 +199,11 @@ def _(spark, d):
 # --- parsers -----------------------------------------------------------------
 _ENTRY = ["ip", "ts_hour", "method", "path", "protocol", "status_code", "bytes_sent", "referrer",
           "user_agent", "raw", "source"]
-_ENTRY_SQL = f"SELECT event_id, {o.iso()} AS ts, {', '.join(_ENTRY)} FROM "
+_ENTRY_SQL = f"SELECT event_id, {o.local_iso()} AS ts, {', '.join(_ENTRY)} FROM "
 
 
 def _entry_columns(entries: DataFrame) -> DataFrame:
-    return entries.select(_id(), _iso(), *_ENTRY)
+    return entries.select(_id(), _local(), *_ENTRY)
 
 
 @query("parse_nginx_strict", _ENTRY_SQL + "noisy_entries")
@@ -222,7 +228,7 @@ def _(spark, d):
 
 _S = rules.SYSLOG_STRICT_LINE
 _SYSLOG_STRICT_SQL = f"""SELECT event_id, strftime(strptime('2024 ' || {o.group(_S, 1)}, '%Y %b %d %H:%M:%S'),
-    '%Y-%m-%dT%H:%M:%S') || '+00:00' AS ts,
+    '%Y-%m-%dT%H:%M:%S') AS ts,
     coalesce(nullif(regexp_extract({o.group(_S, 5)}, {o.q(rules.SYSLOG_LABELLED_IP)}, 1), ''),
              nullif(regexp_extract({o.group(_S, 5)}, {o.q(rules.ANY_IP)}, 1), ''), '0.0.0.0') AS ip,
     'SYSLOG' AS method, '/' || trim({o.group(_S, 3)}) AS path, 0 AS status_code,
@@ -234,7 +240,7 @@ _SYSLOG_STRICT_SQL = f"""SELECT event_id, strftime(strptime('2024 ' || {o.group(
 @query("parse_syslog_strict", _SYSLOG_STRICT_SQL)
 def _(spark, d):
     entries = parsers.parse_syslog_entries(bridge.syslog_3164_lines(_events(spark, d)), year=2024)
-    return entries.select(_id(), _iso(), "ip", "method", "path", "status_code", "user_agent",
+    return entries.select(_id(), _local(), "ip", "method", "path", "status_code", "user_agent",
                           *[F.col("extra")[k].alias(k) for k in ("hostname", "program", "pid", "message")])
 
 
@@ -244,12 +250,12 @@ _L = rules.SYSLOG_3164_LINE
 
 @query("parse_syslog_3164", f"""SELECT event_id, '2024-' || strftime(strptime({o.group(_L, 1)} || ' ' ||
     trim({o.group(_L, 2)}) || ' 2024', '%b %d %Y'), '%m-%d') || 'T' || {o.group(_L, 3)} || ':' || {o.group(_L, 4)}
-    || ':' || {o.group(_L, 5)} || '+00:00' AS ts, {o.group(_L, 6)} AS hostname, {o.group(_L, 7)} AS process,
+    || ':' || {o.group(_L, 5)} AS ts, {o.group(_L, 6)} AS hostname, {o.group(_L, 7)} AS process,
     {o.group(_L, 8)} AS pid, {o.group(_L, 9)} AS message, 'INFO' AS severity,
     'syslog' AS facility FROM syslog WHERE {o.matches(_L)}""")
 def _(spark, d):
     return parsers.parse_syslog_messages(bridge.syslog_3164_lines(_events(spark, d)), year=2024).select(
-        _id(), _iso(), *_M[:2], F.coalesce(F.col("pid").cast("string"), F.lit("")).alias("pid"), *_M[3:])
+        _id(), _local(), *_M[:2], F.coalesce(F.col("pid").cast("string"), F.lit("")).alias("pid"), *_M[3:])
 
 
 _N = rules.SYSLOG_5424_LINE
@@ -265,14 +271,14 @@ _FACILITY = " ".join(f"WHEN {i} THEN '{s}'" for i, s in rules.SYSLOG_FACILITIES.
     FROM syslog5424 WHERE {o.matches(_N)}""")
 def _(spark, d):
     return parsers.parse_syslog_messages(bridge.syslog_5424_lines(_events(spark, d)), year=2024).select(
-        _id(), _iso(), *_M[:2], F.coalesce(F.col("pid").cast("string"), F.lit("")).alias("pid"), *_M[3:])
+        _id(), _local(), *_M[:2], F.coalesce(F.col("pid").cast("string"), F.lit("")).alias("pid"), *_M[3:])
 
 
 _W = rules.WINDOWS_CSV_LINE
 _EVENT_LABEL = " ".join(f"WHEN {i} THEN '{s}'" for i, s in rules.WINDOWS_EVENT_LABELS.items())
 
 
-@query("parse_windows_csv", f"""SELECT event_id, {o.group(_W, 1)} || 'T' || {o.group(_W, 2)} || '+00:00' AS ts,
+@query("parse_windows_csv", f"""SELECT event_id, {o.group(_W, 1)} || 'T' || {o.group(_W, 2)} AS ts,
     coalesce(nullif(regexp_extract({o.group(_W, 6)}, {o.q(rules.WINDOWS_LABELLED_IP)}, 1), ''), '0.0.0.0') AS ip,
     'EVENT' AS method, '/event/' || {o.group(_W, 4)} AS path, CAST({o.group(_W, 4)} AS INTEGER) AS status_code,
     'Windows/' || trim({o.group(_W, 3)}) AS user_agent, trim({o.group(_W, 5)}) AS level,
@@ -280,7 +286,7 @@ _EVENT_LABEL = " ".join(f"WHEN {i} THEN '{s}'" for i, s in rules.WINDOWS_EVENT_L
     AS event_description FROM wincsv WHERE {o.matches(_W)}""")
 def _(spark, d):
     entries = parsers.parse_windows_csv(bridge.windows_csv_lines(_events(spark, d)))
-    return entries.select(_id(), _iso(), "ip", "method", "path", "status_code", "user_agent",
+    return entries.select(_id(), _local(), "ip", "method", "path", "status_code", "user_agent",
                           *[F.col("extra")[k].alias(k) for k in ("level", "message", "event_description")])
 
 
@@ -299,7 +305,7 @@ def _(spark, d):
     return out
 
 
-@query("entry_projection", f"""SELECT event_id, ip, {o.iso()} AS timestamp, method, path, status_code, bytes_sent,
+@query("entry_projection", f"""SELECT event_id, ip, {o.local_iso()} AS timestamp, method, path, status_code, bytes_sent,
     referrer, user_agent, source FROM entries""")
 def _(spark, d):
     return parsers.entry_projection(_entries(spark, d)).select(_id(), "*").drop("seq")
@@ -350,9 +356,11 @@ def _(spark, d):
     return docs.select("doc_id", text.extract_ip(F.col("text")).alias("ip"))
 
 
-@query("fn_hour_bucket", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:00') AS hour FROM ev")
+@query("fn_hour_bucket", f"""SELECT event_id, strftime({o.local()}, '%Y-%m-%dT%H:00') AS hour,
+    strftime(ts, '%Y-%m-%dT%H:00') AS utc_hour FROM entries""")
 def _(spark, d):
-    return _events(spark, d).select("event_id", text.hour_bucket(F.col("ts")).alias("hour"))
+    return _entries(spark, d).select(_id(), text.hour_bucket(F.col("ts"), F.col("ts_offset")).alias("hour"),
+                                     text.hour_bucket(F.col("ts")).alias("utc_hour"))
 
 
 _STRICT_METHOD = " ".join(f"WHEN '{m}' THEN {c}" for m, c in rules.STRICT_METHOD_CODES.items())
@@ -405,11 +413,18 @@ def _(spark, d):
 
 @query("fn_iso_ts", """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0
     THEN '' ELSE '.' || lpad(CAST(microsecond(ts) % 1000000 AS VARCHAR), 6, '0') END || '+00:00' AS iso,
-    CAST(epoch_us(ts) AS BIGINT) AS micros FROM events""")
+    CAST(epoch_us(ts) AS BIGINT) AS micros, CASE WHEN event_id % 4 < 3 THEN strftime(ts + CASE event_id % 4
+    WHEN 0 THEN INTERVAL '-570 minutes' WHEN 1 THEN INTERVAL '345 minutes' ELSE INTERVAL '0 minutes' END,
+    '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0
+    THEN '' ELSE '.' || lpad(CAST(microsecond(ts) % 1000000 AS VARCHAR), 6, '0') END ||
+    CASE event_id % 4 WHEN 0 THEN '-09:30' WHEN 1 THEN '+05:45' ELSE '' END END AS shown FROM events""")
 def _(spark, d):
     raw = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     iso = text.iso_time(F.col("ts"))
-    return raw.select("event_id", iso.alias("iso"), F.unix_micros(text.parse_iso(iso)).alias("micros"))
+    turn = F.col("event_id") % 4
+    offset = F.when(turn == 0, F.lit(-570)).when(turn == 1, F.lit(345))     # else a time without an offset
+    shown = F.when(turn < 3, text.iso_time(F.col("ts"), offset))
+    return raw.select("event_id", iso.alias("iso"), F.unix_micros(text.parse_iso(iso)).alias("micros"), shown.alias("shown"))
 
 
 @query("fn_parse_reply", """SELECT event_id, CASE WHEN k % 5 < 4 THEN CASE WHEN event_type = 'error' THEN 'HIGH'
@@ -755,7 +770,8 @@ def _(spark, d):
     return reports.merge_reports(per_file).select("lines", "threats")
 
 
-@query("threat_timeline", "SELECT strftime(ts, '%Y-%m-%dT%H:00') AS hour, count(*) AS count FROM threats GROUP BY 1")
+@query("threat_timeline", f"""SELECT strftime({o.local()}, '%Y-%m-%dT%H:00') AS hour, count(*) AS count
+    FROM threats WHERE ts IS NOT NULL GROUP BY 1""")
 def _(spark, d):
     return reports.timeline(_threats(spark, d))
 
@@ -790,7 +806,7 @@ def _(spark, d):
 @query("period_reports", """SELECT threat_type, strftime(period, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS period_start,
     count, attackers, count - lag(count, 1, 0) OVER (PARTITION BY threat_type ORDER BY period) AS change FROM (
     SELECT threat_type, date_trunc('day', ts) AS period, count(*) AS count, count(DISTINCT source_ip) AS attackers
-    FROM threats GROUP BY ALL)""")
+    FROM threats WHERE ts IS NOT NULL GROUP BY ALL)""")
 def _(spark, d):
     return reports.period_report(_threats(spark, d)).select(
         "threat_type", _iso("period_start", "period_start"), "count", "attackers", "change")
@@ -807,7 +823,9 @@ _GAP = 86400
 @query("campaigns_with_gap", f"""SELECT ip, attack_type, {o.iso('session')} AS session, count(*) AS attempts FROM (
     SELECT *, max(CASE WHEN fresh THEN ts END) OVER (PARTITION BY ip, attack_type ORDER BY ts, event_id
         ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, coalesce({o.seconds()} - lag({o.seconds()}) OVER (
-        PARTITION BY ip, attack_type ORDER BY ts, event_id) >= {_GAP}, true) AS fresh FROM tagged)) GROUP BY ALL""")
+        PARTITION BY ip, attack_type ORDER BY ts, event_id) >= {_GAP}, true) AS fresh
+        FROM tagged WHERE ts IS NOT NULL)) GROUP BY ALL
+    UNION ALL SELECT ip, attack_type, NULL, count(*) FROM tagged WHERE ts IS NULL GROUP BY ALL""")
 def _(spark, d):
     return campaigns.campaigns(_threats(spark, d), gap="1 day").select(
         "ip", "attack_type", _iso("session", "session"), "attempts")
@@ -889,7 +907,7 @@ def _(spark, d):
 
 
 # --- sinks -------------------------------------------------------------------
-@query("sink_json_report", f"SELECT threat_type, severity, source_ip, {o.iso()} AS timestamp, payload FROM threats")
+@query("sink_json_report", f"SELECT threat_type, severity, source_ip, {o.local_iso()} AS timestamp, payload FROM threats")
 def _(spark, d):
     path = session.fresh_path(spark, "report")
     run = analysis.analyze_entries(_entries(spark, d), "strict", CONFIG).materialize(session.fresh_path(spark, "run"))
@@ -922,7 +940,7 @@ _REPORT_SQL = f"""SELECT CAST(section AS INTEGER) AS section, CAST(item AS INTEG
         FROM ({_TOP_SQL.format(t="threats", n=10)}) top
     UNION ALL SELECT 9, item, part, line FROM (SELECT item, unnest([0, 1, CASE WHEN payload <> '' THEN 2 END,
         CASE WHEN payload <> '' THEN 3 ELSE 2 END]) AS part, unnest(['  [' || item || '] ' || severity || ' | ' ||
-        threat_type || ' | ' || source_ip || ' | ' || strftime(ts, '%Y-%m-%d %H:%M:%S'), '      ' || description,
+        threat_type || ' | ' || source_ip || ' | ' || coalesce(strftime({o.local()}, '%Y-%m-%d %H:%M:%S'), 'N/A'), '      ' || description,
         CASE WHEN payload <> '' THEN '      Payload: ' || substr(payload, 1, 120) END, '']) AS line FROM (
         SELECT *, row_number() OVER (ORDER BY event_id, det) AS item FROM threats) WHERE item <= 100)
         WHERE part IS NOT NULL
@@ -936,6 +954,82 @@ def _(spark, d):
     return reports.text_report(run.entries, run.threats, source_file="events")
 
 
+_STARTED, _ENDED = datetime(2024, 3, 1, 8, 0), datetime(2024, 3, 1, 8, 1, 30)
+_CLASSIC_TOTALS = """SELECT 'lines_processed' AS name, count(*) AS n FROM classic
+    UNION ALL SELECT 'requests', count(*) FROM classic
+    UNION ALL SELECT 'unique_ips', count(*) FROM (SELECT ip FROM classic UNION SELECT source_ip FROM cthreats)
+    UNION ALL SELECT 'threats_detected', count(*) FROM cthreats UNION ALL SELECT 'ips_blocked', count(*) FROM blocks"""
+_AUTO_BLOCK = {**CONFIG, "response": {"auto_block": {"enabled": True}}}
+
+
+def _classic_run(spark: SparkSession, d: str) -> analysis.Analysis:
+    return analysis.analyze_entries(_entries(spark, d, "classic"), "classic", _AUTO_BLOCK).materialize(
+        session.fresh_path(spark, "run"))
+
+
+@query("sink_json_report_classic", f"""SELECT 'totals' AS section, name, n AS value FROM ({_CLASSIC_TOTALS}) t
+    UNION ALL SELECT 'threats_by_type', threat_type, count(*) FROM cthreats GROUP BY threat_type
+    UNION ALL SELECT 'threats_by_severity', severity, count(*) FROM cthreats GROUP BY severity
+    UNION ALL SELECT 'top_attacker_ips', (row_number() OVER (ORDER BY count DESC, first)) || ' ' || ip, count
+        FROM ({_TOP_SQL.format(t="cthreats", n=10)}) top
+    UNION ALL SELECT 'period', '2024-03-01T08:00:00 2024-03-01T08:01:30', 90
+    UNION ALL SELECT 'threat_details', {o.local_iso()}, count(*) FROM cthreats GROUP BY {o.local_iso()}""")
+def _(spark, d):
+    path, counts = session.fresh_path(spark, "report"), "map<string,bigint>"
+    run = _classic_run(spark, d)
+    respond.write_json_report(run.entries, run.threats, path, blocked=run.blocks, profile="classic",
+                              started=_STARTED, ended=_ENDED)
+    report = spark.read.schema(
+        f"totals {counts}, threats_by_type {counts}, threats_by_severity {counts}, "
+        "top_attacker_ips array<struct<ip:string,count:bigint>>, "
+        "period struct<start:string,end:string,duration_seconds:double>").json(f"{path}/summary")
+    out = report.select(F.lit("period").alias("section"), F.concat_ws(" ", "period.start", "period.end").alias("name"),
+                        F.col("period.duration_seconds").cast("bigint").alias("value"))
+    for section in ("totals", "threats_by_type", "threats_by_severity"):
+        out = out.unionByName(report.select(F.lit(section).alias("section"), F.explode(section).alias("name", "value")))
+    top = report.select(F.posexplode("top_attacker_ips").alias("place", "t")).select(
+        F.lit("top_attacker_ips").alias("section"),
+        F.concat_ws(" ", (F.col("place") + 1).cast("string"), "t.ip").alias("name"), F.col("t.count").alias("value"))
+    details = spark.read.json(f"{path}/threats").groupBy("timestamp").agg(F.count("*").alias("value")).select(
+        F.lit("threat_details").alias("section"), F.col("timestamp").alias("name"), "value")
+    return out.unionByName(top).unionByName(details)
+
+
+_TOTAL_LINES = " UNION ALL ".join(
+    f"SELECT 2, {i + 2}, '  {label}: ' || format('{{:,}}', n) FROM ({_CLASSIC_TOTALS}) t WHERE name = '{name}'"
+    for i, (name, label) in enumerate(rules.CLASSIC_REPORT_TOTALS.items()))
+_THIN = "'" + "-" * 70 + "'"
+
+
+def _part(section: int, title: str, last: str) -> str:
+    return f"SELECT {section}, 0, {o.q('  ' + title)} UNION ALL SELECT {section}, 1, {_THIN} UNION ALL " \
+           f"SELECT {section}, {last}, {_THIN}"
+
+
+@query("sink_text_report_classic", f"""SELECT CAST(section AS INTEGER) AS section, CAST(item AS INTEGER) AS item, line
+    FROM ({o.values([(0, i, x) for i, x in enumerate(["=" * 70, "  SECURITY REPORT", "=" * 70])])}
+    UNION ALL {o.values([(1, i, x) for i, x in enumerate([
+        "  Başlangıç : 2024-03-01T08:00:00", "  Bitiş     : 2024-03-01T08:01:30", "-" * 70])])}
+    UNION ALL {_part(2, rules.CLASSIC_REPORT_TITLES["totals"], "7")} UNION ALL {_TOTAL_LINES}
+    UNION ALL {_part(3, rules.CLASSIC_REPORT_TITLES["type"], "1000000")}
+    UNION ALL SELECT 3, 1 + row_number() OVER (ORDER BY n DESC, first), printf('  %-30s : ', threat_type)
+        || format('{{:,}}', n) FROM (SELECT threat_type, count(*) AS n, min(event_id * 10 + det) AS first
+        FROM cthreats GROUP BY threat_type) by_type
+    UNION ALL {_part(4, rules.CLASSIC_REPORT_TITLES["severity"], "1000000")}
+    UNION ALL SELECT 4, 5 - ({o.rank()}), printf('  %-30s : ', severity) || format('{{:,}}', count(*))
+        FROM cthreats GROUP BY severity
+    UNION ALL {_part(5, rules.CLASSIC_REPORT_TITLES["top"], "1000000")}
+    UNION ALL SELECT 5, 1 + place, printf('  %2d. %-20s : ', place, ip) || format('{{:,}}', count) || ' olay'
+        FROM (SELECT *, row_number() OVER (ORDER BY count DESC, first) AS place
+        FROM ({_TOP_SQL.format(t="cthreats", n=10)}) top) placed
+    UNION ALL {o.values([(6, 0, "  Rapor oluşturuldu: 2024-03-01 08:02:00"), (6, 1, "=" * 70)])}
+    ) r(section, item, line)""")
+def _(spark, d):
+    run = _classic_run(spark, d)
+    return reports.classic_text_report(run.entries, run.threats, run.blocks, _STARTED, _ENDED,
+                                       "2024-03-01 08:02:00").select("section", "item", "line")
+
+
 @query("sink_threats", "SELECT strftime(ts, '%Y-%m-%d') AS day, severity, count(*) AS n FROM threats GROUP BY ALL")
 def _(spark, d):
     path = session.fresh_path(spark, "threats")
@@ -951,7 +1045,7 @@ _MARK = " ".join(f"WHEN '{s}' THEN '{c}'" for s, c in rules.TELEGRAM_MARKS.items
 @query("alert_outbox", f"""SELECT event_id, det, 'telegram' AS channel, CASE severity {_MARK} END || ' *' || severity
     || ' - ' || threat_type || '*' || chr(10) || chr(10) || '\U0001F4CD Kaynak IP: `' || source_ip || '`' || chr(10)
     || '\U0001F3AF Hedef: `' || target || '`' || chr(10) || '\U0001F4DD Açıklama: ' || description || chr(10)
-    || '⏰ Zaman: `' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '`' || CASE WHEN payload <> '' THEN chr(10)
+    || '⏰ Zaman: `' || strftime({o.local()}, '%Y-%m-%d %H:%M:%S') || '`' || CASE WHEN payload <> '' THEN chr(10)
     || '\U0001F489 Payload: `' || substr(payload, 1, 300) || '`' ELSE '' END AS shown FROM cthreats WHERE severity <> 'LOW'
     UNION ALL SELECT event_id, det, 'slack', CASE severity {_COLOR} END || ' \U0001F6A8 ' || severity || ' - ' ||
     threat_type || ' ' || {o.seconds()} || ' ' || CASE WHEN payload <> '' THEN 5 ELSE 4 END
@@ -1044,7 +1138,7 @@ def _(spark, d):
     count(*) AS attempts FROM (SELECT *, max(CASE WHEN fresh THEN ts END) OVER (PARTITION BY source_ip, threat_type
     ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, coalesce({o.seconds()} -
     lag({o.seconds()}) OVER (PARTITION BY source_ip, threat_type ORDER BY ts, event_id) >= {_GAP}, true) AS fresh
-    FROM ({_ROWWISE}) t) f) s GROUP BY ALL""")
+    FROM ({_ROWWISE}) t WHERE ts IS NOT NULL) f) s GROUP BY ALL""")
 def _(spark, d):
     paths = _paths(spark)
 

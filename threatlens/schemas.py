@@ -4,6 +4,10 @@
 (a file split, or a range of ids) and sorts in input order; ``seq.pos`` orders
 rows inside the slice.  Operators that must rank rows in arrival order rank
 inside one slice and add per-slice offsets, so no task ever sorts a whole key.
+
+``ts`` is an instant; ``ts_offset`` has the minutes from UTC the line was written
+with, and is null for times that name no offset.  Times are compared as instants
+and shown on the event's own clock.
 """
 
 from __future__ import annotations
@@ -19,11 +23,11 @@ LINES = T.StructType([
     T.StructField("seq", SEQ),
 ])
 ENTRY_COLUMNS = (
-    "ip", "ts", "ts_hour", "method", "path", "protocol", "status_code", "bytes_sent",
+    "ip", "ts", "ts_offset", "ts_hour", "method", "path", "protocol", "status_code", "bytes_sent",
     "referrer", "user_agent", "raw", "source", "extra",
 )
 THREAT_COLUMNS = (
-    "threat_type", "severity", "source_ip", "ts", "description", "target", "payload",
+    "threat_type", "severity", "source_ip", "ts", "ts_offset", "description", "target", "payload",
     "confidence", "details", "raw_log", "detection_method", "user_agent", "det",
 )
 REPLY = T.StructType([

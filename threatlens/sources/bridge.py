@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlens import session
-from threatlens.functions.text import floor_div
+from threatlens.functions.text import floor_div, local_time
 from threatlens.sources.files import seq_of
 
 # Request lines of our own: (method, path, status, referrer, user agent).  Together they reach
@@ -72,6 +72,8 @@ TEMPLATES = (
 BRUTE_FORCE_TEMPLATES = (48, 49)
 BRUTE_FORCE_IP = "203.0.113.9"
 WINDOWS_IDS = {"error": 4625, "view": 4624, "click": 4672, "purchase": 1102}   # others: 4740
+OFFSETS = {3: (-300, "-0500"), 6: (210, "+0330")}      # by the last digit of k; others write UTC
+UNREADABLE = 98    # the k whose lines have no readable time
 SLICE = 65536      # ids per slice of the arrival order
 
 
@@ -103,14 +105,33 @@ def _templates(spark: SparkSession) -> DataFrame:
         "template int, method string, path string, status int, referrer string, agent string")
 
 
+def offset_minutes(k: Column) -> Column:
+    """Minutes from UTC of the clock that writes a line."""
+    out = F.lit(0)
+    for remainder, (minutes, _) in OFFSETS.items():
+        out = F.when(k % 10 == remainder, F.lit(minutes)).otherwise(out)
+    return out
+
+
+def _stamp() -> Column:
+    k, zone = F.col("k"), F.lit("+0000")
+    for remainder, (_, name) in OFFSETS.items():
+        zone = F.when(k % 10 == remainder, F.lit(name)).otherwise(zone)
+    local = F.date_format(local_time(F.col("ts"), offset_minutes(k)), "dd/MMM/yyyy:HH:mm:ss")
+    return F.when(k == UNREADABLE, F.lit("41/Foo/2024:10:00:00 +0000")).otherwise(F.concat(local, F.lit(" "), zone))
+
+
 def access_lines(events: DataFrame) -> DataFrame:
-    """Combined-format access log lines; the template table has 50 rows."""
+    """Combined-format access log lines in several time zones; the template table has 50 rows.
+
+    A hundredth of the lines have a time that cannot be read.
+    """
     brute = F.col("template").isin(*BRUTE_FORCE_TEMPLATES)
     return (events.withColumn("template", F.col("k") % len(TEMPLATES))
             .join(F.broadcast(_templates(events.sparkSession)), "template")
             .select(F.concat(
                 F.when(brute, F.lit(BRUTE_FORCE_IP)).otherwise(F.col("user_ip")), F.lit(" - - ["),
-                F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "'),
+                _stamp(), F.lit('] "'),
                 F.col("method"), F.lit(" "), F.col("path"), F.lit(' HTTP/1.1" '),
                 F.col("status").cast("string"), F.lit(" "),
                 F.floor(F.col("value") * 100).cast("bigint").cast("string"),
