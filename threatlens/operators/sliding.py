@@ -24,10 +24,9 @@ def _busy(instants: DataFrame, window_us: int, at_least: int) -> DataFrame:
     """
     stretch = floor_div(F.col("_us"), window_us)
     sums = instants.groupBy("_key", stretch.alias("_stretch")).agg(F.sum("_n").alias("_sum"))
-    both = sums.unionByName(sums.withColumn("_stretch", F.col("_stretch") + 1)) \
+    both = sums.select("_key", "_sum", F.explode(F.array("_stretch", F.col("_stretch") + 1)).alias("_stretch")) \
         .groupBy("_key", "_stretch").agg(F.sum("_sum").alias("_sum")).filter(F.col("_sum") >= at_least)
-    wanted = both.select("_key", "_stretch").unionByName(
-        both.select("_key", (F.col("_stretch") - 1).alias("_stretch"))).distinct()
+    wanted = both.select("_key", F.explode(F.array("_stretch", F.col("_stretch") - 1)).alias("_stretch")).distinct()
     return instants.withColumn("_stretch", stretch).join(wanted, ["_key", "_stretch"], "left_semi").drop("_stretch")
 
 
@@ -61,16 +60,18 @@ def _counts_before(instants: DataFrame, window_us: int) -> DataFrame:
     """For every (key, instant, slice): rows of the window that arrived earlier.
 
     That is the rank of the instant less the rank of the place one window
-    before it, which a probe without rows takes among the same points.
+    before it, which a probe without rows takes among the same points.  Instants
+    and probes come from one explode and meet again in a window of one instant,
+    so the plan holds its input once and not per role.
     """
-    own = instants.select("_key", "_us", "_part", "_n", F.lit(1).alias("_kind"))
-    probes = instants.select("_key", (F.col("_us") - window_us).alias("_us")).distinct().select(
-        "_key", "_us", F.lit("").alias("_part"), F.lit(0).cast("bigint").alias("_n"), F.lit(0).alias("_kind"))
-    ranked = _ranked(own.unionByName(probes))
-    expired = ranked.filter("_kind = 0").select(
-        "_key", (F.col("_us") + window_us).alias("_us"), F.col("_rank").alias("_expired"))
-    return ranked.filter("_kind = 1").join(expired, ["_key", "_us"]).select(
-        "_key", "_us", "_part", "_n", (F.col("_rank") - F.col("_expired")).alias("_before"))
+    points = instants.select("_key", F.explode(F.array(
+        F.struct("_us", "_part", "_n", F.lit(1).alias("_kind")),
+        F.struct((F.col("_us") - window_us).alias("_us"), F.lit("").alias("_part"),
+                 F.lit(0).cast("bigint").alias("_n"), F.lit(0).alias("_kind")))).alias("_p")).select("_key", "_p.*")
+    asked = F.when(F.col("_kind") == 0, F.col("_us") + window_us).otherwise(F.col("_us"))
+    expired = F.max(F.when(F.col("_kind") == 0, F.col("_rank"))).over(Window.partitionBy("_key", "_asked_us"))
+    return (_ranked(points).withColumn("_asked_us", asked).withColumn("_before", F.col("_rank") - expired)
+            .filter("_kind = 1").select("_key", "_us", "_part", "_n", "_before"))
 
 
 def _keyed(events: DataFrame, key: Column, ts: Column, seq: Column) -> DataFrame:
