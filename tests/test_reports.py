@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 import pytest
 from conftest import line
@@ -157,3 +158,22 @@ def test_classic_summary_has_period_and_top_attackers(entries):
     top = [(t.ip, t["count"]) for t in row.top_attacker_ips]
     assert top == [(r.ip, r["count"]) for r in reports.top_attackers(found.threats, 10).collect()] and top[0][0] == "1.1.1.1"
     assert "period" not in reports.summary(found.entries, found.threats, None, "x", "classic").columns
+
+
+def test_classic_reports(entries, tmp_path):
+    df = entries([("1.1.1.1", "/../x", 200, "M", i) for i in range(3)] + [("2.2.2.2", "/a", 200, "M", 9)], "classic")
+    run = analysis.analyze_entries(df, "classic")
+    began, ended = datetime(2024, 1, 1, 0, 0), datetime(2024, 1, 1, 0, 0, 30)
+    run.write_reports(str(tmp_path / "out"), generated="now", started=began, ended=ended)
+    spark = df.sparkSession
+    summary = spark.read.json(f"{tmp_path}/out/json/summary").first()
+    assert summary.totals.asDict() == {"lines_processed": 4, "requests": 4, "unique_ips": 2,
+                                       "threats_detected": 3, "ips_blocked": 0}
+    assert summary.period.duration_seconds == 30 and summary.top_attacker_ips[0].asDict() == {"ip": "1.1.1.1", "count": 3}
+    assert spark.read.json(f"{tmp_path}/out/json/threats").count() == 3
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/out/text").collect()]
+    assert "  PATH_TRAVERSAL                 : 3" in lines and "   1. 1.1.1.1              : 3 olay" in lines
+    assert lines[-2] == "  Rapor oluşturuldu: now"
+    clean = analysis.analyze_entries(df.filter("path = '/a'"), "classic")
+    lines = [r.line for r in reports.classic_text_report(clean.entries, clean.threats).collect()]
+    assert len(lines) == 16 and lines[3] == "  Başlangıç : N/A"      # no section without findings
