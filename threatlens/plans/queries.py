@@ -1171,7 +1171,7 @@ def _(spark, d):
 _FEATURE_SQL = {
     "strict": f"""SELECT event_id, CAST(status_code AS DOUBLE) AS f_status, CAST(bytes_sent AS DOUBLE) AS f_bytes,
         CAST(len(path) AS DOUBLE) AS f_path_length, CAST(contains(path, '?') AS DOUBLE) AS f_has_query,
-        CAST(CASE method {_STRICT_METHOD} ELSE 5 END AS DOUBLE) AS f_method, CAST(ts_hour AS DOUBLE) AS f_hour,
+        CAST(CASE method {_STRICT_METHOD} ELSE 5 END AS DOUBLE) AS f_method, CAST(CASE WHEN ts IS NULL THEN 12 ELSE ts_hour END AS DOUBLE) AS f_hour,
         CAST({_SPECIAL} AS DOUBLE) AS f_special_chars FROM entries""",
     "classic": f"""SELECT event_id, CAST(CASE upper(method) {_CLASSIC_METHOD} ELSE 9 END AS DOUBLE) AS f_method,
         CAST(status_code AS DOUBLE) AS f_status, CAST(bytes_sent AS DOUBLE) AS f_bytes,
