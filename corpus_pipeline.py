@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from threatlens import session
-from threatlens.llm import exact, mixing, packing, quality, resemblance, shared
+from threatlens.llm import exact, mixing, packing, quality, shared, simhash
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike to 0.8 in five-word shingles the document with the smallest id."""
-    return resemblance.representatives(docs)
+    """Of each group of fingerprints linked at three bits or fewer the document with the smallest id."""
+    return simhash.representatives(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
