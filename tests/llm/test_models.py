@@ -122,6 +122,44 @@ def test_estimation_finds_the_reliable_rules():
     assert np.allclose([np.mean(a) for a in accuracy], true, atol=0.04)
 
 
+def drawn_votes(draw, n, share, bad, good):
+    """Vote rows of rules with the given accuracies on bad and on good texts; a fifth abstains."""
+    rows = []
+    for _ in range(n):
+        label = int(draw.random() < share)
+        rows.append(tuple(2 if draw.random() < 0.2 else label if draw.random() < (bad, good)[label][r] else 1 - label
+                          for r in range(len(bad))))
+    return rows
+
+
+def test_estimation_converges_on_clean_corpora():
+    """99 % good texts: a bound of the prior must not end the search."""
+    bad, good = [0.9] * 6, [0.95] * 6
+    prior, accuracy = weak_rules.estimate(dict(Counter(drawn_votes(np.random.default_rng(5), 60_000, 0.99, bad, good))), 6)
+    assert abs(prior - 0.99) < 0.003
+    assert np.allclose([a for a, _ in accuracy], bad, atol=0.05) and np.allclose([a for _, a in accuracy], good, atol=0.01)
+
+
+def test_estimation_on_counts_equals_rows():
+    """The same EM written over single rows with arrays."""
+    rows = drawn_votes(np.random.default_rng(6), 3000, 0.8, [0.9, 0.8, 0.7], [0.85, 0.9, 0.75])
+    votes, prior, right = np.array(rows), 0.5, np.full((3, 2), 0.8)
+    for _ in range(weak_rules.ROUNDS):
+        odds = np.log(prior / (1 - prior)) + sum(
+            np.where(votes[:, r] == 1, np.log(right[r, 1] / (1 - right[r, 0])),
+                     np.where(votes[:, r] == 0, np.log((1 - right[r, 1]) / right[r, 0]), 0)) for r in range(3))
+        p = 1 / (1 + np.exp(-odds))
+        new = np.array([[(((1 - p) * (votes[:, r] == 0)).sum() + 1) / (((1 - p) * (votes[:, r] != 2)).sum() + 1.25),
+                         ((p * (votes[:, r] == 1)).sum() + 1) / ((p * (votes[:, r] != 2)).sum() + 1.25)] for r in range(3)])
+        new = np.clip(new, weak_rules.LEAST, weak_rules.MOST)
+        moved = max(abs(p.mean() - prior), np.abs(new - right).max())
+        prior, right = p.mean(), new
+        if moved < weak_rules.TOLERANCE:
+            break
+    found_prior, found = weak_rules.estimate(dict(Counter(rows)), 3)
+    assert abs(found_prior - prior) < 1e-6 and np.allclose(found, right, atol=1e-6)
+
+
 def test_rules_stay_in_the_engine(larger):
     from tests.llm.plans import native
     assert native(weak_rules.judged(larger)) and native(weak_rules.measured(larger))

@@ -217,6 +217,5 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; ``docs`` must be read from files."""
-    stay = duplicates(docs).where("row_no = keep_row").select(F.col("row_no").alias("exact_row_no"))
-    numbered = docs.withColumn("exact_row_no", F.monotonically_increasing_id())
-    return numbered.join(stay, "exact_row_no", "left_semi").drop("exact_row_no")
+    stay = duplicates(docs).where("row_no = keep_row")
+    return shared.only_rows(docs, stay)

@@ -167,13 +167,14 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     joined by single spaces.  ``docs`` must be read from files.
     """
     _, ranges = mix(docs, block)
-    parts = ranges.groupBy("row_no", "epoch").agg(
-        F.sum("words").alias("mix_words"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("mix_parts"))
-    numbered = docs.withColumn("mix_row_no", F.monotonically_increasing_id())
-    rows = numbered.join(parts.withColumnRenamed("row_no", "mix_row_no"), "mix_row_no")
-    whole = F.regexp_count(F.col("text"), F.lit(native.WORD)) == F.col("mix_words")
+    number, part = shared.free_name(docs, "mix_row_no"), shared.free_name(docs, "mix_part")
+    parts = ranges.groupBy("row_no", "epoch").agg(F.struct(
+        F.sum("words").alias("n"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("taken")).alias(part))
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    rows = numbered.join(parts.select(F.col("row_no").alias(number), part), number)
+    whole = F.regexp_count(F.col("text"), F.lit(native.WORD)) == F.col(f"{part}.n")
     cut = native.bound(native.words(F.col("text")), lambda w: F.array_join(F.flatten(F.transform(
-        F.col("mix_parts"), lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " "))
+        F.col(f"{part}.taken"), lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " "))
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -40,27 +40,39 @@ ROWS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequenc
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = tokens.END_ID) -> DataFrame:
     """One row per piece, numbered per task and length."""
-    end = np.array([end_id], "<u4").tobytes()
     names = [f.split(" ")[0] for f in _PIECES.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, encoder = TaskContext.get().partitionId(), Counter(), tokens.encoder(vocabulary)
+        part, seen, encoder = TaskContext.get().partitionId(), np.zeros(capacity + 1, "i8"), tokens.encoder(vocabulary)
         for batch in batches:
-            rows = []
-            for doc_id, found in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist())):
-                ids = found + end
-                total = len(ids) // 4
-                start, length = 0, total % capacity or capacity
-                for piece in range(-(-total // capacity)):
-                    rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start:4 * (start + length)]),
-                                 part, seen[length]))
-                    seen[length] += 1
-                    start, length = start + length, capacity
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            ids, offsets = tokens.with_end(*encoder.encode_column(batch["text"]), end_id)
+            totals = np.diff(offsets)
+            cuts = -(-totals // capacity)
+            doc = np.repeat(np.arange(len(totals)), cuts)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            first = (totals - 1) % capacity + 1         # the first piece takes what is left over
+            start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[doc])
+            data = memoryview(ids.astype("<u4")).cast("B")
+            at = 4 * (offsets[doc] + start)
+            sums = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"].take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start),
+                 pa.array(length, pa.int32()), pa.array(sums, pa.int64()), pa.array(np.full(len(doc), part), pa.int32()),
+                 pa.array(_ordinals(length, seen))], names)
     return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
 
 
+def _ordinals(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """How many pieces of the same length the task had before each; ``seen`` goes on counting."""
+    order = np.argsort(lengths, kind="stable")
+    ranked, counts = lengths[order], np.bincount(lengths, minlength=len(seen))
+    out = np.empty(len(lengths), "i8")
+    out[order] = np.arange(len(lengths)) - (np.cumsum(counts) - counts)[ranked] + seen[ranked]
+    seen += counts
+    return out
+
+
 class _Sums:
     """Which sums one, two or three of the lengths left can make."""
 

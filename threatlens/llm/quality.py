@@ -163,6 +163,5 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a score of at least 0.5; ``docs`` must be read from files."""
-    stay = scored(docs, labels).where("predicted = 1").select(F.col("row_no").alias("quality_row_no"))
-    numbered = docs.withColumn("quality_row_no", F.monotonically_increasing_id())
-    return numbered.join(stay, "quality_row_no", "left_semi").drop("quality_row_no")
+    stay = scored(docs, labels).where("predicted = 1")
+    return shared.only_rows(docs, stay)

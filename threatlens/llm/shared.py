@@ -48,6 +48,21 @@ def numbered(docs: DataFrame, *columns: str, name: str = "row_no") -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias(name), *columns)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def only_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose number is in ``stay.row_no``, with all their columns."""
+    number = free_name(docs, "kept_row_no")
+    rows = docs.withColumn(number, F.monotonically_increasing_id())
+    return rows.join(stay.select(F.col("row_no").alias(number)), number, "left_semi").drop(number)
+
+
 def staged(rows: DataFrame, name: str) -> DataFrame:
     """Writes rows below the shared folder and reads them back: computed once, lineage cut."""
     return session.stage(rows, session.fresh_path(rows.sparkSession, name))

@@ -156,6 +156,5 @@ def classes(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> D
 
 def representatives(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each component, with its columns; ``docs`` must be read from files."""
-    stay = classes(docs, size, max_bits).where("row_no = component_row").select(F.col("row_no").alias("near_row_no"))
-    numbered = docs.withColumn("near_row_no", F.monotonically_increasing_id())
-    return numbered.join(stay, "near_row_no", "left_semi").drop("near_row_no")
+    stay = classes(docs, size, max_bits).where("row_no = component_row")
+    return shared.only_rows(docs, stay)

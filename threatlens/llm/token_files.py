@@ -56,31 +56,32 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
     vocabulary = vocabulary or tokens.default_vocabulary()
     target = local_path(folder)
     os.makedirs(target, exist_ok=True)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, mark = context.partitionId(), f"{context.taskAttemptId()}.tmp"
         encoder, out = None, None
-        offsets, ids, nulls = [0], [], []
+        offsets, ids, nulls = [np.zeros(1, "i8")], [], []
         for batch in batches:
             if out is None:
                 encoder = tokens.encoder(vocabulary)
                 width = np.dtype("<u2" if max(encoder.vocabulary_size - 1, end_id) < 1 << 16 else "<u4")
                 out = open(part_path(target, part, f"ids.{mark}"), "wb")
-            for doc_id, found in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist())):
-                out.write(np.frombuffer(found + end, "<u4").astype(width).tobytes())
-                offsets.append(offsets[-1] + len(found) // 4 + 1)
-                ids.append(doc_id or 0)
-                nulls.append(doc_id is None)
+            found, ends = tokens.with_end(*encoder.encode_column(batch["text"]), end_id)
+            out.write(found.astype(width).tobytes())
+            offsets.append(offsets[-1][-1] + ends[1:])
+            ids.append(batch["doc_id"].fill_null(0).to_numpy())
+            nulls.append(batch["doc_id"].is_null().to_numpy(zero_copy_only=False))
         if out is None:
             return
         out.close()
         _place(part_path(target, part, f"ids.{mark}"), part_path(target, part, "ids"))
-        _save(np.array(offsets, "<u8").tobytes(), target, part, "offsets", mark)
-        _save(np.array(ids, "<i8").tobytes() + np.array(nulls, "u1").tobytes(), target, part, "docs", mark)
+        n_docs, n_tokens = sum(map(len, ids)), int(offsets[-1][-1])
+        _save(np.concatenate(offsets).astype("<u8").tobytes(), target, part, "offsets", mark)
+        _save(np.concatenate(ids).astype("<i8").tobytes() + np.concatenate(nulls).astype("u1").tobytes(), target, part,
+              "docs", mark)
         yield pa.RecordBatch.from_pylist([{
-            "part": part, "n_docs": len(ids), "n_tokens": offsets[-1], "id_bytes": width.itemsize}],
+            "part": part, "n_docs": n_docs, "n_tokens": n_tokens, "id_bytes": width.itemsize}],
             pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("id_bytes", pa.int32())]))
 
     order = ["doc_id", "tie"]

@@ -1,23 +1,25 @@
-"""Token ids with the ``tokenizers`` library, through bounded caches of text pieces.
+"""Token ids with the ``tokenizers`` library, word by word through a bounded cache.
 
 Byte-level BPE never merges across the pieces of its splitting pattern, and a
-space before a non-space always begins a piece.  So a text is cut at such
-spaces, known words come from a cache, and only new ones go to the library.
+space before a non-space always begins a piece.  So a column of texts is cut at
+its spaces, its distinct words are looked up in a pool of known ones, and ids
+are gathered for all texts at once.  Words that the pool lacks are encoded many
+in one call and cut apart again by the byte lengths of their tokens.  Texts with
+the string of a special token go to the library as they are.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-import re
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Characters outside these ranges (white space beyond ASCII, scripts whose classes depend on
-#: the Unicode version) go to the library as whole words, split by its own pattern.
-_UNUSUAL = re.compile(r"[^\t-\r -~\xa1-ɏ]")
-_WORDS_PER_CALL = 2000
+_WORDS_PER_CALL = 4000
+_POOL = 1 << 24          # ids
+_MARKS = ".,;:!?"
 END_ID = 2
 
 
@@ -26,90 +28,178 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in a byte-level vocabulary."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = [b for b in range(256) if b not in printable]
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def byte_lengths(tokenizer) -> np.ndarray:
+    """Bytes of each entry; an entry's letters stand for one byte each, special tokens for their string."""
+    lengths = np.zeros(tokenizer.get_vocab_size(), "i8")
+    for entry, i in tokenizer.get_vocab().items():
+        lengths[i] = len(entry)
+    for i, token in tokenizer.get_added_tokens_decoder().items():
+        lengths[i] = len(token.content.encode())
+    return lengths
+
+
+class _Pool:
+    """Runs of ids in one array, by slot; slot 0 is empty."""
+
+    def __init__(self):
+        self.ids, self.starts, self.lengths = np.empty(1 << 16, "<u4"), np.zeros(1, "i8"), np.zeros(1, "i8")
+        self.used = 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+        """Slots of new runs."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(len(self.ids), "<u4")])
+        self.ids[self.used:self.used + len(ids)] = ids
+        first = len(self.starts)
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.used += len(ids)
+        return range(first, len(self.starts))
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of the slots one after the other, and where each ends."""
+        lengths = self.lengths[slots]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        return self.ids[at + np.repeat(self.starts[slots] - ends + lengths, lengths)], ends
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+    """Ids of texts.
 
-    ``entries`` bounds each cache; a full cache starts anew.
+    ``entries`` bounds the words known; a full pool starts anew.  Special tokens' strings in
+    a text become special ids, as the library does by itself, unless ``plain`` is set.
     """
 
-    def __init__(self, vocabulary: str, entries: int = 600_000):
-        import public_tokenizers
-        from tokenizers import Tokenizer, pre_tokenizers
+    def __init__(self, vocabulary: str, plain: bool = False, entries: int = 600_000):
+        from tokenizers import Tokenizer
         self._whole = Tokenizer.from_file(vocabulary)
-        self._whole.encode_special_tokens = True        # their strings in a text are ordinary text
-        self._merge = Tokenizer(self._whole.model)      # the same model; pieces come cut already
-        self._merge.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
-        self._pattern = regex.compile(public_tokenizers.PATTERN)
-        self._letters = _byte_letters()
-        self._entries = entries
-        self._words: dict[str, bytes] = {}              # what follows a space
-        self._firsts: dict[str, bytes] = {}             # what begins a text
-        self._pieces: dict[str, bytes] = {}
+        self._whole.encode_special_tokens = plain
         self.vocabulary_size = self._whole.get_vocab_size()
+        self._special = [] if plain else [t.content for t in self._whole.get_added_tokens_decoder().values()]
+        self._byte_lengths = byte_lengths(self._whole)
+        self._entries = entries
+        self._forget()
+
+    def _forget(self) -> None:
+        self._pool = _Pool()
+        self._words: dict[str, int] = {}                # slots of what follows a space
+        self._firsts: dict[str, int] = {"": 0}          # slots of what begins a text
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """One byte string for each text; null and empty texts have no ids."""
-        for cache in (self._words, self._firsts, self._pieces):
-            if len(cache) > self._entries:
-                cache.clear()
-        known, kept, new = self._words.get, [], {}
-        for text in texts:
-            head, *words = (text or "").split(" ")
-            found = list(map(known, words))
-            if None in found:
-                gone = [i for i, ids in enumerate(found) if ids is None]
-                if any(not words[i] or words[i][0].isspace() for i in gone):
-                    head, words = _joined(head, words)  # a run of white space stays with the word before it
-                    found = list(map(known, words))
-                    gone = [i for i, ids in enumerate(found) if ids is None]
-                new.update((words[i], None) for i in gone)
-            else:
-                gone = []
-            kept.append((head, words, found, gone))
-        if new:
-            self._words.update(zip(new, self._fresh([" " + word for word in new])))
-        heads = [h for h in {h for h, _, _, _ in kept} if h not in self._firsts]
-        if heads:
-            self._firsts.update(zip(heads, self._fresh(heads)))
-        out = []
-        for head, words, found, gone in kept:
-            for i in gone:
-                found[i] = self._words[words[i]]
-            out.append(self._firsts[head] + b"".join(found))
-        return out
-
-    def _fresh(self, strings: list[str]) -> list[bytes]:
-        """Ids of strings that begin and end where pieces do."""
-        cut = [None if _UNUSUAL.search(s) else self._pattern.findall(s) for s in strings]
-        pieces = self._pieces
-        new = list({p for c in cut if c for p in c if p not in pieces})
-        for at in range(0, len(new), _WORDS_PER_CALL):
-            some = new[at:at + _WORDS_PER_CALL]
-            written = "\n".join(some_.encode().decode("latin-1").translate(self._letters) for some_ in some)
-            made = self._merge.encode(written, add_special_tokens=False)
-            ends = np.cumsum(np.bincount(np.array(made.word_ids), minlength=len(some))).tolist()
-            ids = np.array(made.ids, "<u4").tobytes()
-            pieces.update((p, ids[4 * a:4 * b]) for p, a, b in zip(some, [0, *ends], ends))
-        return [np.array(self._whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes() if c is None
-                else b"".join([pieces[p] for p in c]) for s, c in zip(strings, cut)]
-
-
-def _joined(head: str, words: list[str]) -> tuple[str, list[str]]:
-    out = [[head]]
-    for word in words:
-        if word and not word[0].isspace():
-            out.append([word])
+        """Ids of each text as little-endian unsigned 32-bit bytes."""
+        ids, offsets = self.encode_column(pa.array(texts, pa.string()))
+        data = ids.tobytes()
+        return [data[4 * a:4 * b] for a, b in zip(offsets, offsets[1:])]
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and one more offsets than texts; null and empty texts have no ids."""
+        if len(self._words) + len(self._firsts) > self._entries or self._pool.used > _POOL:
+            self._forget()
+        texts = pc.fill_null(column.cast(pa.large_string()), "")
+        cut = pc.split_pattern(texts, " ")
+        offsets = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        heads = offsets[:-1]
+        head_code = np.unique(code[heads])
+        after = np.ones(len(code), bool)
+        after[heads] = False
+        used = np.zeros(len(words), bool)
+        used[code[after]] = True
+        loose = np.array([not w or w[0].isspace() for w in words], bool)    # white space that stays with the word before it
+        slot_of = self._slots([w if u and not x else "" for w, u, x in zip(words, used.tolist(), loose.tolist())])
+        slots = slot_of[code]
+        first_of = np.zeros(len(words), "i8")
+        first_of[head_code] = self._slots([words[i] for i in head_code], first=True)
+        slots[heads] = first_of[code[heads]]
+        whole = self._with_special(texts)
+        odd = whole.copy()
+        if loose.any():
+            at = np.flatnonzero(loose[code] & after)
+            odd[np.searchsorted(offsets, at, "right") - 1] = True
+        for i in np.flatnonzero(odd):
+            slots[offsets[i]:offsets[i + 1]] = 0
+            slots[offsets[i]] = self._alone(texts[int(i)].as_py(), bool(whole[i]))
+        ids, ends = self._pool.gather(slots)
+        return ids, np.concatenate([[0], ends])[offsets]
+
+    def _with_special(self, texts: pa.Array) -> np.ndarray:
+        found = np.zeros(len(texts), bool)
+        for content in self._special:
+            found |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        return found
+
+    def _alone(self, text: str, whole: bool) -> int:
+        """A slot with the ids of one text that has runs of white space, or special tokens."""
+        if whole:
+            ids = np.array(self._whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         else:
-            out[-1].append(word)
-    whole = [" ".join(w) for w in out]
-    return whole[0], whole[1:]
+            out: list[list[str]] = []
+            for word in text.split(" "):
+                if not out or word and not word[0].isspace():
+                    out.append([word])
+                else:
+                    out[-1].append(word)
+            head, *words = (" ".join(w) for w in out)
+            ids, _ = self._pool.gather(np.concatenate([self._slots([head], first=True), self._slots(words)]).astype("i8"))
+        return self._pool.add(ids, np.array([len(ids)]))[0]
+
+    def _slots(self, words: list[str], first: bool = False) -> np.ndarray:
+        """The slot of each word; empty words have none of their own."""
+        known = self._firsts if first else self._words
+        new = list({w for w in words if w and w not in known})
+        if new:
+            self._learn(known, new, "") if first else self._learn_words(new)
+        found = known.get
+        return np.array([found(w, 0) for w in words], "i8")
+
+    def _learn_words(self, words: list[str]) -> None:
+        """New words; marks after a word are pieces of their own, so they are encoded apart from it."""
+        known, cores, marked = self._words, set(), []
+        for word in words:
+            core = word.rstrip(_MARKS)
+            if core and len(core) < len(word) and core[-1] <= "\u024f" and core[-1].isalpha():
+                marked.append((word, core, word[len(core):]))
+                if core not in known:
+                    cores.add(core)
+            else:
+                cores.add(word)
+        self._learn(known, list(cores), " ")
+        if marked:
+            marks = self._slots([m for _, _, m in marked], first=True)
+            pairs = np.stack([[known[core] for _, core, _ in marked], marks], 1).ravel()
+            ids, ends = self._pool.gather(pairs)
+            slots = self._pool.add(ids, np.diff(ends[1::2], prepend=0))
+            known.update(zip([w for w, _, _ in marked], slots))
+
+    def _learn(self, known: dict[str, int], words: list[str], before: str) -> None:
+        together, alone = [], []
+        for word in words:              # white space at an end would merge with the next word's space
+            (alone if not before or word[-1].isspace() else together).append(word)
+        for at in range(0, len(together), _WORDS_PER_CALL):
+            some = together[at:at + _WORDS_PER_CALL]
+            ids = np.array(self._whole.encode_batch_fast(["".join([before + w for w in some])],
+                                                         add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(w.encode()) + 1 for w in some])
+            stops = np.searchsorted(np.cumsum(self._byte_lengths[ids]), ends, "left") + 1
+            known.update(zip(some, self._pool.add(ids, np.diff(stops, prepend=0))))
+        if alone:
+            made = [e.ids for e in self._whole.encode_batch_fast([before + w for w in alone], add_special_tokens=False)]
+            flat = np.fromiter((i for ids in made for i in ids), "<u4")
+            known.update(zip(alone, self._pool.add(flat, np.array([len(ids) for ids in made], "i8"))))
+
+
+def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the end id after each text."""
+    return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
 
 
 @functools.lru_cache(maxsize=2)

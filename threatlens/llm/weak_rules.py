@@ -7,8 +7,9 @@ being good, given its votes, replaces the demand to pass every rule.  There are
 at most 3 ** rules patterns, so the estimation works on their counts, which is
 the same as on the rows.
 
-Null and empty texts have no words and fail the base rule.  Rows with equal ids
-get a row each.  An empty table gives no rows.  Other columns do not matter.
+Null and empty texts have no words and fail the base rule; very long texts are
+read whole.  A posterior of exactly the threshold counts as kept.  Rows with equal
+ids get a row each.  An empty table gives no rows.  Other columns do not matter.
 Five-word windows are compared by 64-bit hashes.
 """
 
@@ -23,7 +24,10 @@ from threatlens.llm import native, shared
 
 WINDOW = 5
 GOOD, BAD, ABSTAIN = 1, 0, 2
-ROUNDS = 200
+#: EM ends when no parameter moves by more than TOLERANCE, or after ROUNDS.
+ROUNDS, TOLERANCE = 2000, 1e-9
+#: Bounds of the share of good texts.
+LEAST_PRIOR, MOST_PRIOR = 1e-4, 1 - 1e-4
 #: A word of letters with at most one mark behind it.
 PLAIN_WORD = r"(?<![^\x20\x09-\x0D])[\p{L}’'-]++[.,;:!?]?(?![^\x20\x09-\x0D])"
 #: Bounds of an estimated accuracy: rules are better than chance and never infallible.
@@ -103,7 +107,8 @@ def votes() -> dict[str, Column]:
 def estimate(patterns: dict[tuple[int, ...], int], rules: int, rounds: int = ROUNDS) -> tuple[float, list[list[float]]]:
     """Share of good texts, and per rule its accuracy on bad and on good texts, by EM from pattern counts.
 
-    Rules that abstain say nothing.  Starts from accuracy 0.8 and an even split.
+    Rules that abstain say nothing.  Starts from accuracy 0.8 and an even split, and goes on until
+    prior and accuracies all stand still.
     """
     prior, accuracy = 0.5, [[0.8, 0.8] for _ in range(rules)]
     total = sum(patterns.values())
@@ -119,11 +124,11 @@ def estimate(patterns: dict[tuple[int, ...], int], rules: int, rounds: int = ROU
                     for label, share in ((BAD, 1 - p), (GOOD, p)):
                         voted[r][label] += n * share
                         right[r][label] += n * share * (vote == label)
-        before = prior
-        prior = min(max(good / total, 0.05), 0.95)
+        before = [prior, *(a for pair in accuracy for a in pair)]
+        prior = min(max(good / total, LEAST_PRIOR), MOST_PRIOR)
         accuracy = [[min(max((right[r][y] + 1) / (voted[r][y] + 1.25), LEAST), MOST) for y in (BAD, GOOD)]
                     for r in range(rules)]
-        if abs(prior - before) < 1e-12:
+        if max(abs(a - b) for a, b in zip(before, [prior, *(a for pair in accuracy for a in pair)])) < TOLERANCE:
             break
     return prior, accuracy
 
