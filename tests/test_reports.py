@@ -2,7 +2,7 @@ import json
 from datetime import datetime
 
 import pytest
-from conftest import line
+from loglines import line
 
 from threatlens.operators import campaigns, detect, reports, respond, scoring
 from threatlens.plans import analysis

@@ -1,6 +1,6 @@
 from datetime import datetime, timedelta, timezone
 
-from conftest import line
+from loglines import line
 from pyspark.sql import functions as F
 from test_sliding import START, deque_counts
 

@@ -183,7 +183,7 @@ SLACK_COLORS = {"CRITICAL": "#FF0000", "HIGH": "#FF6600",
                 "MEDIUM": "#FFB300", "LOW": "#00BCD4"}
 TELEGRAM_MARKS = {"CRITICAL": "\U0001F534", "HIGH": "\U0001F7E0",
                   "MEDIUM": "\U0001F7E1", "LOW": "\U0001F535"}
-# Headings and counters of the classic text report.
+# Headings and counters of the classic text report.
 CLASSIC_REPORT_TITLES = {"totals": "\U0001F4CA GENEL İSTATİSTİKLER", "type": "\U0001F50D TEHDİT TÜRLERİ",
                          "severity": "⚠️  TEHDİT SEVİYELERİ", "top": "\U0001F3F4 EN ÇOK SALDIRAN IP'LER"}
 CLASSIC_REPORT_TOTALS = {"lines_processed": "İşlenen satır     ", "requests": "Toplam istek      ",
