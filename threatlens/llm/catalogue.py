@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlens import session
-from threatlens.llm import (exact, language, mixing, packing, quality, secret_scan, shared, simhash, spans, token_files,
-                            weak_rules)
+from threatlens.llm import (exact, language, mixing, packing, positions, quality, secret_scan, shared, simhash, spans,
+                            token_files, weak_rules)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +94,12 @@ def _of_kind(kind: str):
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.deduplicated(shared.documents(spark, sf_dir)).select(
         "doc_id", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), "removed", "text")
+
+
+@query("op13_decontamination")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    n_hit = F.aggregate("hit", F.lit(0).cast("long"), lambda n, r: n + r["length"])
+    return positions.contamination(shared.documents(spark, sf_dir), items).select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
