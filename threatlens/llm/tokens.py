@@ -78,7 +78,7 @@ class Encoder:
     a text become special ids, as the library does by itself, unless ``plain`` is set.
     """
 
-    def __init__(self, vocabulary: str, plain: bool = False, entries: int = 600_000):
+    def __init__(self, vocabulary: str, plain: bool = False, entries: int = 900_000):
         from tokenizers import Tokenizer
         self._whole = Tokenizer.from_file(vocabulary)
         self._whole.encode_special_tokens = plain
@@ -90,7 +90,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self._pool = _Pool()
-        self._words: dict[str, int] = {}                # slots of what follows a space
+        self._words: dict[str, int] = {"": 0}           # slots of what follows a space
         self._firsts: dict[str, int] = {"": 0}          # slots of what begins a text
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -107,18 +107,19 @@ class Encoder:
         cut = pc.split_pattern(texts, " ")
         offsets = cut.offsets.to_numpy()
         coded = cut.flatten().dictionary_encode()
-        code, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        code, words, left = coded.indices.to_numpy(), coded.dictionary.to_pylist(), {}
         heads = offsets[:-1]
         head_code = np.unique(code[heads])
         after = np.ones(len(code), bool)
         after[heads] = False
-        used = np.zeros(len(words), bool)
-        used[code[after]] = True
-        loose = np.array([not w or w[0].isspace() for w in words], bool)    # white space that stays with the word before it
-        slot_of = self._slots([w if u and not x else "" for w, u, x in zip(words, used.tolist(), loose.tolist())])
-        slots = slot_of[code]
+        unused = np.ones(len(words), bool)
+        unused[code[after]] = False
+        loose = _loose(coded.dictionary, words)
+        for i in np.flatnonzero(loose | unused).tolist():
+            words[i], left[i] = "", words[i]
+        slots = self._slots(words)[code]
         first_of = np.zeros(len(words), "i8")
-        first_of[head_code] = self._slots([words[i] for i in head_code], first=True)
+        first_of[head_code] = self._slots([left.get(i) or words[i] for i in head_code.tolist()], first=True)
         slots[heads] = first_of[code[heads]]
         whole = self._with_special(texts)
         odd = whole.copy()
@@ -155,11 +156,14 @@ class Encoder:
     def _slots(self, words: list[str], first: bool = False) -> np.ndarray:
         """The slot of each word; empty words have none of their own."""
         known = self._firsts if first else self._words
-        new = list({w for w in words if w and w not in known})
-        if new:
+        found = list(map(known.get, words))
+        if None in found:
+            gone = [i for i, slot in enumerate(found) if slot is None]
+            new = list({words[i] for i in gone})
             self._learn(known, new, "") if first else self._learn_words(new)
-        found = known.get
-        return np.array([found(w, 0) for w in words], "i8")
+            for i in gone:
+                found[i] = known[words[i]]
+        return np.array(found, "i8")
 
     def _learn_words(self, words: list[str]) -> None:
         """New words; marks after a word are pieces of their own, so they are encoded apart from it."""
@@ -186,8 +190,7 @@ class Encoder:
             (alone if not before or word[-1].isspace() else together).append(word)
         for at in range(0, len(together), _WORDS_PER_CALL):
             some = together[at:at + _WORDS_PER_CALL]
-            ids = np.array(self._whole.encode_batch_fast(["".join([before + w for w in some])],
-                                                         add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self._whole.encode_batch_fast([before + before.join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum([len(w.encode()) + 1 for w in some])
             stops = np.searchsorted(np.cumsum(self._byte_lengths[ids]), ends, "left") + 1
             known.update(zip(some, self._pool.add(ids, np.diff(stops, prepend=0))))
@@ -197,6 +200,18 @@ class Encoder:
             known.update(zip(alone, self._pool.add(flat, np.array([len(ids) for ids in made], "i8"))))
 
 
+def _loose(column: pa.Array, words: list[str]) -> np.ndarray:
+    """Which words are empty or begin with white space: it stays with the word before it."""
+    _, offsets, data = column.buffers()
+    starts = np.frombuffer(offsets, "<i8")[column.offset:column.offset + len(column) + 1]
+    letters = np.frombuffer(data, "u1") if data is not None and data.size else np.zeros(1, "u1")
+    first = letters[np.minimum(starts[:-1], len(letters) - 1)]
+    out = starts[1:] == starts[:-1]
+    for i in np.flatnonzero((first <= 0x20) | (first >= 0x80)).tolist():
+        out[i] = out[i] or words[i][0].isspace()
+    return out
+
+
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the end id after each text."""
     return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
