@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlens import session
-from threatlens.llm import (exact, language, mixing, packing, positions, quality, secret_scan, shared, simhash, spans,
+from threatlens.llm import (alignment, exact, language, mixing, packing, positions, quality, secret_scan, shared, simhash, spans,
                             token_files, weak_rules)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.contamination(shared.documents(spark, sf_dir), items).select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(shared.documents(spark, sf_dir))
