@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, encoder = TaskContext.get().partitionId(), np.zeros(capacity + 1, "i8"), tokens.encoder(vocabulary)
-        for batch in batches:
+        for batch in tokens.larger(batches):
             ids, offsets = tokens.with_end(*encoder.encode_column(batch["text"]), end_id)
             totals = np.diff(offsets)
             cuts = -(-totals // capacity)

@@ -62,7 +62,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
         part, mark = context.partitionId(), f"{context.taskAttemptId()}.tmp"
         encoder, out = None, None
         offsets, ids, nulls = [np.zeros(1, "i8")], [], []
-        for batch in batches:
+        for batch in tokens.larger(batches):
             if out is None:
                 encoder = tokens.encoder(vocabulary)
                 width = np.dtype("<u2" if max(encoder.vocabulary_size - 1, end_id) < 1 << 16 else "<u4")

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import functools
 import os
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,9 +84,9 @@ class Encoder:
         from tokenizers import Tokenizer
         self._whole = Tokenizer.from_file(vocabulary)
         self._whole.encode_special_tokens = plain
-        self.vocabulary_size = self._whole.get_vocab_size()
+        self._model, self.vocabulary_size = self._whole.model, self._whole.get_vocab_size()
         self._special = [] if plain else [t.content for t in self._whole.get_added_tokens_decoder().values()]
-        self._byte_lengths = byte_lengths(self._whole)
+        self._byte_lengths, self._letters = byte_lengths(self._whole), byte_letters()
         self._entries = entries
         self._forget()
 
@@ -185,9 +187,16 @@ class Encoder:
             known.update(zip([w for w, _, _ in marked], slots))
 
     def _learn(self, known: dict[str, int], words: list[str], before: str) -> None:
-        together, alone = [], []
-        for word in words:              # white space at an end would merge with the next word's space
-            (alone if not before or word[-1].isspace() else together).append(word)
+        single, together, alone = [], [], []
+        for word in words:
+            if word.isalpha() and word.isascii():
+                single.append(word)         # one piece of the splitting pattern
+            elif not before or word[-1].isspace():
+                alone.append(word)          # white space at an end would merge with the next word's space
+            else:
+                together.append(word)
+        merge, mark = self._model.tokenize, self._letters[0x20] if before else ""
+        self._keep(known, single, [[t.id for t in merge(mark + word)] for word in single])
         for at in range(0, len(together), _WORDS_PER_CALL):
             some = together[at:at + _WORDS_PER_CALL]
             ids = np.array(self._whole.encode_batch_fast([before + before.join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -195,9 +204,12 @@ class Encoder:
             stops = np.searchsorted(np.cumsum(self._byte_lengths[ids]), ends, "left") + 1
             known.update(zip(some, self._pool.add(ids, np.diff(stops, prepend=0))))
         if alone:
-            made = [e.ids for e in self._whole.encode_batch_fast([before + w for w in alone], add_special_tokens=False)]
-            flat = np.fromiter((i for ids in made for i in ids), "<u4")
-            known.update(zip(alone, self._pool.add(flat, np.array([len(ids) for ids in made], "i8"))))
+            made = self._whole.encode_batch_fast([before + w for w in alone], add_special_tokens=False)
+            self._keep(known, alone, [e.ids for e in made])
+
+    def _keep(self, known: dict[str, int], words: list[str], ids: list[list[int]]) -> None:
+        flat = np.fromiter(chain.from_iterable(ids), "<u4")
+        known.update(zip(words, self._pool.add(flat, np.fromiter(map(len, ids), "i8", len(ids)))))
 
 
 def _loose(column: pa.Array, words: list[str]) -> np.ndarray:
@@ -212,6 +224,18 @@ def _loose(column: pa.Array, words: list[str]) -> np.ndarray:
     return out
 
 
+def larger(batches: Iterator[pa.RecordBatch], rows: int = 4000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to so many rows or bytes: words are looked up once a batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the end id after each text."""
     return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
