@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlens import session
-from threatlens.llm import (alignment, exact, language, mixing, packing, positions, quality, secret_scan, shared, simhash, spans,
+from threatlens.llm import (alignment, conversations, exact, language, mixing, packing, positions, quality, secret_scan, shared, simhash, spans,
                             token_files, weak_rules)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,15 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(shared.documents(spark, sf_dir))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = shared.prepare(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    found = conversations.summary(conversations.damaged(convs))
+    ids = convs.select("conv_id").distinct()
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in
+               ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(found, ids["conv_id"].eqNullSafe(found["conv_id"]), "left").select(
+        ids["conv_id"], *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
