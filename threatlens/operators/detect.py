@@ -19,13 +19,13 @@ def _no_details() -> Column:
     return F.lit(None).cast("map<string,string>")
 
 
-def _settings(config: dict | None, name: str) -> dict:
+def settings(config: dict | None, name: str) -> dict:
     return (config or {}).get("detection", {}).get(name, {})
 
 
 def enabled_rules(config: dict | None, profile: rules.Profile) -> list[rules.PatternRule]:
     return [r for r in profile.rules
-            if not r.optional or _settings(config, r.name).get("enabled", True)]
+            if not r.optional or settings(config, r.name).get("enabled", True)]
 
 
 def _with_texts(entries: DataFrame, profile: rules.Profile) -> DataFrame:
@@ -103,10 +103,10 @@ def _exploded(found: DataFrame, threats: Sequence[Column], order: Sequence[str]
     # Rows without any finding leave before the explode.
     listed = found.withColumn("_found", text.evaluated_once(F.array_compact(F.array(*threats)))) \
         .filter(F.size("_found") > 0)
-    return _threat_columns(listed.withColumn("_t", F.explode("_found")), order)
+    return threat_columns(listed.withColumn("_t", F.explode("_found")), order)
 
 
-def _threat_columns(found: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def threat_columns(found: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     t = F.col("_t")
     return found.select(
         *[c for c in ("seq", "source_name") if c in found.columns],
@@ -127,17 +127,20 @@ def detect_patterns(entries: DataFrame, config: dict | None = None,
     return _exploded(_with_texts(entries, p), [_pattern_threat(r, p) for r in chosen])
 
 
-def bruteforce_candidates(entries: DataFrame, profile: str | rules.Profile = "strict") -> DataFrame:
-    """Entries that count as login attempts."""
-    p = rules.profile(profile)
+def is_login_attempt(profile: str | rules.Profile = "strict") -> Column:
+    """Whether an entry counts as a login attempt."""
     status = F.col("status_code")
-    if p.name == "classic":
-        return entries.filter(text.normalize_path(F.col("path")).isin(*rules.CLASSIC_LOGIN_PATHS)
-                              & status.isin(401, 403, 200))
+    if rules.profile(profile).name == "classic":
+        return text.normalize_path(F.col("path")).isin(*rules.CLASSIC_LOGIN_PATHS) & status.isin(401, 403, 200)
     lowered, login = F.lower("path"), F.lit(False)
     for marker in rules.STRICT_LOGIN_MARKERS:
         login = login | lowered.contains(marker)
-    return entries.filter(status.isin(401, 403) | (login & (status >= 400)))
+    return status.isin(401, 403) | (login & (status >= 400))
+
+
+def bruteforce_candidates(entries: DataFrame, profile: str | rules.Profile = "strict") -> DataFrame:
+    """Entries that count as login attempts."""
+    return entries.filter(is_login_attempt(profile))
 
 
 def _counted(entries: DataFrame, window: int, threshold: int) -> DataFrame:
@@ -148,11 +151,11 @@ def detect_bruteforce(entries: DataFrame, config: dict | None = None,
                       profile: str | rules.Profile = "strict") -> DataFrame:
     """A finding on every login attempt from the threshold on."""
     p = rules.profile(profile)
-    chosen = _settings(config, "brute_force")
+    chosen = settings(config, "brute_force")
     threshold = chosen.get("threshold", p.bruteforce_threshold)
     window = chosen.get("window", p.bruteforce_window)
     counted = _counted(bruteforce_candidates(entries, p), window, threshold)
-    return _threat_columns(counted.withColumn("_t", bruteforce_threat(p, threshold, window)), ["window_count"])
+    return threat_columns(counted.withColumn("_t", bruteforce_threat(p, threshold, window)), ["window_count"])
 
 
 def bruteforce_threat(p: rules.Profile, threshold: int, window: int) -> Column:
@@ -176,14 +179,19 @@ def bruteforce_threat(p: rules.Profile, threshold: int, window: int) -> Column:
 def detect_ddos(entries: DataFrame, config: dict | None = None) -> DataFrame:
     """Floods: any traffic of one address, from the threshold on (classic profile)."""
     p = rules.CLASSIC
-    chosen = _settings(config, "ddos")
+    chosen = settings(config, "ddos")
     threshold, window = chosen.get("threshold", p.ddos_threshold), chosen.get("window", p.ddos_window)
+    counted = _counted(entries, window, threshold)
+    return threat_columns(counted.withColumn("_t", ddos_threat(p, threshold, window)), ["window_count"])
+
+
+def ddos_threat(p: rules.Profile, threshold: int, window: int) -> Column:
+    """The finding for a row that carries ``window_count``."""
     n = F.col("window_count")
-    threat = _threat(
+    return _threat(
         p.order.index("DDOS"), "DDOS", F.lit("CRITICAL"),
         F.format_string(f"Olası DDoS saldırısı: %d istek / {window}s", n), F.lit(""), F.lit(None),
         F.create_map(F.lit("count"), n.cast("string"), F.lit("threshold"), F.lit(str(threshold))))
-    return _threat_columns(_counted(entries, window, threshold).withColumn("_t", threat), ["window_count"])
 
 
 def detect_all(entries: DataFrame, config: dict | None = None,
@@ -195,9 +203,9 @@ def detect_all(entries: DataFrame, config: dict | None = None,
     p = rules.profile(profile)
     kept = whitelist.apply(entries, config, p.name)
     found = detect_patterns(kept, config, p)
-    if _settings(config, "brute_force").get("enabled", True):
+    if settings(config, "brute_force").get("enabled", True):
         found = found.unionByName(detect_bruteforce(kept, config, p).drop("window_count"))
-    if p.ddos_threshold is not None and _settings(config, "ddos").get("enabled", True):
+    if p.ddos_threshold is not None and settings(config, "ddos").get("enabled", True):
         found = found.unionByName(detect_ddos(kept, config).drop("window_count"))
     return found
 

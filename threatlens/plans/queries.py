@@ -20,7 +20,7 @@ from threatlens.operators import (anomaly, behaviour, campaigns, detect, parsers
 from threatlens.plans import analysis
 from threatlens.plans import oracles as o
 from threatlens.sources import bridge, files, windows
-from threatlens.streaming import counters, tail
+from threatlens.streaming import counters, live, tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1100,6 +1100,67 @@ def _(spark, d):
     return tail.drain(found, *_paths(spark)).select(_id(), "threat_type", "severity", "source_ip", "payload")
 
 
+def _late_drops(spark: SparkSession, d: str, consume: Callable[[DataFrame], None], n: int = 4) -> None:
+    """The events in n drops, every 37th one drop late, and a last event long after that lets all counts be given out."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    last = events.agg(F.max("event_id")).first()[0] + 1
+    late = (F.col("event_id") % 37 == 0).cast("bigint")
+    drop = F.least(text.floor_div(F.col("event_id") * n, last) + late, F.lit(n - 1))
+    path = session.fresh_path(spark, "drops")
+    for i in range(n):
+        events.where(drop == i).write.mode("append").parquet(path)
+        consume(bridge.with_fields(spark.readStream.schema(events.schema).parquet(path)))
+    closing = events.where(F.col("event_id") == last - 1).withColumns({
+        "event_id": F.lit(last).cast(events.schema["event_id"].dataType),
+        "ts": (F.col("ts") + F.expr("INTERVAL 90 DAYS")).cast(events.schema["ts"].dataType),
+        "props": F.lit('{"k": 0}')})
+    closing.write.mode("append").parquet(path)
+    consume(bridge.with_fields(spark.readStream.schema(events.schema).parquet(path)))
+
+
+@query("stream_detect_all", f"SELECT event_id, det, threat_type, severity, source_ip, {o.iso()} AS ts, description, payload, "
+                            "confidence FROM threats")
+def _(spark, d):
+    out, checkpoint = _paths(spark)
+    _late_drops(spark, d, lambda events: tail.drain(
+        live.detect_all(bridge.access_lines(events), config=CONFIG, lateness="9 days", wait=True), out, checkpoint))
+    return spark.read.parquet(out).select(_id(), "det", "threat_type", "severity", "source_ip", _iso(), "description",
+                                          "payload", "confidence")
+
+
+_TTL = 2 * 86400
+_BLOCKS_SQL = f"""WITH RECURSIVE f AS (SELECT source_ip AS ip, ts, event_id, det, threat_type, severity FROM threats
+        WHERE severity IN ('HIGH', 'CRITICAL') AND ts IS NOT NULL), b AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts, event_id, det) AS place FROM f) p WHERE place = 1
+    UNION ALL SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY f.ip ORDER BY f.ts, f.event_id, f.det) AS place
+        FROM b JOIN f ON f.ip = b.ip AND f.ts >= b.ts + INTERVAL {_TTL} SECOND) p WHERE place = 1)"""
+
+
+def _live_findings(spark: SparkSession, d: str, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The live detector over consecutive drops; ``then`` reads what each run has added to the findings."""
+    out, checkpoint = _paths(spark)
+
+    def consume(events):
+        found = tail.drain(live.detect_all(bridge.access_lines(events), config=CONFIG, lateness="1 day"), out, checkpoint)
+        return then(spark.readStream.schema(found.schema).parquet(out))
+    return _in_drops(spark, d, consume)
+
+
+@query("stream_blocks", f"""SELECT ip, {o.iso()} AS blocked_at, threat_type, severity FROM ({_BLOCKS_SQL} SELECT * FROM b) t""")
+def _(spark, d):
+    paths = _paths(spark)
+    blocked = _live_findings(spark, d, lambda found: tail.drain(live.blocks(found, _TTL, "1 day"), *paths))
+    return blocked.select("ip", _iso("blocked_at", "blocked_at"), "threat_type", "severity")
+
+
+@query("stream_alerts", """SELECT event_id, det, 'slack' AS channel, ':rotating_light: *' || severity || ' - ' || threat_type ||
+    '*' || chr(10) || 'IP: ' || source_ip || chr(10) || description AS message FROM threats""")
+def _(spark, d):
+    paths = _paths(spark)
+    sent = _live_findings(spark, d, lambda found: tail.drain(respond.alert_outbox(found, "strict"), *paths))
+    return sent.select(_id(), "det", "channel", "message")
+
+
 @query("stream_foreach", f"SELECT threat_type, count(*) AS n FROM ({_ROWWISE}) t GROUP BY threat_type")
 def _(spark, d):
     found = tail.parse_detect(bridge.access_lines(_event_stream(spark, d))).select("threat_type")
