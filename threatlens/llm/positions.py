@@ -85,7 +85,7 @@ def build(docs: DataFrame, terms: np.ndarray) -> DataFrame:
                 begin = at
                 while at < len(texts) and at - begin < SHARD_DOCS and total < SHARD_WORDS:
                     found = words(texts[at])
-                    for new in set(found) - cache.keys():
+                    for new in [w for w in set(found) if w not in cache]:
                         cache[new] = known.get(term(new), -1)
                     ids.append(np.fromiter(map(cache.__getitem__, found), "i4", len(found)))
                     counts.append(len(found))
@@ -105,7 +105,7 @@ def _shard(shard: int, doc_ids: pa.Array, ids: list[np.ndarray], counts: np.ndar
     place = at + np.repeat(base - np.cumsum(counts) + counts, counts)[at]
     order = np.argsort(flat[at], kind="stable")
     held, first = np.unique(flat[at][order], return_index=True)
-    lists = np.split(place[order].astype("<i8"), first[1:]) if len(held) else []
+    lists = np.split(place[order].astype("<i4"), first[1:]) if len(held) else []
     directory = np.stack([np.asarray(doc_ids.is_null()).astype("<i8"), doc_ids.fill_null(0).cast(pa.int64()).to_numpy(), counts])
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(held) + 1, shard)), pa.array(np.concatenate([[_DIRECTORY], terms[held]]).astype("i8")),
@@ -125,7 +125,7 @@ class Shard:
     def list_of(self, term: int) -> np.ndarray:
         found = self._lists.get(term)
         if found is None:
-            found = self._lists[term] = np.frombuffer(self._rows[term], "<i8")
+            found = self._lists[term] = np.frombuffer(self._rows[term], "<i4")
         return found
 
     def _by_rarity(self, terms: list[int]) -> list[int] | None:
@@ -163,7 +163,7 @@ class Shard:
         return np.searchsorted(self.bases, places, "right") - 1
 
 
-_NONE = np.empty(0, "i8")
+_NONE = np.empty(0, "i4")
 
 
 def _held(places: np.ndarray, asked: np.ndarray) -> np.ndarray:
