@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from threatlens.llm import shared, tokens
 
 #: A part is closed at so many documents or links.
-PART_DOCS, PART_LINKS = 20_000, 8_000_000
+PART_DOCS, PART_LINKS = 4000, 2_000_000
 _WORDS_PER_CALL = 2000
 _ALIGNED = ("part long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
             "pairs array<long>, times array<int>")
