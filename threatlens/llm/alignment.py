@@ -77,6 +77,7 @@ class ByteTokens:
         self._whole = Tokenizer.from_file(vocabulary)
         self._whole.encode_special_tokens = True        # their strings are plain text
         self._lengths = tokens.byte_lengths(self._whole)
+        self.size = len(self._lengths)
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         made = self._whole.encode(text, add_special_tokens=False)
@@ -101,6 +102,7 @@ class PieceTokens:
         self._model = sentencepiece.SentencePieceProcessor(model_file=model)
         self._bytes = [self._decoded(i) for i in range(self._model.get_piece_size())]
         self._lengths = np.array([len(b) for b in self._bytes], "i8")
+        self.size = len(self._bytes)
 
     def _decoded(self, i: int) -> bytes:
         piece = self._model.id_to_piece(i)
@@ -118,15 +120,6 @@ class PieceTokens:
         return None if found is None else (ids, found)
 
 
-class Word:
-    """One word: counts, its groups as text, and its links as pair keys."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "text", "pairs")
-
-    def __init__(self, n_a: int, n_b: int, n_groups: int, text: str, pairs: np.ndarray):
-        self.n_a, self.n_b, self.n_groups, self.text, self.pairs = n_a, n_b, n_groups, text, pairs
-
-
 def links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the tokens of both sides whose byte ranges overlap; both sides tile the same bytes."""
     starts = np.concatenate([[0], a_ends[:-1]])
@@ -136,71 +129,108 @@ def links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return left, np.arange(len(left)) - np.repeat(np.cumsum(n) - n - low, n)
 
 
+class _Pool(tokens._Pool):
+    """Runs of pair keys by slot."""
+
+    def __init__(self):
+        super().__init__()
+        self.ids = np.empty(1 << 16, "i8")
+
+
 class Aligner:
-    """Aligns words; ``entries`` bounds the cache, and a full one starts anew."""
+    """Aligns words; ``entries`` bounds the words known, and a full cache starts anew.
+
+    A word has a slot: its counts, its groups as text, and its links as pair keys.  Slot 0
+    is for words whose bytes do not come back.
+    """
 
     def __init__(self, vocabulary: str, model: str, entries: int = 400_000):
         self.a, self.b = ByteTokens(vocabulary), PieceTokens(model)
-        self._entries, self._words = entries, {}
-
-    def words(self, texts: list[str | None]) -> list[list[Word] | None]:
-        """The words of each text; None if it has no tokens."""
-        if len(self._words) > self._entries:
-            self._words = {}
-        cut = [_words(" " + text) if text else [] for text in texts]
-        known = self._words
-        self._learn([w for w in {w for words in cut for w in words} if w not in known])
-        out = []
+        self._entries = entries
+        #: Ids as text with the mark that follows: within a side, between sides, between groups.
+        self._written = [f"{i}{mark}" for n in (self.a.size, self.b.size) for i in range(n) for mark in ",|;"]
+        self._widths = np.array([len(x) for x in self._written], "i8")
+        self._forget()
+
+    def _forget(self) -> None:
+        self._slots: dict[str, int] = {}
+        self._texts, self._pairs = [""], _Pool()
+        self._numbers = [np.zeros((1, 3), "i8")]
+
+    def align(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str, np.ndarray] | None]:
+        """Per text: tokens of A and B and groups, the groups as text, and all pair keys; None if it has no tokens."""
+        if len(self._slots) > self._entries:
+            self._forget()
+        cut = [text.split(" ") if text else [] for text in texts]
+        distinct = {w for words in cut for w in words}
+        loose = {w for w in distinct if not w or w[0].isspace()}
+        if loose:
+            for i, words in enumerate(cut):
+                if words and not loose.isdisjoint(words):
+                    cut[i] = _words(texts[i])
+            distinct = {w for words in cut for w in words}
+        self._learn([w for w in distinct if w not in self._slots])
+        if len(self._numbers) > 1:
+            self._numbers = [np.concatenate(self._numbers)]
+        find, written = self._slots.__getitem__, self._texts.__getitem__
         for words in cut:
-            found = [known[w] for w in words]
-            out.append(None if not found or None in found else found)
-        return out
+            slots = list(map(find, words))
+            if not slots or 0 in slots:
+                yield None
+                continue
+            at = np.array(slots)
+            yield self._numbers[0][at].sum(0), ";".join(map(written, slots)), self._pairs.gather(at)[0]
 
     def _learn(self, new: list[str]) -> None:
         together, alone = [], []
         for word in new:
-            (alone if word[-1].isspace() or "\u2581" in word else together).append(word)
+            (alone if not word or word[-1] == " " or word[0].isspace() or "\u2581" in word else together).append(word)
         for at in range(0, len(together), _WORDS_PER_CALL):
             some = together[at:at + _WORDS_PER_CALL]
             if not self._align(some):
                 alone += some
         for word in alone:
             if not self._align([word]):
-                self._words[word] = None
+                self._slots[word] = 0
 
     def _align(self, words: list[str]) -> bool:
         """Aligns words in one call of each library; False if the bytes do not come back."""
-        joined = "".join(words)
-        a, b = self.a.spans(joined), self.b.spans(joined[1:])
-        if a is None or b is None or a[1][-1] != b[1][-1]:
+        joined = " ".join(words)
+        a, b = self.a.spans(" " + joined), self.b.spans(joined)
+        if a is None or b is None or not len(a[1]) or not len(b[1]) or a[1][-1] != b[1][-1]:
             return False
         (a_ids, a_ends), (b_ids, b_ends) = a, b
-        word_ends = np.cumsum([len(w.encode()) for w in words])
+        word_ends = np.cumsum([len(w.encode()) + 1 for w in words])
         common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        if not np.isin(word_ends, common, assume_unique=True).all():
+        last_group = np.searchsorted(common, word_ends)
+        if last_group[-1] >= len(common) or not np.array_equal(common[last_group], word_ends):
             return False
         left, right = links(a_ends, b_ends)
-        keys = (a_ids[left] << B_BITS) | b_ids[right]
-        a_cuts, b_cuts = (np.searchsorted(x, common, "right").tolist() for x in (a_ends, b_ends))
-        link_cuts = np.searchsorted(a_ends[left], word_ends, "right").tolist()
-        group_cuts = (np.searchsorted(common, word_ends) + 1).tolist()
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        groups = [f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}"
-                  for i, j, k, m in zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts)]
-        g0 = l0 = a0 = b0 = 0
-        for word, g1, l1 in zip(words, group_cuts, link_cuts):
-            a1, b1 = a_cuts[g1 - 1], b_cuts[g1 - 1]
-            self._words[word] = Word(a1 - a0, b1 - b0, g1 - g0, ";".join(groups[g0:g1]), keys[l0:l1].copy())
-            g0, l0, a0, b0 = g1, l1, a1, b1
+        link_cuts = np.searchsorted(a_ends[left], word_ends, "right")
+        first = len(self._texts)
+        self._pairs.add((a_ids[left] << B_BITS) | b_ids[right], np.diff(link_cuts, prepend=0))
+        a_cuts, b_cuts = (np.searchsorted(x, common, "right") for x in (a_ends, b_ends))
+        self._numbers.append(np.diff(np.stack([a_cuts[last_group], b_cuts[last_group], last_group + 1], 1), axis=0,
+                                     prepend=np.zeros((1, 3), "i8")))
+        # All tokens in the order of their groups, A before B; the mark after each says what follows.
+        place = np.concatenate([2 * np.searchsorted(common, a_ends), 2 * np.searchsorted(common, b_ends) + 1])
+        order = np.argsort(place, kind="stable")
+        code = 3 * np.concatenate([a_ids, b_ids + self.a.size])[order]
+        code[:-1] += np.minimum(np.diff(place[order]), 1) + (place[order][:-1] & np.diff(place[order]))
+        code[-1] += 2
+        ends = np.cumsum(self._widths[code])[np.searchsorted(place[order], 2 * last_group + 1, "right") - 1]
+        text = "".join(map(self._written.__getitem__, code.tolist()))
+        self._texts += [text[i:j - 1] for i, j in zip([0, *ends.tolist()], ends.tolist())]
+        self._slots.update(zip(words, range(first, len(self._texts))))
         return True
 
 
 def _words(text: str) -> list[str]:
-    """Parts that begin with a space after a non-space; white space at the end stays with the last."""
-    found = _CUT.split(text)
+    """Parts that follow a space between non-spaces; white space at the end stays with the last."""
+    found = _CUT.split(" " + text)
     if len(found) > 1 and found[-1].isspace():
         found[-2:] = ["".join(found[-2:])]
-    return found
+    return [part[1:] for part in found]
 
 
 @functools.lru_cache(maxsize=1)
@@ -221,14 +251,13 @@ def aligned(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
         task, number, n_docs, n_links = TaskContext.get().partitionId() << 32, 0, 0, 0
         for batch in batches:
             parts, counts, digests, pairs, times = [], [], [], [], []
-            for words in aligner(vocabulary, model).words(batch["text"].to_pylist()):
-                if words is None:
+            for found in aligner(vocabulary, model).align(batch["text"].to_pylist()):
+                if found is None:
                     one, digest, keys, n = (0, 0, 0, 0), "", _NONE, _NONE
                 else:
-                    every = np.concatenate([w.pairs for w in words])
+                    numbers, groups, every = found
                     keys, n = np.unique(every, return_counts=True)
-                    one = (sum(w.n_a for w in words), sum(w.n_b for w in words), sum(w.n_groups for w in words), len(every))
-                    digest = hashlib.sha256(";".join([w.text for w in words]).encode()).hexdigest()
+                    one, digest = (*numbers.tolist(), len(every)), hashlib.sha256(groups.encode()).hexdigest()
                 n_docs, n_links = n_docs + 1, n_links + len(keys)
                 parts.append(task + number)
                 counts.append(one)
