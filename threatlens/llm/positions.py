@@ -274,7 +274,7 @@ def _hit(asked: dict[tuple, list[str]]) -> Callable[[Shard], pa.Table]:
         n = len(shard.counts)
         ranges = pa.ListArray.from_arrays(
             pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()),
-            pa.StructArray.from_arrays([pa.array(first), pa.array(length)], ["first", "length"]))
+            pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(length, pa.int64())], ["first", "length"]))
         return pa.table({"doc": pa.array(np.arange(n)), "doc_id": pa.array(shard.doc_ids, mask=shard.no_id > 0),
                          "n_words": pa.array(shard.counts), "hit": ranges,
                          "items": pa.array([sorted(held.get(d, ())) for d in range(n)], pa.list_(pa.string()))})
