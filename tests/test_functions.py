@@ -93,3 +93,39 @@ def test_networks_by_predicate_join_and_function_agree(spark):
     table = whitelist.range_table(spark, whitelist.merged_ranges(["0.0.0.0/0"]))
     assert {r.ip for r in whitelist.anti_join_ranges(df, table).collect()} == {
         "bad", "2001:db8::5", "2001:db9::5", "::ffff:10.0.0.1"}
+
+
+def test_ipv6_networks_equal_the_address_parser(spark):
+    """Spellings of valid and broken addresses; short lists as predicates, long ones as joins; no Python in the plan."""
+    import ipaddress
+    draw = random.Random(9)
+    texts = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::2::3", ":::", "1:2:3", "12345::",
+             "fe80::1%eth0", "fe80::1%", "::ffff:10.0.0.1", "::10.0.0.256", "1:2:3:4:5:6:10.0.0.1", "1:2:3:4:5:6:7:10.0.0.1",
+             "10.0.0.1", ":1", "1:", "g::1", "2001:DB8::A", "", " ::1", "1.2.3.4::", "::1.2.3.4:5", "0:0:0:0:0:0:0:00001"]
+    for _ in range(400):
+        value = ipaddress.IPv6Address(draw.getrandbits(128) if draw.random() < 0.4 else
+                                      (0x20010db8 << 96) + (draw.randrange(6) << 90) + draw.randrange(1 << 20))
+        text = draw.choice([str(value), value.exploded, str(value).upper()])
+        texts.append(text if draw.random() < 0.9 else text.replace(draw.choice(text), draw.choice([":", "", "x", "::"]), 1))
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "ip string")
+
+    def parsed(text):
+        try:
+            return ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+    digits = {r.ip: r.d for r in df.select("ip", whitelist.ipv6_digits(F.col("ip")).alias("d")).collect()}
+    assert digits == {t: None if t is None or parsed(t) is None else f"{int(parsed(t)):032x}" for t in [*texts, None]}
+    few = ["2001:db8::/33", "2001:db8:0:0:8000::/67", "::1", "fe80::/10", "10.0.0.0/8"]
+    many = few + [str(ipaddress.ip_network(((0x20010db8 << 96) + (draw.getrandbits(40) << 40), 88), strict=False)) for _ in range(90)]
+    for nets in (few, many, ["::/0"]):
+        listed = [ipaddress.ip_network(n) for n in nets]
+
+        def hidden(text):
+            try:
+                return text is not None and any(ipaddress.ip_address(text) in n for n in listed)
+            except ValueError:
+                return False
+        kept = whitelist.exclude_networks(df, nets)
+        assert sorted((r.ip or "null") for r in kept.collect()) == sorted(t or "null" for t in [*texts, None] if not hidden(t))
+        assert "Python" not in kept._jdf.queryExecution().executedPlan().toString()

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import ipaddress
 import logging
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlens import session
-from threatlens.functions.text import floor_div
+from threatlens.functions.text import evaluated_once, floor_div
 
 log = logging.getLogger(__name__)
 
@@ -68,16 +67,13 @@ def _sized(table: DataFrame, rows: int) -> DataFrame:
 def exclude_networks(entries: DataFrame, listed: Sequence[str], column: str = "ip") -> DataFrame:
     """Drop rows whose address lies in a listed network or equals a listed address.
 
-    Short IPv4 lists become range predicates, longer ones an anti join; IPv6
-    goes through one vectorised function, and only rows with a colon reach it.
+    Short IPv4 lists become range predicates, longer ones an anti join; IPv6 addresses
+    are compared by their masked prefixes, one equality per listed prefix length.
     """
     v4 = merged_ranges(listed)
     v6 = [n for n in networks(listed)[0] if n.version == 6]
     if v6:
-        inside = _ipv6_matcher(v6)
-        ip = F.col(column)
-        hit = F.when(ip.contains(":"), inside(ip)).otherwise(F.lit(False))
-        entries = entries.filter(~F.coalesce(hit, F.lit(False)))
+        entries = _exclude_ipv6(entries, v6, column)
     if not v4:
         return entries
     if len(v4) <= INLINE_NETWORKS:
@@ -113,22 +109,63 @@ def anti_join_ranges(entries: DataFrame, ranges: DataFrame, column: str = "ip",
     return numbered.join(bucketed, hit, "left_anti").drop("_ip", "_key")
 
 
-def _ipv6_matcher(nets: Sequence) -> Column:
-    listed = [str(n) for n in nets]
+def ipv6_digits(ip: Column) -> Column:
+    """The address as 32 hexadecimal digits, null when it is not an IPv6 address.
 
-    @F.pandas_udf("boolean")
-    def inside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        parsed = [ipaddress.ip_network(n) for n in listed]
-
-        def member(ip: str) -> bool:
-            try:
-                address = ipaddress.ip_address(ip)
-            except ValueError:
-                return False
-            return any(address in n for n in parsed)
-        for batch in batches:
-            yield batch.map(member, na_action="ignore")
-    return inside
+    One ``::`` stands for at least one group of zeros; the last two groups may be a dotted
+    quad; a zone behind ``%`` does not matter.
+    """
+    plain = F.lower(F.substring_index(ip, "%", 1))
+    quad = F.regexp_extract(plain, r"([^:]*)$", 1)
+    number = ipv4_number(quad)
+    written = F.when(~quad.contains("."), plain).when(number.isNotNull(), F.concat(
+        F.regexp_replace(plain, r"[^:]*$", ""), F.lower(F.hex(floor_div(number, 1 << BUCKET_BITS))), F.lit(":"),
+        F.lower(F.hex(number % (1 << BUCKET_BITS)))))
+
+    none = F.array().cast("array<string>")
+
+    def groups(part: Column) -> Column:
+        return F.when(part == "", none).otherwise(F.split(part, ":"))
+
+    def expanded(sides: Column) -> Column:
+        """The eight groups, or something that is no list of eight groups."""
+        two = F.size(sides) == 2
+        left, right = groups(sides[0]), F.when(two, groups(F.get(sides, 1))).otherwise(none)
+        missing = 8 - F.size(left) - F.size(right)
+        zeros = F.when(two & (missing > 0), F.array_repeat(F.lit("0"), missing)).otherwise(none)
+        return F.when((F.size(sides) <= 2) & (~two | (missing > 0)), F.concat(left, zeros, right))
+    digits = F.transform(F.array(F.split(written, "::")), expanded)
+    valid = F.transform(digits, lambda every: F.when(
+        (F.size(every) == 8) & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")),
+        F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), "")))
+    return F.when(ip.contains(":") & ~ip.endswith("%"), valid[0])
+
+
+def _prefix(digits: Column, length: int) -> Column:
+    """The first ``length`` bits of 32 hexadecimal digits, as digits; bits past the prefix are zero."""
+    whole, rest = divmod(length, 4)
+    head = F.substring(digits, 1, whole)
+    if not rest:
+        return head
+    return F.concat(head, F.translate(F.substring(digits, whole + 1, 1), "0123456789abcdef",
+                                      "".join(f"{d >> 4 - rest << 4 - rest:x}" for d in range(16))))
+
+
+def _exclude_ipv6(entries: DataFrame, nets: Sequence[ipaddress.IPv6Network], column: str) -> DataFrame:
+    """Anti joins on the masked prefix, one for each listed prefix length; short lists are plain predicates."""
+    by_length: dict[int, set[str]] = {}
+    for net in ipaddress.collapse_addresses(nets):
+        digits = f"{int(net.network_address):032x}"
+        by_length.setdefault(net.prefixlen, set()).add(digits[:-(-net.prefixlen // 4)])
+    digits = entries.withColumn("_digits", evaluated_once(ipv6_digits(F.col(column))))
+    for length, listed in sorted(by_length.items()):
+        prefix = _prefix(F.col("_digits"), length)
+        if len(listed) <= INLINE_NETWORKS:
+            digits = digits.filter(~F.coalesce(prefix.isin(*listed), F.lit(False)))
+        else:
+            table = session.table(entries.sparkSession, [(p,) for p in sorted(listed)], "_listed string")
+            digits = digits.join(_sized(table, len(listed)), prefix == F.col("_listed"), "left_anti")
+    return digits.drop("_digits")
 
 
 def exclude_agents(entries: DataFrame, agents: Sequence[str], column: str = "user_agent") -> DataFrame:
