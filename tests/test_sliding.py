@@ -83,7 +83,7 @@ def test_groups_do_not_grow_with_the_rows_of_a_hot_key(spark):
         assert points.select("_us").distinct().count() == n
         cell = F.floor(F.col("_us") / sliding.CELL_US)
         cells = points.select(cell.alias("c"), F.floor(cell / sliding.GROUP_CELLS).alias("g")).distinct()
-        ranked = sliding._ranked(points).agg(F.max("_rank"), F.count_distinct("_rank")).first()
+        ranked = sliding.ranked(points).agg(F.max("_rank"), F.count_distinct("_rank")).first()
         assert tuple(ranked) == (n - 1, n)
         return cells.groupBy("g").count().agg(F.max("count")).first()[0], cells.select("g").distinct().count()
     assert widths(20_000) == widths(200_000) == (sliding.GROUP_CELLS, 2)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatlens.functions.text import floor_div
+from threatlens.operators import sliding
 from threatlens.operators.sliding import sliding_count
 
 
@@ -41,6 +42,35 @@ def detect_port_scan(entries: DataFrame, port: Column, window: int = 60, thresho
             .select("ip", F.timestamp_seconds(F.col("_start") * slide).alias("window_start"), "ports"))
 
 
+def port_scans(entries: DataFrame, port: Column, window: int = 60, threshold: int = 20) -> DataFrame:
+    """Instants at which an address had touched ``threshold`` distinct ports or more in the trailing window.
+
+    A touch of a port counts from its time to the window's end after it, both
+    inclusive.  Touches of one port inside a stretch of the window's length are
+    one stay, and stays that meet are joined, so a port adds 1 where a stay begins
+    and takes 1 away after it ends; the count at an instant is the sum of what came
+    up to it.  Those sums are taken in steps of bounded width (``sliding.ranked``):
+    neither a hot address nor a hot port is gathered in one task.
+    """
+    us = window * 1_000_000
+    touches = entries.select(F.col("ip").alias("_key"), port.alias("_port"), F.unix_micros("ts").alias("_us")) \
+        .filter("_key is not null and _port is not null and _us is not null")
+    stays = touches.groupBy("_key", "_port", floor_div(F.col("_us"), us).alias("_stretch")).agg(
+        F.min("_us").alias("_from"), F.max("_us").alias("_to"))
+    of_port = Window.partitionBy("_key", "_port").orderBy("_stretch")
+    begins = F.coalesce(F.col("_from") > F.lag("_to").over(of_port) + us, F.lit(True))
+    ends = F.coalesce(F.lead("_from").over(of_port) > F.col("_to") + us, F.lit(True))
+    steps = stays.select("_key", "_from", "_to", begins.alias("_begins"), ends.alias("_ends")).select("_key", F.inline(F.array_compact(
+        F.array(F.when(F.col("_begins"), F.struct(F.col("_from").alias("_us"), F.lit(1).alias("_n"))),
+                F.when(F.col("_ends"), F.struct((F.col("_to") + us + 1).alias("_us"), F.lit(-1).alias("_n")))))))
+    asked = touches.select("_key", "_us", F.lit(0).alias("_n"), F.lit(True).alias("_asked"))
+    points = steps.withColumn("_asked", F.lit(False)).unionByName(asked).groupBy("_key", "_us").agg(
+        F.sum("_n").alias("_n"), F.max("_asked").alias("_asked"))
+    ranked = sliding.ranked(points.withColumns({"_part": F.lit(""), "_kind": F.lit(0)}))
+    return (ranked.filter("_asked").withColumn("ports", F.col("_rank") + F.col("_n")).filter(F.col("ports") >= threshold)
+            .select(F.col("_key").alias("ip"), F.timestamp_micros("_us").alias("ts"), "ports"))
+
+
 def detect_beaconing(entries: DataFrame, min_events: int = 10, max_variation: float = 0.1) -> DataFrame:
     """Address and path pairs contacted at regular intervals.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from threatlens import rules
 from threatlens.functions import lookup, text
+from threatlens.functions.text import floor_div
 from threatlens.operators import reports
 
 
@@ -43,14 +44,45 @@ def _active(ts: Column) -> Column:
         | (F.unix_micros(ts) < F.unix_micros("blocked_at") + F.col("duration").cast("bigint") * 1_000_000))
 
 
+#: Hours of a bin of the interval join, bins a term may reach into, and copies of a block for entries side by side.
+BIN_HOURS, MOST_BINS, COPIES = 6, 1024, 16
+
+
 def blocked_entries(entries: DataFrame, decisions: DataFrame, blocked: bool = True) -> DataFrame:
     """Entries that met an active block of their address (or, negated, did not).
 
-    ``decisions`` has one row per address, so this join never multiplies rows.
+    An interval join by bins of time: a block is listed under every bin it reaches
+    into, and an entry looks in its own.  Blocks without an end, or with a term of more
+    than ``MOST_BINS`` bins, stand under one bin of their own.  Every block has
+    ``COPIES`` copies, and entries of different partitions meet different ones.  So
+    the entries of one address are spread over bins and copies.  The terms of an
+    address must not overlap (``block_decisions`` has one, live blocks follow each
+    other), so no entry is multiplied.
     """
+    size = BIN_HOURS * 3600
+    copies = F.sequence(F.lit(0), F.lit(COPIES - 1))
     blocks = decisions.select(F.col("ip").alias("_ip"), "blocked_at", "duration")
-    met = (F.col("ip") == F.col("_ip")) & _active(F.col("ts"))
-    return entries.join(blocks, met, "left_semi" if blocked else "left_anti")
+    lasting = (F.col("duration") == 0) | (F.col("duration") > size * (MOST_BINS - 1))
+    first = floor_div(F.unix_seconds("blocked_at"), size)
+    last = floor_div(F.unix_seconds("blocked_at") + F.col("duration"), size)
+
+    def met(rows: DataFrame, flag: str, *keys: str) -> tuple[DataFrame, Column]:
+        """The copies of blocks and what an entry must have in common with one."""
+        copied = rows.withColumn("_copy", F.explode(copies))
+        side = copied.select("_ip", "blocked_at", "duration", "_copy", *[F.col(k).alias(f"{k}_") for k in keys],
+                             F.lit(True).alias(flag))
+        same = (F.col("ip") == F.col("_ip")) & (F.col("_entry_copy") == F.col("_copy")) & _active(F.col("ts"))
+        for k in keys:
+            same = same & (F.col(k) == F.col(f"{k}_"))
+        return side, same
+    timed = entries.withColumns({"_bin": floor_div(F.unix_seconds("ts"), size),
+                                 "_entry_copy": F.pmod(F.spark_partition_id(), F.lit(COPIES))})
+    binned = blocks.filter(~lasting).withColumn("_bin", F.explode(F.sequence(first, last)))
+    for rows, flag, keys in ((binned, "_met", ["_bin"]), (blocks.filter(lasting), "_met_lasting", [])):
+        side, same = met(rows, flag, *keys)
+        timed = timed.join(side, same, "left").drop("_ip", "blocked_at", "duration", "_copy", "_bin_")
+    hit = F.coalesce("_met", "_met_lasting", F.lit(False))
+    return timed.filter(hit if blocked else ~hit).select(*entries.columns)
 
 
 def responder_stats(threats: DataFrame, alerters: int = 1, block: bool = True) -> DataFrame:

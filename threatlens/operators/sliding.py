@@ -30,8 +30,10 @@ def _busy(instants: DataFrame, window_us: int, at_least: int) -> DataFrame:
     return instants.withColumn("_stretch", stretch).join(wanted, ["_key", "_stretch"], "left_semi").drop("_stretch")
 
 
-def _ranked(points: DataFrame) -> DataFrame:
-    """Adds ``_rank``: the rows of the key that come before a point, in three steps of bounded width.
+def ranked(points: DataFrame) -> DataFrame:
+    """Adds ``_rank``: the sum of ``_n`` of the key before a point, in three steps of bounded width.
+
+    Points are ordered by ``_us``, ``_kind`` and ``_part``.
 
     Rows are summed per cell, cells are summed up inside a group, and groups per
     key; inside a cell the points are summed up themselves.  A window holds at
@@ -70,7 +72,7 @@ def _counts_before(instants: DataFrame, window_us: int) -> DataFrame:
                  F.lit(0).cast("bigint").alias("_n"), F.lit(0).alias("_kind")))).alias("_p")).select("_key", "_p.*")
     asked = F.when(F.col("_kind") == 0, F.col("_us") + window_us).otherwise(F.col("_us"))
     expired = F.max(F.when(F.col("_kind") == 0, F.col("_rank"))).over(Window.partitionBy("_key", "_asked_us"))
-    return (_ranked(points).withColumn("_asked_us", asked).withColumn("_before", F.col("_rank") - expired)
+    return (ranked(points).withColumn("_asked_us", asked).withColumn("_before", F.col("_rank") - expired)
             .filter("_kind = 1").select("_key", "_us", "_part", "_n", "_before"))
 
 

@@ -32,6 +32,14 @@ CONFIG = {"detection": {"brute_force": {"window": o.WINDOW, "threshold": o.THRES
                         "ddos": {"window": o.WINDOW, "threshold": o.DDOS_THRESHOLD}}}
 
 
+_TTL = 2 * 86400
+_BLOCKS_SQL = f"""WITH RECURSIVE f AS (SELECT source_ip AS ip, ts, event_id, det, threat_type, severity FROM threats
+        WHERE severity IN ('HIGH', 'CRITICAL') AND ts IS NOT NULL), b AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts, event_id, det) AS place FROM f) p WHERE place = 1
+    UNION ALL SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY f.ip ORDER BY f.ts, f.event_id, f.det) AS place
+        FROM b JOIN f ON f.ip = b.ip AND f.ts >= b.ts + INTERVAL {_TTL} SECOND) p WHERE place = 1)"""
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -730,6 +738,15 @@ def _(spark, d):
     return found.select("ip", _iso("window_start", "window_start"), "ports")
 
 
+@query("detect_port_scan_exact", f"""SELECT DISTINCT ip, {o.iso()} AS ts, ports FROM (SELECT ip, ts, count(DISTINCT port) OVER (
+    PARTITION BY ip ORDER BY ts RANGE BETWEEN INTERVAL 432000 SECOND PRECEDING AND CURRENT ROW) AS ports FROM (
+    SELECT user_ip AS ip, k + 1000 AS port, ts FROM ev WHERE event_type = 'error') t) c WHERE ports >= 3""")
+def _(spark, d):
+    entries = parsers.parse_syslog_entries(bridge.syslog_3164_lines(_events(spark, d)), year=2024)
+    found = behaviour.port_scans(entries, behaviour.port_of(F.col("extra")["message"]), window=432000, threshold=3)
+    return found.select("ip", _iso(), "ports")
+
+
 @query("detect_beaconing", f"""SELECT ip, path, events, round(mean_gap, 6) AS mean_gap,
     round(variation, 6) AS variation FROM (SELECT ip, path, count(*) AS events, avg(gap) AS mean_gap,
     stddev_pop(gap) / avg(gap) AS variation FROM (SELECT ip, path, s, s - lag(s) OVER (PARTITION BY ip, path
@@ -763,6 +780,16 @@ def _(spark, d):
     return respond.blocked_entries(_entries(spark, d, "classic"), decisions).select(_id(), "ip")
 
 
+@query("join_block_terms", f"""SELECT e.event_id, e.ip FROM entries e JOIN ({_BLOCKS_SQL} SELECT ip, ts AS blocked_at FROM b) b
+    ON e.ip = b.ip AND e.ts >= b.blocked_at AND e.ts < b.blocked_at + INTERVAL {_TTL} SECOND""")
+def _(spark, d):
+    """Entries under the blocks of a live run, which end and start again."""
+    paths = _paths(spark)
+    blocks = _live_findings(spark, d, lambda found: tail.drain(live.blocks(found, _TTL, "1 day"), *paths))
+    decisions = blocks.select("ip", "blocked_at", F.lit(_TTL).alias("duration"))
+    return respond.blocked_entries(_entries(spark, d), decisions).select(_id(), "ip")
+
+
 # --- aggregations ------------------------------------------------------------
 def _counts(table: str, column: str) -> str:
     return f"SELECT {column}, count(*) AS count FROM {table} GROUP BY {column}"
@@ -1185,14 +1212,6 @@ def _(spark, d):
                                           "payload", "confidence")
 
 
-_TTL = 2 * 86400
-_BLOCKS_SQL = f"""WITH RECURSIVE f AS (SELECT source_ip AS ip, ts, event_id, det, threat_type, severity FROM threats
-        WHERE severity IN ('HIGH', 'CRITICAL') AND ts IS NOT NULL), b AS (
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts, event_id, det) AS place FROM f) p WHERE place = 1
-    UNION ALL SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY f.ip ORDER BY f.ts, f.event_id, f.det) AS place
-        FROM b JOIN f ON f.ip = b.ip AND f.ts >= b.ts + INTERVAL {_TTL} SECOND) p WHERE place = 1)"""
-
-
 def _live_findings(spark: SparkSession, d: str, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The live detector over consecutive drops; ``then`` reads what each run has added to the findings."""
     out, checkpoint = _paths(spark)
