@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threatlens import rules, session
 from threatlens.functions import text
-from threatlens.operators import whitelist
+from threatlens.operators import rule_index, whitelist
 from threatlens.operators.sliding import sliding_count
 
 RULE_GROUP = 250
@@ -237,11 +237,13 @@ def detect_custom(rows: DataFrame, custom: Sequence[dict], column: Column, ip: C
 def match_rule_table(rows: DataFrame, rule_table: DataFrame, column: str) -> DataFrame:
     """First matching rule per row, for rules kept in a table (rule_no, pattern, …).
 
-    The rule table is configuration: it becomes part of the plan, so that every
-    pattern is compiled once per task.  Rules are asked in groups, and a row stops
-    at the first group that matches.
+    Up to ``RULE_GROUP`` rules become part of the plan, and a row stops at the first that
+    matches.  More go through an inverted index of the texts they demand, so a row
+    meets only the patterns that its own q-grams name, however many rules there are.
     """
-    table = rule_table.orderBy("rule_no").collect()
+    table = rule_table.orderBy("rule_no").limit(RULE_GROUP + 1).collect()
+    if len(table) > RULE_GROUP:
+        return rule_index.first_matches(rows, rule_table, column).join(rule_table.drop("pattern"), "rule_no")
     groups = [F.coalesce(*[F.when(F.col(column).rlike(r["pattern"]), F.lit(r["rule_no"])) for r in table[at:at + RULE_GROUP]])
               for at in range(0, len(table), RULE_GROUP)]
     hit = F.lit(None).cast(rule_table.schema["rule_no"].dataType)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from threatlens import rules, session
 from threatlens.functions import lookup, text
 from threatlens.operators import (anomaly, behaviour, campaigns, detect, parsers, reports, respond,
-                                  scoring, sliding, whitelist)
+                                  rule_index, scoring, sliding, whitelist)
 from threatlens.plans import analysis
 from threatlens.plans import oracles as o
 from threatlens.sources import bridge, files, growing, windows
@@ -684,6 +684,20 @@ def _(spark, d):
     return detect.match_rule_table(_lines(spark, d), table, "value").select(_id(), "rule_no", "name")
 
 
+@query("join_rules_indexed", r"""SELECT event_id, min(rule_no) AS rule_no FROM lines JOIN (
+    SELECT CAST(user_id AS BIGINT) AS rule_no, '^10\\.0\\.' || (user_id // 256) || '\\.' || (user_id % 256) || ' .*"(GET|POST) ' AS pattern
+    FROM (SELECT DISTINCT user_id FROM ev) u UNION ALL SELECT CAST(10000000 AS BIGINT), '[45]0[0-9] ') r
+    ON regexp_matches(line, pattern) GROUP BY event_id""".replace("\\\\", "\\"))
+def _(spark, d):
+    """A rule for each client, and one that demands no literal; all go through the index."""
+    users = _events(spark, d).select(F.col("user_id").cast("bigint").alias("rule_no")).distinct()
+    own = users.select("rule_no", F.concat(
+        F.lit(r"^10\.0\."), text.floor_div(F.col("rule_no"), 256).cast("string"), F.lit(r"\."), (F.col("rule_no") % 256).cast("string"),
+        F.lit(' .*"(GET|POST) ')).alias("pattern"))
+    table = own.unionByName(session.table(spark, [(10_000_000, "[45]0[0-9] ")], "rule_no bigint, pattern string"))
+    return rule_index.first_matches(_lines(spark, d), table, "value").select(_id(), "rule_no")
+
+
 # --- windows -----------------------------------------------------------------
 _RAW_SLIDING = o.sliding("events", o.WINDOW, "event_type")
 
