@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from threatlens import rules
+from threatlens import rules, session
 from threatlens.functions import lookup, text
 
 def _cleaned(lines: DataFrame, drop_returns: bool) -> DataFrame:
@@ -215,20 +215,41 @@ def parse(lines: DataFrame, fmt: str = "nginx", profile: str = "strict", **optio
     return parser_for(fmt, profile)(lines, **options)
 
 
-def parse_quality(lines: DataFrame, fmt: str = "nginx") -> DataFrame:
-    """One row: lines parsed, parse errors, success rate in percent (strict profile)."""
+def _judged(lines: DataFrame, fmt: str) -> tuple[DataFrame, str]:
+    """Lines that count, cleaned, with ``_ok``: whether they can be parsed."""
     pattern = f"(?dU)^(?:{LINE_PATTERNS[fmt, 'strict']})"
-    value = F.col("value")
-    counted = _cleaned(lines, True).filter(~_skipped(value, fmt, "strict")) \
-        .select(text.evaluated_once(value.rlike(pattern)).alias("ok"))
-    return counted.agg(
-        F.count_if(F.col("ok")).alias("lines_parsed"),
-        F.count_if(~F.col("ok")).alias("parse_errors"),
-    ).withColumn("success_rate", F.when(
+    kept = _cleaned(lines, True).filter(~_skipped(F.col("value"), fmt, "strict"))
+    return kept.withColumn("_ok", text.evaluated_once(F.col("value").rlike(pattern)))
+
+
+def _with_rate(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("success_rate", F.when(
         F.col("lines_parsed") + F.col("parse_errors") > 0,
         F.col("lines_parsed") / (F.col("lines_parsed") + F.col("parse_errors")) * 100).otherwise(F.lit(0.0)))
 
 
+def _quality_counts() -> list[Column]:
+    return [F.count_if(F.col("_ok")).alias("lines_parsed"), F.count_if(~F.col("_ok")).alias("parse_errors")]
+
+
+def parse_quality(lines: DataFrame, fmt: str = "nginx") -> DataFrame:
+    """One row: lines parsed, parse errors, success rate in percent (strict profile)."""
+    return _with_rate(_judged(lines, fmt).select("_ok").agg(*_quality_counts()))
+
+
+def write_with_quality(lines: DataFrame, path: str, fmt: str = "nginx") -> DataFrame:
+    """Writes the strict entries of the lines and returns the row of :func:`parse_quality`.
+
+    The counts are observed by the job that writes: the input is read once.
+    """
+    seen = Observation("parse quality")
+    judged = _judged(lines, fmt).observe(seen, *_quality_counts())
+    parse(judged.filter("_ok").drop("_ok"), fmt).write.mode("overwrite").parquet(path)
+    counts = seen.get
+    return _with_rate(session.table(lines.sparkSession, [(counts["lines_parsed"], counts["parse_errors"])],
+                                    "lines_parsed bigint, parse_errors bigint"))
+
+
 def skip_lines(lines: DataFrame, fmt: str = "nginx", profile: str = "strict") -> DataFrame:
     return _cleaned(lines, profile == "strict").filter(~_skipped(F.col("value"), fmt, profile))
 

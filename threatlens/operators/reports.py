@@ -128,6 +128,27 @@ def merge_reports(per_file: DataFrame) -> DataFrame:
                         F.sum("threats").alias("threats"))
 
 
+#: Relative standard error of the address sketches: 1.04 / sqrt(2 ** SKETCH_BITS), and a little for merging.
+SKETCH_BITS = 14
+SKETCH_ERROR = 0.01
+
+
+def file_sketches(entries: DataFrame, threats: DataFrame, column: str) -> DataFrame:
+    """:func:`file_reports` with mergeable sketches of the addresses seen and of those with findings, a few KB each."""
+    lines = entries.groupBy(column).agg(F.count("*").alias("lines"), F.hll_sketch_agg("ip", SKETCH_BITS).alias("ips"))
+    found = threats.groupBy(column).agg(F.count("*").alias("threats"),
+                                        F.hll_sketch_agg("source_ip", SKETCH_BITS).alias("attackers"))
+    return lines.join(found, column, "left").withColumn("threats", F.coalesce("threats", F.lit(0).cast("bigint")))
+
+
+def merge_sketches(per_file: DataFrame) -> DataFrame:
+    """Totals and estimated distinct addresses over the rows of :func:`file_sketches`; no raw row is read again."""
+    return per_file.agg(
+        F.count("*").alias("files"), F.sum("lines").alias("lines"), F.sum("threats").alias("threats"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("ips")), F.lit(0)).alias("unique_ips"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("attackers")), F.lit(0)).alias("unique_attackers"))
+
+
 def union_ips(*sides: DataFrame) -> DataFrame:
     """Distinct addresses of several one-column DataFrames; each side shrinks first."""
     out = sides[0].distinct()

@@ -360,6 +360,13 @@ def _(spark, d):
     return parsers.parse_quality(bridge.noisy_access_lines(_events(spark, d)))
 
 
+@query("parse_quality_observed", f"""SELECT count(*) FILTER (ok) AS lines_parsed, count(*) FILTER (NOT ok) AS parse_errors,
+    count(*) FILTER (ok) / count(*) * 100 AS success_rate FROM (SELECT {o.matches(rules.ACCESS_STRICT_LINE)} AS ok
+    FROM noisy WHERE trim(line) <> '' AND NOT starts_with(line, '#'))""")
+def _(spark, d):
+    return parsers.write_with_quality(bridge.noisy_access_lines(_events(spark, d)), session.fresh_path(spark, "entries"))
+
+
 # --- scalar functions --------------------------------------------------------
 @query("fn_url_decode_twice", f"""SELECT event_id, {o.decode_twice('path')} AS decoded FROM entries UNION ALL
     SELECT page_id, {o.decode_twice('url')} FROM pages""")
@@ -868,6 +875,24 @@ def _(spark, d):
     return reports.merge_reports(per_file).select("lines", "threats")
 
 
+@query("merge_report_sketches", """SELECT (SELECT count(*) FROM entries) AS lines, (SELECT count(*) FROM threats) AS threats,
+    (SELECT count(DISTINCT ip) FROM entries) AS unique_ips, (SELECT count(DISTINCT source_ip) FROM threats) AS unique_attackers,
+    true AS within_error""")
+def _(spark, d):
+    """Reports of single files, written, then merged through their sketches; exact counts stand beside the estimates."""
+    run = analysis.analyze_directory(spark, _log_dir(spark, d), "*.txt", config=CONFIG).materialize(session.fresh_path(spark, "run"))
+    file = F.substring_index("seq.part", "#", 1)
+    per_file = session.stage(reports.file_sketches(run.entries.withColumn("file", file), run.threats.withColumn("file", file), "file"),
+                             session.fresh_path(spark, "file-reports"))
+    exact = {"ips": reports.union_ips(run.entries.select("ip")), "attackers": reports.union_ips(run.threats.select("source_ip"))}
+    counts = exact["ips"].agg(F.count("*").alias("ips")).join(exact["attackers"].agg(F.count("*").alias("attackers")), F.lit(True))
+    near = F.lit(True)
+    for name in exact:
+        near = near & (F.abs(F.col(f"unique_{name}") - F.col(name)) <= 3 * reports.SKETCH_ERROR * F.col(name) + 0.5)
+    return reports.merge_sketches(per_file).join(counts, F.lit(True)).select(     # one row on either side
+        "lines", "threats", F.col("ips").alias("unique_ips"), F.col("attackers").alias("unique_attackers"), near.alias("within_error"))
+
+
 @query("threat_timeline", f"""SELECT strftime({o.local()}, '%Y-%m-%dT%H:00') AS hour, count(*) AS count
     FROM threats WHERE ts IS NOT NULL GROUP BY 1""")
 def _(spark, d):
@@ -1300,6 +1325,37 @@ def _(spark, d):
         "ip", "threat_type", _iso("session_start", "session_start"), "attempts")
 
 
+@query("stream_sessions_closed", f"""SELECT source_ip AS ip, threat_type, {o.iso('session')} AS session_start, {o.iso('max(ts)')} AS last_seen,
+    count(*) AS attempts FROM (SELECT *, max(CASE WHEN fresh THEN ts END) OVER (PARTITION BY source_ip, threat_type
+    ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, coalesce({o.seconds()} -
+    lag({o.seconds()}) OVER (PARTITION BY source_ip, threat_type ORDER BY ts, event_id) >= {_GAP}, true) AS fresh
+    FROM ({_ROWWISE}) t WHERE ts IS NOT NULL) f) s GROUP BY source_ip, threat_type, session""")
+def _(spark, d):
+    """Sessions in append mode, with late rows: each comes out once, when the watermark has closed it."""
+    out, checkpoint = _paths(spark)
+
+    def consume(events):
+        found = tail.parse_detect(bridge.access_lines(events), lateness="9 days").select("source_ip", "threat_type", "ts")
+        tail.drain(counters.closed_sessions(found, "1 day"), out, checkpoint)
+    _late_drops(spark, d, consume)
+    return spark.read.parquet(out).select("ip", "threat_type", _iso("session_start", "session_start"), _iso("last_seen", "last_seen"),
+                                          "attempts")
+
+
+@query("stream_bounded_buffer", f"""SELECT event_id, threat_type, severity, source_ip FROM (
+    {_ROWWISE.replace('SELECT *', 'SELECT event_id, det, threat_type, severity, source_ip')}) t ORDER BY event_id DESC, det DESC LIMIT 1000""")
+def _(spark, d):
+    """The newest 1,000 findings, kept over consecutive drops."""
+    out, checkpoint = _paths(spark)
+    newest = tail.NewestRows(out, 1000)
+
+    def consume(events):
+        found = tail.parse_detect(bridge.access_lines(events)).select("seq", "det", "threat_type", "severity", "source_ip")
+        newest.start(found, checkpoint, poll_interval=None).awaitTermination()
+    _in_drops(spark, d, consume)
+    return newest.rows(spark).select(_id(), "threat_type", "severity", "source_ip")
+
+
 @query("stream_dedup_blocks", """SELECT source_ip AS ip FROM c_sql_injection UNION
     SELECT source_ip FROM c_path_traversal""")
 def _(spark, d):

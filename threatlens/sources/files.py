@@ -28,6 +28,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path if it is there."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def empty_lines(spark: SparkSession) -> DataFrame:
     from threatlens.schemas import LINES
     return spark.createDataFrame([], LINES)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from threatlens import session
 from threatlens.operators.sliding import latest_counts, sliding_count
+from threatlens.sources.files import exists, remove
 
 
 def window_counts(entries: DataFrame, length: str = "60 seconds", slide: str | None = "10 seconds",
@@ -29,6 +30,18 @@ def session_counts(threats: DataFrame, gap: str = "30 minutes", lateness: str =
                     F.col("session_window.start").alias("session_start"), "attempts"))
 
 
+def closed_sessions(threats: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Sessions given out once, when the watermark has passed their end; their state goes with them.
+
+    ``threats`` carries a watermark on ``ts``, best set on the entries: traffic without
+    findings moves it too (``tail.parse_detect(..., lateness=...)``).
+    """
+    return (threats.groupBy(F.session_window("ts", gap), "source_ip", "threat_type")
+            .agg(F.count("*").alias("attempts"), F.max("ts").alias("last_seen"))
+            .select(F.col("source_ip").alias("ip"), "threat_type", F.col("session_window.start").alias("session_start"),
+                    "last_seen", "attempts"))
+
+
 class SlidingCounter:
     """Exact trailing-window counts on a stream, equal to the batch operator.
 
@@ -65,7 +78,6 @@ class SlidingCounter:
             self._process(batch, batch_id)
 
     def _process(self, batch: DataFrame, batch_id: int) -> None:
-        from threatlens.sources.files import exists
         spark = batch.sparkSession
         us = F.unix_micros(F.col(self.ts))
         rows = batch
@@ -102,5 +114,4 @@ class SlidingCounter:
     def _forget(self, spark, batch_id: int) -> None:
         """Drops a state table that no retry can ask for any more."""
         if batch_id >= 0:
-            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/batch={batch_id}")
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+            remove(spark, f"{self.path}/state/batch={batch_id}")

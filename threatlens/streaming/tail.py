@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threatlens.operators import detect, parsers, respond, whitelist
-from threatlens.sources.files import source_format
+from threatlens.sources.files import exists, remove, source_format
 
 
 def stream_lines(spark: SparkSession, path: str, pattern: str = "*.log",
@@ -41,9 +41,14 @@ def stream_sources(spark: SparkSession, sources: Iterable[dict], profile: str =
 
 
 def parse_detect(lines: DataFrame, fmt: str = "nginx", profile: str = "strict",
-                 config: dict | None = None) -> DataFrame:
-    """Parsing, allow lists and pattern rules on a stream; no state is kept."""
+                 config: dict | None = None, lateness: str | None = None) -> DataFrame:
+    """Parsing, allow lists and pattern rules on a stream; no state is kept.
+
+    ``lateness`` sets a watermark on the entries, for operators behind.
+    """
     entries = whitelist.apply(parsers.parse(lines, fmt, profile), config, profile)
+    if lateness is not None:
+        entries = entries.withWatermark("ts", lateness)
     return detect.detect_patterns(entries, config, profile)
 
 
@@ -112,3 +117,33 @@ def block_stream(threats: DataFrame, ttl: str = "1 hour") -> DataFrame:
 def live_stats(threats: DataFrame) -> DataFrame:
     """Running counts by type and severity; use with the complete or update mode."""
     return threats.groupBy("threat_type", "severity").agg(F.count("*").alias("count"))
+
+
+class NewestRows:
+    """A table that keeps the newest ``n`` rows of a stream.
+
+    Every batch writes a version of its own: the newest rows of the version before
+    and the batch.  A repeated batch writes the same version again, so nothing is
+    counted twice; older versions than the one a repetition needs are removed.
+    """
+
+    def __init__(self, path: str, n: int = 1000, order: tuple[str, ...] = ("seq", "det")) -> None:
+        self.path, self.n, self.order = path, n, order
+
+    def start(self, rows: DataFrame, checkpoint: str, poll_interval: float | None = 1.0) -> StreamingQuery:
+        return watch(rows, checkpoint, self.process, poll_interval)
+
+    def _version(self, batch_id: int) -> str:
+        return f"{self.path}/version={batch_id}"
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        spark, rows = batch.sparkSession, batch
+        if exists(spark, self._version(batch_id - 1)):
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(self._version(batch_id - 1)))
+        rows.orderBy(*[F.desc(c) for c in self.order]).limit(self.n).write.mode("overwrite").parquet(self._version(batch_id))
+        remove(spark, self._version(batch_id - 2))
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The newest version."""
+        versions = spark.read.parquet(self.path)
+        return versions.join(versions.agg(F.max("version").alias("version")), "version").drop("version")
