@@ -16,20 +16,6 @@ def _instants(events: DataFrame) -> DataFrame:
     return events.groupBy("_key", "_us", "_part").agg(F.count("*").alias("_n"))
 
 
-def _busy(instants: DataFrame, window_us: int, at_least: int) -> DataFrame:
-    """The instants that a window with ``at_least`` rows can hold.
-
-    A window lies in the stretch of its own length that its last row is in and
-    the one before; where both together have too few rows, nothing can be found.
-    """
-    stretch = floor_div(F.col("_us"), window_us)
-    sums = instants.groupBy("_key", stretch.alias("_stretch")).agg(F.sum("_n").alias("_sum"))
-    both = sums.select("_key", "_sum", F.explode(F.array("_stretch", F.col("_stretch") + 1)).alias("_stretch")) \
-        .groupBy("_key", "_stretch").agg(F.sum("_sum").alias("_sum")).filter(F.col("_sum") >= at_least)
-    wanted = both.select("_key", F.explode(F.array("_stretch", F.col("_stretch") - 1)).alias("_stretch")).distinct()
-    return instants.withColumn("_stretch", stretch).join(wanted, ["_key", "_stretch"], "left_semi").drop("_stretch")
-
-
 def ranked(points: DataFrame) -> DataFrame:
     """Adds ``_rank``: the sum of ``_n`` of the key before a point, in three steps of bounded width.
 
@@ -58,7 +44,31 @@ def ranked(points: DataFrame) -> DataFrame:
         "_rank", F.col("_base") + F.col("_inside")).drop("_cell", "_inside", "_base")
 
 
-def _counts_before(instants: DataFrame, window_us: int) -> DataFrame:
+def _in_pairs(points: DataFrame, window_us: int, at_least: int) -> DataFrame:
+    """Adds ``_rank``: the sum of ``_n`` of the key before a point, from the stretch before the one that asks.
+
+    A stretch is as long as the window, so a window lies in the stretch of its last
+    row and the one before.  Seconds are summed up per pair of stretches, and points
+    inside their second, so no window holds more than the seconds of two windows of
+    time, or one second of one key.  Pairs with fewer rows than ``at_least`` go.
+    """
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key", "_stretch").orderBy("_cell").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_key", "_cell").orderBy("_us", "_kind", "_part").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    placed = points.withColumn("_cell", floor_div(F.col("_us"), CELL_US))
+    of_cell = floor_div(F.col("_cell") * CELL_US, window_us)
+    bases = placed.groupBy("_key", "_cell").agg(F.sum("_n").alias("_n")).withColumn(
+        "_stretch", F.explode(F.array(of_cell, of_cell + 1))).withColumn("_base", before)
+    if at_least > 1:
+        bases = bases.withColumn("_total", F.sum("_n").over(Window.partitionBy("_key", "_stretch"))) \
+            .filter(F.col("_total") >= at_least)
+    return placed.withColumn("_inside", inside).withColumn("_stretch", floor_div(F.col("_asked_us"), window_us)) \
+        .join(bases.select("_key", "_stretch", "_cell", "_base"), ["_key", "_stretch", "_cell"]) \
+        .withColumn("_rank", F.col("_base") + F.col("_inside")).drop("_cell", "_stretch", "_inside", "_base")
+
+
+def _counts_before(instants: DataFrame, window_us: int, at_least: int) -> DataFrame:
     """For every (key, instant, slice): rows of the window that arrived earlier.
 
     That is the rank of the instant less the rank of the place one window
@@ -67,13 +77,13 @@ def _counts_before(instants: DataFrame, window_us: int) -> DataFrame:
     so the plan holds its input once and not per role.
     """
     points = instants.select("_key", F.explode(F.array(
-        F.struct("_us", "_part", "_n", F.lit(1).alias("_kind")),
-        F.struct((F.col("_us") - window_us).alias("_us"), F.lit("").alias("_part"),
-                 F.lit(0).cast("bigint").alias("_n"), F.lit(0).alias("_kind")))).alias("_p")).select("_key", "_p.*")
-    asked = F.when(F.col("_kind") == 0, F.col("_us") + window_us).otherwise(F.col("_us"))
+        F.struct("_us", "_part", "_n", F.lit(1).alias("_kind"), F.col("_us").alias("_asked_us")),
+        F.struct((F.col("_us") - window_us).alias("_us"), F.lit("").alias("_part"), F.lit(0).cast("bigint").alias("_n"),
+                 F.lit(0).alias("_kind"), F.col("_us").alias("_asked_us")))).alias("_p")).select("_key", "_p.*")
+    placed = _in_pairs(points, window_us, at_least) if window_us > 0 else ranked(points)
     expired = F.max(F.when(F.col("_kind") == 0, F.col("_rank"))).over(Window.partitionBy("_key", "_asked_us"))
-    return (ranked(points).withColumn("_asked_us", asked).withColumn("_before", F.col("_rank") - expired)
-            .filter("_kind = 1").select("_key", "_us", "_part", "_n", "_before"))
+    return placed.withColumn("_before", F.col("_rank") - expired).filter("_kind = 1").select(
+        "_key", "_us", "_part", "_n", "_before")
 
 
 def _keyed(events: DataFrame, key: Column, ts: Column, seq: Column) -> DataFrame:
@@ -101,9 +111,7 @@ def sliding_count(events: DataFrame, key: Column, ts: Column, seq: Column, windo
     if history is not None:
         # The empty slice name sorts before every real one.
         instants = instants.unionByName(history.select("_key", "_us", F.lit("").alias("_part"), "_n"))
-    if at_least > 1 and window_us > 0:
-        instants = _busy(instants, window_us, at_least)
-    hot = _counts_before(instants, window_us).filter(F.col("_before") + F.col("_n") >= at_least)
+    hot = _counts_before(instants, window_us, at_least).filter(F.col("_before") + F.col("_n") >= at_least)
     if history is not None:
         hot = hot.filter("_part <> ''")
     rank = F.row_number().over(Window.partitionBy("_key", "_us", "_part").orderBy("_pos"))
