@@ -1,9 +1,9 @@
 """Secrets, sentence spans, mixing and the pipeline against brute force."""
 
-import hashlib
 import random
 import re
 import statistics
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.plans import native
-from threatlens.llm import catalogue, exact, mixing, packing, quality, secret_scan, simhash, spans
+from tests.llm.test_duplicates import brute_fingerprint, brute_labels
+from threatlens.llm import catalogue, mixing, quality, secret_scan, shared, spans, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASSIGN = re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in (
@@ -220,7 +221,7 @@ def test_every_operator_has_a_query():
 
 
 def test_pipeline_equals_its_parts(spark, given):
-    """Each stage by brute force on the rows the stage before kept, from the operators' own results."""
+    """Each stage on the rows the stage before kept: exact groups, fingerprints, mixed words and packed pieces."""
     sf_dir = "/root/testdata/sf0.001"
     docs = {r.doc_id: r for r in given.collect()}
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -230,27 +231,33 @@ def test_pipeline_equals_its_parts(spark, given):
     for i in sorted(good):
         last[docs[i].text.translate(lower)] = i
     unique = sorted(last.values())
-    prints = {i: simhash.fingerprint(docs[i].text.encode()) for i in unique}
-    label = {i: i for i in unique}
-    changed = True
-    while changed:
-        changed = False
-        for a in unique:
-            for b in unique:
-                if (prints[a] ^ prints[b]).bit_count() <= 3 and label[b] < label[a]:
-                    label[a], changed = label[b], True
-    stay = sorted({label[i] for i in unique})
-    kept = given.where(F.col("doc_id").isin(stay))
-    expected = Counter()
-    for f in packing.pack(mixing.mixed(kept)).collect():
-        expected[f.doc_id] += f.length
-    found = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {f.doc_id for f in found} <= set(stay)
+    prints = {i: brute_fingerprint(docs[i].text) for i in unique}
+    label = dict(zip(unique, (unique[n] for n in brute_labels([prints[i] for i in unique]))))
+    stay = sorted(set(label.values()))
+    assert 0 < len(stay) <= len(unique) < len(good) < len(docs)
+    kept = given
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = shared.staged(stage(spark, kept, sf_dir), name)
+    assert sorted(r.doc_id for r in kept.collect()) == stay
+    mixed = shared.staged(mixing.mixed(kept), "mixing")
     words = {i: len(WORD.findall(docs[i].text)) for i in stay}
     _, target = brute_targets([(docs[i].source, words[i]) for i in stay])
     assert abs(sum(target.values()) - sum(words.values())) < 1e-6
-    assert abs(sum(f.length for f in found) - sum(expected.values())) < 0.02 * sum(expected.values())
-    assert hashlib.sha256(b"").digest() == exact.digest_of(b"")
+    taken = Counter()
+    for r in mixed.collect():
+        taken[r.doc_id] += len(WORD.findall(r.text))
+    amounts = {f.doc_id: f.taken for f in mixing.amounts(kept).collect()}
+    assert {i: n for i, n in taken.items() if n} == {i: n for i, n in amounts.items() if n}
+    assert all(amounts[i] <= 3 * words[i] for i in stay)
+    found = corpus_pipeline.run(spark, sf_dir).collect()
+    library = tokens.encoder(tokens.default_vocabulary())
+    pieces = Counter()
+    for r in mixed.collect():
+        ids = np.append(np.frombuffer(library.encode([r.text])[0], "<u4"), tokens.END_ID).astype("<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            pieces[r.doc_id, n, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert Counter((f.doc_id, f.piece, f.start, f.length, f.ids_crc32) for f in found) == pieces
     sequences = defaultdict(list)
     for f in found:
         sequences[f.sequence_id].append((f.offset, f.length))
@@ -262,6 +269,23 @@ def test_pipeline_equals_its_parts(spark, given):
         assert at <= 1024
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, none):
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = shared.staged(stage(spark, docs, "/root/testdata/sf0.001"), name)
+        assert docs.count() > 0 or docs.columns[0] == "doc_id"
+
+
+def test_stages_keep_columns_named_like_internal_ones(spark, odd, tmp_path):
+    names = ["kept_row_no", "mix_row_no", "mix_part", "epoch", "row_no_", "words"]
+    path = str(tmp_path / "documents.parquet")
+    odd.withColumns({n: F.lit("own") for n in names}).write.parquet(path)
+    docs = spark.read.parquet(path)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        made = stage(spark, docs, "/root/testdata/sf0.001")
+        assert made.columns == docs.columns and {r[0] for r in made.select(*names[:1]).distinct().collect()} <= {"own"}
+
+
 def test_stages_return_documents(spark, odd, none):
     for docs in (odd, none):
         for name, stage in corpus_pipeline.STAGES[:-1]:
