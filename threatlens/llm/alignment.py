@@ -30,6 +30,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,7 @@ class ByteTokens:
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         made = self._whole.encode(text, add_special_tokens=False)
         ids = np.array(made.ids, "i8")
-        starts, stops = np.array(made.offsets, "i8").reshape(-1, 2).T
+        starts, stops = np.fromiter(chain.from_iterable(made.offsets), "i8", 2 * len(ids)).reshape(-1, 2).T
         if text.isascii():
             bytes_at = stops
         else:
@@ -144,7 +145,7 @@ class Aligner:
     is for words whose bytes do not come back.
     """
 
-    def __init__(self, vocabulary: str, model: str, entries: int = 400_000):
+    def __init__(self, vocabulary: str, model: str, entries: int = 700_000):
         self.a, self.b = ByteTokens(vocabulary), PieceTokens(model)
         self._entries = entries
         #: Ids as text with the mark that follows: within a side, between sides, between groups.
@@ -249,7 +250,7 @@ def aligned(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, n_docs, n_links = TaskContext.get().partitionId() << 32, 0, 0, 0
-        for batch in batches:
+        for batch in tokens.larger(batches):
             parts, counts, digests, pairs, times = [], [], [], [], []
             for found in aligner(vocabulary, model).align(batch["text"].to_pylist()):
                 if found is None:
