@@ -57,7 +57,9 @@ def test_samples_come_from_all_rows(spark):
     for tree, v in found:
         per_tree.setdefault(tree, set()).add(v)
     assert len(per_tree) == 30 and all(len(s) == 256 for s in per_tree.values())
-    assert len(set().union(*per_tree.values())) > 7000      # trees hardly share rows
+    shared = set().union(*per_tree.values())
+    assert 4500 < len(shared) <= 30 * 256      # drawn from one sample of all rows
+    assert abs(np.mean(list(shared)) - 50_000) < 2_000
     assert min(v for _, v in found) < 1000 and max(v for _, v in found) > 99_000
     small = anomaly._tree_samples(rows.limit(100), ("a",), 100, 5, 1, max_samples=40).groupBy("tree").count().collect()
     assert [r["count"] for r in small] == [40] * 5
@@ -76,3 +78,14 @@ def test_training_result(traffic):
     assert forest.training_samples == 606
     flagged = forest.score(traffic).filter("is_anomaly").count()
     assert forest.anomalies_in_training == flagged <= 0.1 * 606
+
+
+def test_rows_that_leave_the_scan_are_bounded(spark):
+    """The shared sample has exactly its size, covers all rows evenly and does not follow partitions."""
+    from pyspark.sql import functions as F
+    rows = spark.range(300_000).select(F.struct(F.lit("p").alias("part"), F.col("id").alias("pos")).alias("seq"))
+    pools = [sorted(r.seq.pos for r in anomaly._pool(rows.repartition(n), 300_000, 2000, 5).collect()) for n in (2, 9)]
+    assert pools[0] == pools[1] and len(set(pools[0])) == 2000
+    tenths = np.bincount(np.array(pools[0]) // 30_000, minlength=10)
+    assert tenths.min() > 140 and tenths.max() < 270
+    assert anomaly._pool(rows.limit(50), 50, 2000, 5).count() == 50

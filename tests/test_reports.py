@@ -116,8 +116,30 @@ def test_prompts_and_scorer(entries):
     batches = scoring.batch_prompts(df, 10, "H:").orderBy("batch").collect()
     assert [b.lines for b in batches] == [10, 10, 5] and batches[1].prompt.startswith("H:1.1.1.1 - - ")
     assert scoring.head_prompt(df, 2, "").first().prompt.count("\n") == 1
-    scored = scoring.score_external(scoring.entry_prompts(df), scoring.pattern_scorer("(?i)nikto")).orderBy("seq").collect()
-    assert [r.seq.pos for r in scored if r.reply.is_threat] == [7]
+
+
+def test_rule_scorer_answers_as_the_detector(entries):
+    df = entries([("1.1.1.1", "/a?id=1%27%20OR%201=1--", 200, "Mozilla", 0), ("1.1.1.1", "/../../etc/passwd", 200, "sqlmap/1.0", 1),
+                  ("1.1.1.1", "/b?x=%3Cscript%3E", 200, "Mozilla", 2), ("1.1.1.1", "/c", 200, "nikto", 3), ("1.1.1.1", "/d", 200, "Mozilla", 4)],
+                 "classic")
+    found = {}
+    for r in detect.detect_patterns(df, profile="classic").orderBy("seq", "det").collect():
+        found.setdefault(r.seq.pos, (True, r.threat_type, r.severity))
+    scored = scoring.score_external(scoring.entry_prompts(df), scoring.rule_scorer("classic")).collect()
+    got = {r.seq.pos: (r.reply.is_threat, r.reply.threat_type, r.reply.severity) for r in scored}
+    assert len(found) == 4 and got == {r.seq.pos: (False, "NORMAL", "NONE") for r in scored} | found
+
+
+def test_batch_scorer_keeps_unreadable_replies_as_null(entries):
+    df = entries([("1.1.1.1", f"/{i}", 200, "nikto" if i == 7 else "M", i) for i in range(25)])
+
+    def answer(prompts):
+        """A stand-in for a client of a service."""
+        return prompts.map(lambda p: "?" if "/3\n" in p else (
+            '{"is_threat": %s, "threat_type": "X", "severity": "LOW", "confidence": 0.5, "reason": "r"}' % str("nikto" in p).lower()))
+    scored = scoring.score_external(scoring.entry_prompts(df), scoring.batch_scorer(answer)).collect()
+    assert [r.seq.pos for r in scored if r.reply and r.reply.is_threat] == [7]
+    assert [r.seq.pos for r in scored if r.reply is None] == [3]
 
 
 def test_clean_logs_materialize(entries, tmp_path):

@@ -75,3 +75,24 @@ def test_blocks_once_per_ttl(spark, tmp_path):
     got = tail.drain(tail.block_stream(stream, "1 hour"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted((r.ip, r.blocked_at.hour, r.blocked_at.minute) for r in got.collect()) == [
         ("a", 0, 0), ("a", 5, 0), ("b", 0, 6), ("c", 3, 20)]
+
+
+def test_live_totals_count_each_address_once(spark, tmp_path):
+    schema = "source_ip string, severity string"
+    lines_in, found_in = str(tmp_path / "lines"), str(tmp_path / "found")
+    totals = tail.LiveTotals(str(tmp_path / "totals"))
+    assert tuple(totals.rows(spark).first()) == (0, 0, 0, 0)
+    drops = [[("a", "LOW"), ("a", "LOW"), ("b", "HIGH")], [("a", "CRITICAL"), ("c", None), (None, "HIGH")], [("b", "HIGH"), ("b", "LOW")]]
+    expected = [(4, 3, 2, 1), (8, 6, 3, 2), (12, 8, 3, 2)]
+    for drop, wanted in zip(drops, expected):
+        spark.range(4).coalesce(1).write.mode("append").parquet(lines_in)
+        spark.createDataFrame(drop, schema).coalesce(1).write.mode("append").parquet(found_in)
+        entries = spark.readStream.schema("id bigint").parquet(lines_in)
+        found = spark.readStream.schema(schema).parquet(found_in)
+        totals.start(entries, found, str(tmp_path / "cp"), poll_interval=None).awaitTermination()
+        assert tuple(totals.rows(spark).first()) == wanted
+    # A batch that is repeated after a failure replaces what it wrote.
+    again = spark.createDataFrame([("b", "HIGH", False), ("b", "LOW", False)], schema + ", line boolean").unionByName(
+        spark.range(4).selectExpr("CAST(NULL AS STRING) source_ip", "CAST(NULL AS STRING) severity", "true line"))
+    totals.process(again, 2)
+    assert tuple(totals.rows(spark).first()) == expected[-1]

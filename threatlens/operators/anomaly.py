@@ -93,22 +93,38 @@ def _uniform(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
+def _pool(scaled: DataFrame, rows: int, most: int, seed: int) -> DataFrame:
+    """The ``most`` rows with the smallest hashes: a uniform sample of all rows, from one hash per row.
+
+    Only rows that may belong to it leave the scan; the rest of the work is on at most
+    ``most`` rows, whatever the size of the input.
+    """
+    if rows <= most:
+        return scaled
+    place = _uniform(F.col("seq.part"), F.col("seq.pos"), F.lit(seed), F.lit("pool"))
+    share = 1.2 * most / rows + 100.0 / rows        # thirty deviations above what is wanted
+    return scaled.withColumn("_v", place).where(F.col("_v") < share).orderBy(
+        "_v", "seq.part", "seq.pos").limit(most).drop("_v")
+
+
 def _tree_samples(scaled: DataFrame, names: tuple[str, ...], rows: int, trees: int, seed: int,
                   max_samples: int = MAX_SAMPLES) -> DataFrame:
     """The rows of each tree's sample, chosen by hash from all rows, so partitioning does not matter.
 
-    A row meets every tree as a number in [0, 1) and leaves the scan only for
-    trees where that number is small: twice the wanted rows of a tree are kept,
-    and the smallest numbers win.
+    All trees draw from one uniform sample of ``trees * max_samples`` rows (all rows, where
+    there are fewer), so each tree's sample is uniform over all rows.  A row of it meets every
+    tree as a number in [0, 1), and the smallest numbers win.
     """
     part, pos = F.col("seq.part"), F.col("seq.pos")
-    share = min(1.0, 2.0 * max_samples / max(rows, 1))
+    most = trees * max_samples
+    pool = _pool(scaled, rows, most, seed)
+    share = min(1.0, 2.0 * max_samples / max(min(rows, most), 1))
     drawn = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
                     lambda t: F.struct(t.alias("tree"), _uniform(part, pos, t, F.lit(seed)).alias("v"))),
         lambda d: d["v"] < share)
-    hits = scaled.select(F.array(*[F.col(f"z_{n}") for n in names]).alias("x"), part.alias("_part"),
-                         pos.alias("_pos"), drawn.alias("_drawn")).filter(F.size("_drawn") > 0)
+    hits = pool.select(F.array(*[F.col(f"z_{n}") for n in names]).alias("x"), part.alias("_part"),
+                       pos.alias("_pos"), drawn.alias("_drawn")).filter(F.size("_drawn") > 0)
     hits = hits.select("x", "_part", "_pos", F.inline("_drawn"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("v", "_part", "_pos"))
     return hits.withColumn("_rank", rank).filter(F.col("_rank") <= max_samples).select("tree", "_rank", "x")

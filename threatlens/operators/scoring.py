@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threatlens import rules
 from threatlens.functions import lookup, text
 
 BATCH_HEADER = "Assess these log entries and answer with one JSON object.\n\n"
@@ -48,17 +49,30 @@ def entry_prompts(entries: DataFrame) -> DataFrame:
         F.lit("\nBytes: "), F.col("bytes_sent").cast("string"), F.lit("\n")).alias("prompt"))
 
 
-def pattern_scorer(pattern: str, threat_type: str = "SUSPICIOUS", severity: str = "HIGH") -> Callable[[Column], Column]:
-    """A scorer by one regular expression, for use where no service may be asked."""
+def rule_scorer(profile: str | rules.Profile = "classic") -> Callable[[Column], Column]:
+    """A scorer from the profile's own pattern rules, for use where no service may be asked.
+
+    It reads the path and the user agent of an entry's request (:func:`entry_prompts`) and
+    answers with the first rule that matches, in the profile's order.  The confidence is the
+    rule's own, null where the profile gives none.
+    """
+    p = rules.profile(profile)
+    decode = text.url_decode_once if p.name == "classic" else text.url_decode_twice
+
     def reply(prompt: Column) -> Column:
-        odd = prompt.rlike(pattern)
-
-        def pick(yes, no) -> Column:
-            return F.when(odd, F.lit(yes)).otherwise(F.lit(no))
-        return F.to_json(F.struct(
-            odd.alias("is_threat"), pick(threat_type, "NORMAL").alias("threat_type"),
-            pick(severity, "NONE").alias("severity"), pick(0.9, 0.6).alias("confidence"),
-            pick("known pattern", "nothing known").alias("reason")))
+        path = decode(F.regexp_extract(prompt, r"(?s)\nPath: (.*?)\nStatus: ", 1))
+        agent = F.regexp_extract(prompt, r"(?s)\nUser-Agent: (.*)\nBytes: ", 1)
+
+        def answer(threat: bool, kind: str, severity: str, confidence: float | None, reason: str) -> Column:
+            return F.to_json(F.struct(
+                F.lit(threat).alias("is_threat"), F.lit(kind).alias("threat_type"), F.lit(severity).alias("severity"),
+                F.lit(confidence).cast("double").alias("confidence"), F.lit(reason).alias("reason")),
+                {"ignoreNullFields": "false"})
+        out = answer(False, "NORMAL", "NONE", None, "no rule matches")
+        for rule in sorted(p.rules, key=lambda r: p.order.index(r.threat_type), reverse=True):
+            hit = (agent if rule.text == "user_agent" else path).rlike(text.any_of(rule.patterns))
+            out = F.when(hit, answer(True, rule.threat_type, rule.severity, rule.confidence, rule.name)).otherwise(out)
+        return out
     return reply
 
 

@@ -1374,6 +1374,23 @@ def _(spark, d):
     return _in_drops(spark, d, consume)
 
 
+@query("stream_live_totals", """SELECT (SELECT count(*) FROM entries) AS lines, count(*) AS threats,
+    count(DISTINCT source_ip) AS unique_ips, count(DISTINCT source_ip) FILTER (severity IN ('HIGH', 'CRITICAL')) AS blocked_ips
+    FROM threats""")
+def _(spark, d):
+    """Totals of the whole live detector over consecutive drops, with the addresses seen and blocked so far."""
+    (out, checkpoint), (path, totals_checkpoint) = _paths(spark), _paths(spark)
+    totals = tail.LiveTotals(path)
+
+    def consume(events):
+        lines = bridge.access_lines(events)
+        found = tail.drain(live.detect_all(lines, config=CONFIG, lateness="1 day"), out, checkpoint)
+        arrived = spark.readStream.schema(found.schema).parquet(out)
+        totals.start(parsers.parse_nginx(lines), arrived, totals_checkpoint, poll_interval=None).awaitTermination()
+    _in_drops(spark, d, consume)
+    return totals.rows(spark)
+
+
 # --- models and external scoring ----------------------------------------------
 _FEATURE_SQL = {
     "strict": f"""SELECT event_id, CAST(status_code AS DOUBLE) AS f_status, CAST(bytes_sent AS DOUBLE) AS f_bytes,
@@ -1484,14 +1501,17 @@ def _(spark, d):
     return scoring.entry_prompts(_entries(spark, d, "classic")).select(_id(), "prompt")
 
 
-@query("score_external", f"""SELECT event_id, odd AS is_threat, CASE WHEN odd THEN 'SUSPICIOUS' ELSE 'NORMAL' END
-    AS threat_type, CASE WHEN odd THEN 'HIGH' ELSE 'NONE' END AS severity, CAST(CASE WHEN odd THEN 0.9 ELSE 0.6 END
-    AS DOUBLE) AS confidence FROM (SELECT event_id, regexp_matches({_PROMPT},
-    '(?i)union.+select|<script|\\.\\./|sqlmap|nikto') AS odd FROM classic)""")
+_FIRST_RULE = " UNION ALL ".join(f"SELECT event_id, det, threat_type, severity FROM c_{n}" for n in (
+    "sql_injection", "path_traversal", "xss", "suspicious_ua"))
+
+
+@query("score_external", f"""SELECT e.event_id, t.f IS NOT NULL AS is_threat, coalesce(t.f.threat_type, 'NORMAL') AS threat_type,
+    coalesce(t.f.severity, 'NONE') AS severity FROM classic e LEFT JOIN (SELECT event_id, arg_min(
+    struct_pack(threat_type := threat_type, severity := severity), det) AS f FROM ({_FIRST_RULE}) r GROUP BY event_id) t USING (event_id)""")
 def _(spark, d):
-    scorer = scoring.pattern_scorer(r"(?i)union.+select|<script|\.\./|sqlmap|nikto")
-    scored = scoring.score_external(scoring.entry_prompts(_entries(spark, d, "classic")), scorer)
-    return scored.select(_id(), "reply.is_threat", "reply.threat_type", "reply.severity", "reply.confidence")
+    requests = scoring.entry_prompts(_entries(spark, d, "classic"))
+    scored = scoring.score_external(requests, scoring.rule_scorer("classic"))
+    return scored.select(_id(), "reply.is_threat", "reply.threat_type", "reply.severity")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from threatlens import session
 from threatlens.operators import detect, parsers, respond, whitelist
 from threatlens.sources.files import exists, remove, source_format
 
@@ -147,3 +148,57 @@ class NewestRows:
         """The newest version."""
         versions = spark.read.parquet(self.path)
         return versions.join(versions.agg(F.max("version").alias("version")), "version").drop("version")
+
+
+class LiveTotals:
+    """Running totals of a watcher: lines, findings, addresses with findings, addresses blocked.
+
+    Every batch is counted once, by address, and only addresses not seen before are
+    added to the table of known ones, so no batch rewrites what earlier ones found.
+    A batch's rows stand under its number: a repeated batch replaces its own.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def start(self, entries: DataFrame, threats: DataFrame, checkpoint: str,
+              poll_interval: float | None = 1.0) -> StreamingQuery:
+        """Both streams in one query, so that totals never mix two states of the input."""
+        lines = entries.select(F.lit(None).cast("string").alias("source_ip"), F.lit(None).cast("string").alias("severity"),
+                               F.lit(True).alias("line"))
+        both = lines.unionByName(threats.select("source_ip", "severity", F.lit(False).alias("line")))
+        return watch(both, checkpoint, self.process, poll_interval)
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # By address: counts combine before the shuffle, so a hot address is one row per task.
+        blocked = F.coalesce(F.col("severity").isin("HIGH", "CRITICAL"), F.lit(False))
+        here = batch.groupBy("line", "source_ip").agg(F.count("*").alias("n"), F.max(blocked).alias("blocked"))
+        counts = f"{self.path}/counts/batch={batch_id}"
+        here.write.mode("overwrite").parquet(counts)
+        here = spark.read.schema(here.schema).parquet(counts)
+        found = here.where("not line and source_ip is not null")
+        states = found.select("source_ip", F.lit("seen").alias("state")).unionByName(
+            found.where("blocked").select("source_ip", F.lit("blocked").alias("state")))
+        known = self._known(spark).where(F.col("batch") < batch_id).select("source_ip", "state")
+        states.join(known, ["source_ip", "state"], "left_anti").write.mode("overwrite").parquet(
+            f"{self.path}/known/batch={batch_id}")
+        new = self._known(spark).where(F.col("batch") == batch_id)
+        sums = here.agg(F.coalesce(F.sum(F.when(F.col("line"), F.col("n"))), F.lit(0)).alias("lines"),
+                        F.coalesce(F.sum(F.when(~F.col("line"), F.col("n"))), F.lit(0)).alias("threats"))
+        added = new.agg(F.count_if(F.col("state") == "seen").alias("unique_ips"),
+                        F.count_if(F.col("state") == "blocked").alias("blocked_ips"))
+        sums.join(added, F.lit(True)).write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch_id}")   # one row on either side
+        remove(spark, counts)
+
+    def _known(self, spark: SparkSession) -> DataFrame:
+        schema = "source_ip string, state string, batch bigint"
+        path = f"{self.path}/known"
+        return spark.read.schema(schema).parquet(path) if exists(spark, path) else session.table(spark, [], schema)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """One row; nulls before the first batch become zeros."""
+        columns = ("lines", "threats", "unique_ips", "blocked_ips")
+        path, schema = f"{self.path}/totals", ", ".join(f"{c} bigint" for c in columns)
+        totals = spark.read.schema(schema).parquet(path) if exists(spark, path) else session.table(spark, [], schema)
+        return totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
