@@ -205,14 +205,53 @@ def test_slots_follow_permutations_and_shards(spark):
         for epoch in {s.epoch for s in own}:
             blocks = [s.block_no for s in own if s.epoch == epoch]
             assert len(set(blocks)) == len(blocks) and max(blocks) < -(-size // 256)
-    per_shard = Counter(s.shard for s in made if s.source_no == 2)
-    assert len({s.shard for s in made}) == 1 or min(per_shard.values()) > 0
-    assert [s.block_no for s in made if (s.source_no, s.epoch) == (0, 0)] != sorted(
-        s.block_no for s in made if (s.source_no, s.epoch) == (0, 0))
+    assert [s.block_no for s in sorted(made, key=lambda s: s.slot) if (s.source_no, s.epoch) == (0, 0)] != list(range(101))
+    # Shards: counts of a source vary as a draw does, and each shard has a stretch of the source's slots.
+    by_shard = defaultdict(list)
+    for s in mixing.slots(sources, shard_blocks=20).where("source_no = 2").collect():
+        by_shard[s.shard].append(s.slot)
+    counts = [len(v) for v in by_shard.values()]
+    assert sum(counts) == 1500 and len(counts) == -(-(1500 + 251 + 3) // 20) and 2 < np.std(counts) < 7
+    flat = [slot for shard in sorted(by_shard) for slot in sorted(by_shard[shard])]
+    assert flat == list(range(1500))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 16, 97, 1000, 4097])
+def test_permutations_are_whole_and_not_regular(spark, size):
+    rows = spark.range(size).select("id", *[mixing.permuted(F.col("id"), F.lit(size).cast("long"), F.lit(k).cast("long")).alias(f"k{k}")
+                                            for k in (1, 2)]).orderBy("id").collect()
+    for k in ("k1", "k2"):
+        assert sorted(r[k] for r in rows) == list(range(size))
+    if size >= 97:
+        image = np.array([r.k1 for r in rows])
+        assert len(set(np.diff(image) % size)) > size // 3          # no arithmetic progression
+        assert abs(np.corrcoef(np.arange(size), image)[0, 1]) < 0.3
+        assert sum(r.k1 == r.k2 for r in rows) < 10
+
+
+def test_shards_hold_the_mix(given, odd, none):
+    for docs in (given, odd):
+        size, shard_blocks = 16, 40
+        rows = mixing.sharded(docs, size, shard_blocks).collect()
+        taken = sum(f.taken for f in mixing.amounts(docs, size).collect())
+        assert sum(r.words for r in rows) == taken and all(len(WORD.findall(r.text)) == r.words <= size for r in rows)
+        assert len({(r.source_no, r.epoch, r.slot) for r in rows}) == len(rows)
+        places = defaultdict(list)
+        for r in rows:
+            places[r.shard].append(r.place)
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+        # Epochs repeat the same blocks in another order.
+        texts = defaultdict(list)
+        for r in rows:
+            texts[r.source_no, r.epoch].append(r.text)
+        for (source, epoch), held in texts.items():
+            if (source, epoch + 1) in texts and (source, epoch + 2) in texts:
+                assert sorted(held) == sorted(texts[source, epoch + 1])
+    assert not mixing.sharded(none).count()
 
 
 def test_mixing_stays_in_the_engine(given):
-    assert native(mixing.amounts(given)) and native(mixing.mixed(given))
+    assert native(mixing.amounts(given)) and native(mixing.mixed(given)) and native(mixing.sharded(given))
 
 
 # --- catalogue and pipeline ------------------------------------------------------

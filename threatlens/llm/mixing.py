@@ -4,8 +4,12 @@ Every source's words form one stream, cut into blocks of ``BLOCK`` words and a
 shorter last one.  A source takes its target's number of words: in each epoch
 the full blocks in the order of a pseudorandom index permutation of its own,
 then the last block, until the number is reached; the final slot may be cut.
-Slots fall on output shards independently and evenly, so that the counts of a
-source per shard are a multinomial draw whose sum is the target.  Slots and
+
+Every slot draws its output shard evenly and independently, so the counts of a
+source per shard are multinomial, conditioned on the source's total, which is the
+target.  Prefix sums of the counts give each shard its own slots of each source.
+Permutations are keyed Feistel networks on the smallest grid that holds the
+indices; images outside are sent through again until they fall inside.  Slots and
 blocks then meet by (source, block index), and blocks and documents by the word
 ranges of documents in their stream.
 
@@ -32,8 +36,12 @@ SHARD_BLOCKS = 4096     # slots of an output shard, on average
 MAX_EPOCHS = 3
 CHUNK_ROWS = 20_000     # rows of a chunk of streams, on average
 _RUN = 4096             # slots made from one row
-#: Primes above any number of blocks: none divides it, so each gives a permutation.
-_PRIMES = (1099511627791, 1099511627803, 1099511627831, 1099511627873, 1099511627899)
+_TASK_SLOTS = 1 << 20   # slots made in one task, on average
+_SHARD_GROUP = 4096     # shards whose counts are summed in one window
+_ROUNDS = 6             # of a permutation
+#: Passes until an index falls inside: enough for every grid of up to 64 x 64, and beyond that
+#: one more is needed with a chance below 1 in 64 ** 64; it would end the job, never a wrong index.
+_PASSES = 64
 
 
 def _ranked(rows: DataFrame, column: Column, name: str) -> DataFrame:
@@ -98,35 +106,75 @@ def laid_out(sized: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
         "base", "ahead", "chunk")
 
 
-def slots(sources: DataFrame, block: int = BLOCK) -> DataFrame:
+def permuted(index: Column, size: Column, key: Column) -> Column:
+    """A keyed permutation of 0 .. size-1: alternate rounds add a hash of one coordinate to the other."""
+    rows = F.greatest(F.ceil(F.sqrt(size.cast("double"))), F.lit(1)).cast("long")
+    columns = F.ceil(size / rows).cast("long")
+
+    def network(at: Column, grid: Column) -> Column:
+        def round_(x: Column, r: Column) -> Column:
+            low = x % grid["columns"]
+            high = ((x - low) / grid["columns"]).cast("long")
+            moved = (high + F.pmod(F.xxhash64(grid["key"], r, low), grid["rows"])) % grid["rows"]
+            shifted = (low + F.pmod(F.xxhash64(grid["key"], r, high), grid["columns"])) % grid["columns"]
+            return F.when(r % 2 == 0, moved * grid["columns"] + low).otherwise(high * grid["columns"] + shifted)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(_ROUNDS - 1)), at, round_)
+
+    def walk(grid: Column) -> Column:
+        inside = F.aggregate(F.sequence(F.lit(2), F.lit(_PASSES)), network(grid["at"], grid),
+                             lambda x, _: F.when(x < grid["size"], x).otherwise(network(x, grid)))
+        return native.bound(inside, lambda x: F.when(x < grid["size"], x).otherwise(
+            F.raise_error(F.lit("an index did not return")).cast("long")))
+    return native.bound(F.struct(index.cast("long").alias("at"), size.cast("long").alias("size"), key.alias("key"),
+                                 rows.alias("rows"), columns.alias("columns")), walk)
+
+
+def _runs(rows: DataFrame, count: str, first: Column, name: str, total: int) -> DataFrame:
+    """Each row once for every number from ``first`` on, ``count`` of them, ``total`` in all; spread over tasks before that."""
+    last = first + F.col(count) - 1
+    cut = rows.where(F.col(count) > 0).withColumn("last_", last).withColumn(
+        "first_", F.explode(F.sequence(first, last, F.lit(_RUN).cast("long"))))
+    # A stated number of partitions: by the bytes of these short rows there would be too few.
+    return cut.repartition(max(8, -(-total // _TASK_SLOTS)), "source_no", "first_").withColumn(name, F.explode(F.sequence(
+        F.col("first_"), F.least(F.col("first_") + _RUN - 1, F.col("last_"))))).drop("first_", "last_")
+
+
+def drawn(sources: DataFrame, total: int, shards: int) -> DataFrame:
+    """source_no, shard, n and ``base``: how many slots of a source fall on a shard, and on shards before it."""
+    none = F.lit(0).cast("long")
+    draws = _runs(sources.select("source_no", "all_slots"), "all_slots", none, "draw", total)
+    counts = draws.groupBy("source_no", F.pmod(F.xxhash64("source_no", "draw", F.lit(2)), F.lit(shards)).alias("shard")).agg(
+        F.count("*").alias("n"))
+    counts = shared.staged(counts.withColumn("group", F.floor(F.col("shard") / _SHARD_GROUP)), "shard-counts")
+
+    def ahead(order: str, *keys: str) -> Column:
+        before = Window.partitionBy("source_no", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(before), none)
+    groups = counts.groupBy("source_no", "group").agg(F.sum("n").alias("n"))
+    groups = groups.select("source_no", "group", ahead("group").alias("group_base"))
+    inside = counts.withColumn("inside", ahead("shard", "group"))
+    return inside.join(groups, ["source_no", "group"]).select(
+        "source_no", "shard", "n", (F.col("group_base") + F.col("inside")).alias("base"))
+
+
+def slots(sources: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """source_no, epoch, slot, block_no, words and shard of every block the mix takes."""
-    size = F.col("source_size")
-    take = F.round("target").cast("long")
-    some = sources.where(take > 0).select(
-        "source_no", size.alias("source_size"), F.floor(size / block).alias("full"), take.alias("take"))
-    epochs = some.withColumn("epoch", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.floor((F.col("take") - 1) / F.col("source_size")))))
-    words = F.least(F.col("source_size"), F.col("take") - F.col("epoch") * F.col("source_size"))
-    epochs = epochs.withColumn("words", words).withColumn("slots", F.ceil(F.col("words") / block))
-    runs = epochs.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1,
-                                                           F.lit(_RUN).cast("long"))))
-    each = runs.repartition("source_no", "epoch", "first").withColumn("slot", F.explode(F.sequence(
-        F.col("first"), F.least(F.col("first") + _RUN, F.col("slots")) - 1)))
-    primes = F.array(*[F.lit(p).cast("long") for p in _PRIMES])
-    draw = F.xxhash64("source_no", "epoch")
-    full = F.greatest(F.col("full"), F.lit(1))
-    factor = F.get(primes, F.pmod(draw, F.lit(len(_PRIMES))).cast("int")) % full
-    shift = F.pmod(F.xxhash64(draw, F.lit(1)), full)
-    wide = "decimal(38,0)"      # the product may pass 64 bits
-    permuted = ((F.col("slot").cast(wide) * factor.cast("decimal(19,0)") + shift.cast("decimal(19,0)"))
-                % full.cast("decimal(19,0)")).cast("long")
-    number = F.when(F.col("slot") < F.col("full"), permuted).otherwise(F.col("slot"))
-    left = F.least(F.lit(block).cast("long"), F.col("words") - F.col("slot") * block)
-    shards = F.greatest(F.ceil(F.lit(1.0) * F.col("all_slots") / SHARD_BLOCKS), F.lit(1))
-    made = epochs.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first().n
-    return each.select("source_no", "epoch", "slot", number.alias("block_no"), left.alias("words"),
-                       F.lit(made).cast("long").alias("all_slots")).withColumn(
-        "shard", F.pmod(F.xxhash64("source_no", "epoch", "slot", F.lit(2)), shards)).drop("all_slots")
+    size, take = F.col("source_size"), F.round("target").cast("long")
+    some = sources.where(take > 0).select("source_no", size, F.floor(size / block).alias("full"), take.alias("take"))
+    some = some.withColumn("per_epoch", F.ceil(size / block)).withColumn("rest", F.col("take") % size)
+    some = some.withColumn("all_slots", ((F.col("take") - F.col("rest")) / size).cast("long") * F.col("per_epoch")
+                           + F.ceil(F.col("rest") / block))
+    made = some.agg(F.coalesce(F.sum("all_slots"), F.lit(0)).alias("n")).first().n
+    counts = drawn(some, made, max(1, -(-made // shard_blocks))).join(some.drop("rest", "all_slots"), "source_no")
+    each = _runs(counts, "n", F.col("base"), "number", made)
+    slot = F.col("number") % F.col("per_epoch")
+    each = each.withColumn("slot", slot).withColumn(
+        "epoch", ((F.col("number") - F.col("slot")) / F.col("per_epoch")).cast("long"))
+    words = F.least(size, F.col("take") - F.col("epoch") * size)
+    left = F.least(F.lit(block).cast("long"), words - F.col("slot") * block)
+    index = permuted(F.col("slot"), F.greatest("full", F.lit(1)), F.xxhash64("source_no", "epoch"))
+    number = F.when(F.col("slot") < F.col("full"), index).otherwise(F.col("slot"))
+    return each.select("source_no", "epoch", "slot", number.alias("block_no"), left.alias("words"), "shard")
 
 
 def taken_ranges(placed: DataFrame, chosen: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -139,17 +187,17 @@ def taken_ranges(placed: DataFrame, chosen: DataFrame, block: int = BLOCK) -> Da
     last = F.least(F.col("end"), begin + F.col("words"))
     # There are as many slots as blocks: never broadcast.
     joined = held.join(chosen.hint("merge"), ["source_no", "block_no"]).where(last > first)
-    return joined.select("row_no", "epoch", "shard", "slot", (first - F.col("start")).alias("first"),
-                         (last - first).alias("words"))
+    return joined.select("row_no", "source_no", "epoch", "shard", "slot", (first - F.col("start")).alias("first"),
+                         (first - begin).alias("at"), (last - first).alias("words"))
 
 
-def mix(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> tuple[DataFrame, DataFrame]:
     """The documents with their source's size and target, and the word ranges that the mix takes of them."""
     shared.prepare(docs.sparkSession)
     sized = shared.staged(sizes(docs), "sizes")
     sources = shared.staged(targets(sized), "targets")
     placed = shared.staged(laid_out(sized, sources, sized.count()), "streams")
-    return placed, shared.staged(taken_ranges(placed, slots(sources, block), block), "mix-ranges")
+    return placed, shared.staged(taken_ranges(placed, slots(sources, block, shard_blocks), block), "mix-ranges")
 
 
 def amounts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -179,3 +227,24 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
+
+
+def sharded(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """The mix itself: shard, place (in the shard), source_no, epoch, slot, words and text of every block.
+
+    A block's words stand joined by single spaces; blocks of a shard lie in pseudorandom
+    order.  ``docs`` must be read from files.  Write it by ``shard`` to have the shards as files.
+    """
+    _, ranges = mix(docs, block, shard_blocks)
+    parts = ranges.groupBy("row_no").agg(F.collect_list(F.struct(
+        "source_no", "epoch", "shard", "slot", "at", "first", "words")).alias("parts"))
+    texts = shared.numbered(docs, "text").join(parts, "row_no")
+    pieces = texts.select(F.explode(native.bound(native.words(F.col("text")), lambda w: F.transform(
+        F.col("parts"), lambda p: F.struct(p.alias("p"), F.array_join(F.slice(
+            w, (p["first"] + 1).cast("int"), p["words"].cast("int")), " ").alias("text"))))).alias("e"))
+    # A block holds at most ``block`` pieces, one word each.
+    blocks = pieces.select("e.p.*", "e.text").groupBy("shard", "source_no", "epoch", "slot").agg(
+        F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("at", "text"))).alias("held"))
+    order = Window.partitionBy("shard").orderBy(F.xxhash64("source_no", "epoch", "slot", F.lit(3)), "source_no", "epoch", "slot")
+    return blocks.select("shard", (F.row_number().over(order) - 1).alias("place"), "source_no", "epoch", "slot", "words",
+                         F.array_join(F.col("held.text"), " ").alias("text"))
