@@ -51,3 +51,15 @@ def test_index_equals_every_pattern(spark):
     assert found.count() == len(expected)
     every = {(r["_row"].id, r.rule_no) for r in rule_index.matches(df, rule_index.build(df, table, "line"), "line").collect()}
     assert every == {(i, n) for i, line in rows for n, p in rules if line is not None and re.search(p, line)}
+
+
+def test_rows_are_shuffled_for_listed_grams_only(spark, monkeypatch):
+    rows = [(i, f"10.0.{i // 100}.{i % 100} - GET /a/long/path/that/every/row/has?q={'x' * 50}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, line string").repartition(4)
+    table = spark.createDataFrame([(i, rf"^10\.0\.{i // 100}\.{i % 100} ") for i in range(2000)], "rule_no int, pattern string")
+    index = rule_index.build(df, table, "line")
+    assert max(r["count"] for r in index.groupBy("gram").count().collect()) <= 5      # rules that share a key, of 2,000
+    found = {(r["_row"].id, r.rule_no) for r in rule_index.matches(df, index, "line").collect()}
+    assert found == {(i, i) for i in range(2000)}
+    monkeypatch.setattr(rule_index, "MOST", 10)                                       # joined by a shuffle
+    assert {(r["_row"].id, r.rule_no) for r in rule_index.matches(df, index, "line").collect()} == found
