@@ -44,8 +44,9 @@ def _active(ts: Column) -> Column:
         | (F.unix_micros(ts) < F.unix_micros("blocked_at") + F.col("duration").cast("bigint") * 1_000_000))
 
 
-#: Hours of a bin of the interval join, bins a term may reach into, and copies of a block for entries side by side.
-BIN_HOURS, MOST_BINS, COPIES = 6, 1024, 16
+#: Hours of a bin of the interval join, bins a term may reach into, the least copies of a block in a crowded bin,
+#: and the entries of an address and bin that make a crowd.
+BIN_HOURS, MOST_BINS, COPIES, CROWD = 6, 1024, 16, 50_000
 
 
 def blocked_entries(entries: DataFrame, decisions: DataFrame, blocked: bool = True) -> DataFrame:
@@ -53,34 +54,39 @@ def blocked_entries(entries: DataFrame, decisions: DataFrame, blocked: bool = Tr
 
     An interval join by bins of time: a block is listed under every bin it reaches
     into, and an entry looks in its own.  Blocks without an end, or with a term of more
-    than ``MOST_BINS`` bins, stand under one bin of their own.  Every block has
-    ``COPIES`` copies, and entries of different partitions meet different ones.  So
-    the entries of one address are spread over bins and copies.  The terms of an
-    address must not overlap (``block_decisions`` has one, live blocks follow each
-    other), so no entry is multiplied.
+    than ``MOST_BINS`` bins, stand under one bin of their own.  Where an address has
+    more than ``CROWD`` entries in a bin, its blocks there have a copy for each
+    ``CROWD`` of them, ``COPIES`` at least, and the entries are spread over the copies;
+    elsewhere there is one.  The listed blocks are always shuffled: Spark would judge their size by the
+    blocks alone and broadcast them.  Entries are read once more for their counts.  The
+    terms of an address must not overlap (``block_decisions`` has one, live blocks
+    follow each other), so no entry is multiplied.
     """
     size = BIN_HOURS * 3600
-    copies = F.sequence(F.lit(0), F.lit(COPIES - 1))
     blocks = decisions.select(F.col("ip").alias("_ip"), "blocked_at", "duration")
     lasting = (F.col("duration") == 0) | (F.col("duration") > size * (MOST_BINS - 1))
     first = floor_div(F.unix_seconds("blocked_at"), size)
     last = floor_div(F.unix_seconds("blocked_at") + F.col("duration"), size)
-
-    def met(rows: DataFrame, flag: str, *keys: str) -> tuple[DataFrame, Column]:
-        """The copies of blocks and what an entry must have in common with one."""
-        copied = rows.withColumn("_copy", F.explode(copies))
-        side = copied.select("_ip", "blocked_at", "duration", "_copy", *[F.col(k).alias(f"{k}_") for k in keys],
-                             F.lit(True).alias(flag))
-        same = (F.col("ip") == F.col("_ip")) & (F.col("_entry_copy") == F.col("_copy")) & _active(F.col("ts"))
-        for k in keys:
-            same = same & (F.col(k) == F.col(f"{k}_"))
-        return side, same
-    timed = entries.withColumns({"_bin": floor_div(F.unix_seconds("ts"), size),
-                                 "_entry_copy": F.pmod(F.spark_partition_id(), F.lit(COPIES))})
-    binned = blocks.filter(~lasting).withColumn("_bin", F.explode(F.sequence(first, last)))
-    for rows, flag, keys in ((binned, "_met", ["_bin"]), (blocks.filter(lasting), "_met_lasting", [])):
-        side, same = met(rows, flag, *keys)
-        timed = timed.join(side, same, "left").drop("_ip", "blocked_at", "duration", "_copy", "_bin_")
+    in_bin = floor_div(F.unix_seconds("ts"), size)
+    binned = blocks.filter(~lasting).withColumn("_of", F.explode(F.sequence(first, last)))
+    always = blocks.filter(lasting).withColumn("_of", F.lit(0).cast("bigint"))
+    timed = entries
+    for rows, flag, of in ((binned, "_met", in_bin), (always, "_met_lasting", F.lit(0).cast("bigint"))):
+        crowds = F.broadcast(entries.groupBy(F.col("ip").alias("_ip"), of.alias("_of")).agg(F.count("*").alias("_n"))
+                             .where(F.col("_n") > CROWD)
+                             .select("_ip", "_of", F.greatest(F.lit(COPIES), F.ceil(F.col("_n") / CROWD)).alias("_copies")))
+        side = rows.join(crowds, ["_ip", "_of"], "left").withColumn(
+            "_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).select(
+            "_ip", "_of", "blocked_at", "duration", "_copy", F.lit(True).alias(flag))
+        own = timed.withColumn("_entry_of", of).join(
+            crowds.select(F.col("_ip").alias("_crowd_ip"), F.col("_of").alias("_crowd_of"), "_copies"),
+            (F.col("ip") == F.col("_crowd_ip")) & (F.col("_entry_of") == F.col("_crowd_of")), "left").withColumn(
+            "_entry_copy", F.pmod(F.monotonically_increasing_id(), F.coalesce("_copies", F.lit(1)))).drop(
+            "_crowd_ip", "_crowd_of", "_copies")
+        same = (F.col("ip") == F.col("_ip")) & (F.col("_entry_of") == F.col("_of")) \
+            & (F.col("_entry_copy") == F.col("_copy")) & _active(F.col("ts"))
+        timed = own.join(side.hint("merge"), same, "left").drop(
+            "_ip", "_of", "blocked_at", "duration", "_copy", "_entry_of", "_entry_copy")
     hit = F.coalesce("_met", "_met_lasting", F.lit(False))
     return timed.filter(hit if blocked else ~hit).select(*entries.columns)
 
