@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from threatlens import session
 from threatlens.operators import respond
 from threatlens.plans import queries as catalogue
+from threatlens.sources import windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +34,25 @@ def test_listed_blocks_are_not_broadcast(spark, tmp_path, monkeypatch):
     assert sorted(r.id for r in found.collect()) == expected and len(expected) > 40
     joins = [line for line in plan(found).splitlines() if "blocked_at" in line and "Join" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_block_numbers_are_counted_in_short_slices(spark, tmp_path, monkeypatch):
+    """Blocks of many lengths that span slices; later values of a key win."""
+    monkeypatch.setattr(windows, "SLICE", 4)
+    lines = []
+    for i in range(60):
+        lines += [f"Event ID: {i}", "Level: Error", *[f"note {n}" for n in range(i % 9)], f"Description: d{i}", f"Level: L{i}"]
+    (tmp_path / "a.txt").write_text("\n".join(["before", *lines]))
+    events = windows.scan_blocks(spark, str(tmp_path / "a.txt"))
+    assert sorted((r.event_id, r.level, r.message) for r in events.collect() if r.level != "INFORMATION") == [
+        (i, f"L{i}", f"d{i}") for i in range(60)]
+    text = plan(events)
+    assert "slice" in text[text.index("Window"):]       # no window over a whole split
+
+
+def test_drops_have_a_file_per_core(spark, monkeypatch):
+    paths = []
+    fresh = session.fresh_path
+    monkeypatch.setattr(session, "fresh_path", lambda spark, name: paths.append(fresh(spark, name)) or paths[-1])
+    catalogue._in_drops(spark, SF, lambda events: None, n=1)
+    assert len(spark.read.parquet(paths[0]).inputFiles()) == spark.sparkContext.defaultParallelism

@@ -83,26 +83,28 @@ def parse_blocks(lines: DataFrame, raw: bool = False) -> DataFrame:
     in memory.
 
     The number of a line's block is a running count in file order.  It is taken
-    in two steps, so that no task reads a whole file: openings per slice are
-    summed over the slices of a file, then counted inside each slice.
+    in two steps, so that no task reads a whole file: openings per slice of at most
+    ``SLICE`` lines of a split are summed over the slices of a file, then counted inside each slice.
     """
     value = text.strip(F.col("value"))
     marked = lines.select(
         value.alias("value"), "seq",
         F.substring_index(F.col("seq.part"), "#", 1).alias("file"),
-        F.col("seq.part").alias("part"),
+        F.col("seq.part").alias("part"), text.floor_div(F.col("seq.pos"), SLICE).alias("slice"),
         value.startswith("Event ID:").cast("int").alias("opens"))
-    per_slice = marked.groupBy("file", "part").agg(F.sum("opens").alias("opened"))
-    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.select("file", "part", F.coalesce(F.sum("opened").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("file", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = marked.join(offsets, ["file", "part"]).withColumn(
-        "block", F.col("offset") + F.sum("opens").over(inside))
+    per_slice = marked.groupBy("file", "part", "slice").agg(F.sum("opens").alias("opened"))
+    in_file = Window.partitionBy("file").orderBy("part", "slice")
+    offsets = per_slice.select(
+        "part", "slice", F.row_number().over(in_file).alias("no"),
+        F.coalesce(F.sum("opened").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("part", "slice").orderBy("seq.pos").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = marked.join(offsets, ["part", "slice"]).withColumn(
+        "block", F.col("offset") + F.sum("opens").over(inside)).drop("part", "slice", "opens", "offset")
     keyed = numbered.withColumn("key", F.when(F.col("value").contains(":"), _key(F.col("value"))))
 
     def last(name: str) -> Column:
         """The value of the last line with this key; combined on the map side, however long a block is."""
-        at = F.when(F.col("key") == name, F.col("seq"))
+        at = F.when(F.col("key") == name, F.struct("no", "seq.pos"))     # file order in numbers, without paths
         return F.max_by(F.when(F.col("key") == name, _value(F.col("value"))), at).alias(name)
     events = keyed.groupBy("file", "block").agg(F.min("seq").alias("seq"), *[last(k) for k in BLOCK_KEYS])
     typed = events.select("file", "block", "seq", *_typed(lambda key, default: F.coalesce(F.col(f"`{key}`"), F.lit(default))))
@@ -113,6 +115,9 @@ def parse_blocks(lines: DataFrame, raw: bool = False) -> DataFrame:
     return typed.filter("event_id is not null").drop("file", "block")
 
 
+#: Ids of lines in a slice of a split.
+SLICE = 1 << 16
+
 #: The lines of a block that become columns.
 BLOCK_KEYS = ("Event ID", "Date and Time", "Level", "Log Name", "Computer", "User", "Description", "Source")
 
