@@ -330,3 +330,12 @@ def test_stages_return_documents(spark, odd, none):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             if name != "quality":
                 assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns, name
+
+
+def test_sentences_without_places_are_those_with_places():
+    draw = random.Random(8)
+    for _ in range(500):
+        text = bytes(draw.choice(b"abcde.|? \n\t\r\x0b\x0c\xc3\x1c") for _ in range(draw.randrange(300)))
+        cut = spans.sentences(text)
+        assert spans._plain(text) == ([b" ".join(w) for _, _, w in cut], [len(w) for _, _, w in cut])
+        assert not cut or (cut[0][0], cut[-1][1]) == (0, len(text)) or text.isspace() or not text

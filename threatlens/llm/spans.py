@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,50 +35,68 @@ RUN = 3
 WORDS = 20
 LONG = 8
 
-_WORD_END = re.compile(rb"[^\x20\x09-\x0D]+([\x20\x09-\x0D]*)")
+_WORD = re.compile(rb"([^\x20\x09-\x0D]+)([\x20\x09-\x0D]*)")
+_MARKS = frozenset(b".!?|")
 _RUNS = "row_no long, doc_id long, place int, sentences int, digest binary"
 ROWS = "row_no long, doc_id long, removed array<int>, text string"
 
 
 def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
     """(start, end, words) of each sentence in bytes; the white space after a sentence belongs to it."""
-    out, start, words = [], 0, []
-    for m in _WORD_END.finditer(text):
-        word, gap = m.group(0)[:m.end() - m.start() - len(m.group(1))], m.group(1)
+    out, words, start, at = [], [], 0, len(text) - len(text.lstrip())
+    for word, gap in _WORD.findall(text):
         words.append(word)
-        if word[-1:] in b".!?|" or b"\n" in gap or (
-                len(words) >= LONG and zlib.crc32(word) & 3 == 0):
-            out.append((start, m.end(), words))
-            start, words = m.end(), []
+        at += len(word) + len(gap)
+        if word[-1] in _MARKS or b"\n" in gap or (len(words) >= LONG and not zlib.crc32(word) & 3):
+            out.append((start, at, words))
+            start, words = at, []
     if words:
         out.append((start, len(text), words))
     return out
 
 
+def _plain(text: bytes) -> tuple[list[bytes], list[int]]:
+    """The words of each sentence, joined by spaces, and their number; without places, lines are cut by themselves."""
+    found, sizes = [], []
+    for line in text.split(b"\n"):
+        words, start = line.split(), 0
+        for i, word in enumerate(words, 1):
+            if word[-1] in _MARKS or (i - start >= LONG and not zlib.crc32(word) & 3):
+                found.append(b" ".join(words[start:i]))
+                sizes.append(i - start)
+                start = i
+        if start < len(words):
+            found.append(b" ".join(words[start:]))
+            sizes.append(len(words) - start)
+    return found, sizes
+
+
 def runs(text: bytes, size: int = RUN, least: int = WORDS) -> list[tuple[int, int, bytes]]:
     """(index of the first sentence, number of sentences, digest) of every run."""
-    words = [w for _, _, w in sentences(text)]
-    found, out = [b" ".join(w) for w in words], []
+    found, sizes = _plain(text)
+    out = []
     end, held = 0, 0        # sentences before ``end`` from ``i`` on hold ``held`` words
     for i in range(len(found)):
         while end < len(found) and (end - i < size or held < least):
-            held += len(words[end])
+            held += sizes[end]
             end += 1
         if end - i < size or held < least:
             break           # the text ends first, here and for all later starts
         out.append((i, end - i, xxhash.xxh128_digest(b"\n".join(found[i:end]))))
-        held -= len(words[i])
+        held -= sizes[i]
     return out
 
 
 def repeated_runs(docs: DataFrame, size: int = RUN, least: int = WORDS) -> DataFrame:
     """row_no, place, sentences and first_id of every run that is not the first of its kind."""
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(n, i, *r) for n, i, t in zip(batch["row_no"].to_pylist(), batch["doc_id"].to_pylist(),
-                                               shared.raw_texts(batch["text"])) for r in runs(t, size, least)]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)],
-                                          ["row_no", "doc_id", "place", "sentences", "digest"])
+        found = [runs(t, size, least) for t in shared.raw_texts(batch["text"])]
+        row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        places = list(zip(*(r for f in found for r in f))) or [[]] * 3
+        return pa.RecordBatch.from_arrays(
+            [batch["row_no"].take(row), batch["doc_id"].take(row),
+             *[pa.array(c, k) for c, k in zip(places, (pa.int32(), pa.int32(), pa.binary()))]],
+            ["row_no", "doc_id", "place", "sentences", "digest"])
     every = shared.staged(shared.by_batch(shared.numbered(docs, "doc_id", "text"), make, _RUNS), "sentence-runs")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no", "place")
     groups = shared.staged(every.groupBy("digest").agg(F.count("*").alias("n"), F.min(first).alias("first"))
