@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from threatlens.llm import components, exact, simhash
+from threatlens.llm import components, exact, shared, simhash
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -82,6 +82,36 @@ def test_long_chains_are_one_component(spark):
     assert not components.components(spark.createDataFrame([], "a long, b long")).count()
 
 
+def test_small_graphs_take_few_rounds_and_files(spark, monkeypatch):
+    """One crowded group of 600 links and many pairs: what a round costs must not follow the shuffle partitions."""
+    draw = random.Random(3)
+    ids = draw.sample(range(-2 ** 40, 2 ** 40), 1200)
+    links = [(ids[i], ids[i + 1]) for i in range(600)] + [(ids[i], ids[i + 1]) for i in range(602, 1200, 2)]
+    links += draw.sample(links, 50) + [(ids[1199], ids[1199])]
+    draw.shuffle(links)
+    files, real = [], shared.staged
+
+    def staged(rows, name, *read):
+        out = real(rows, name, *read)
+        files.append((name, len(out.inputFiles())))
+        return out
+    monkeypatch.setattr(shared, "staged", staged)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    expected = {i: min(ids[:601]) for i in ids[:601]}
+    expected |= {i: min(ids[k:k + 2]) for k in range(602, 1200, 2) for i in ids[k:k + 2]}
+    assert found == expected
+    assert max(n for _, n in files) <= spark.sparkContext.defaultParallelism
+    assert sum(name == "labels" for name, _ in files) <= 23      # eleven rounds; passed on node by node, 73
+
+
 @pytest.mark.parametrize("name", ["odd", "given"])
 def test_exact_equals_brute_force(name, request, keys):
     docs = request.getfixturevalue(name)

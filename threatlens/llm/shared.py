@@ -17,6 +17,9 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 HOT_SHARE = 1000
 HOT_LEAST = 1000
 
+#: Rows of a few numbers that a task should have at least, before another task is worth its start and its file.
+TASK_ROWS = 1 << 17
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Batches to Python are bounded in rows and bytes, whatever the length of a text.
@@ -63,11 +66,23 @@ def only_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
     return rows.join(stay.select(F.col("row_no").alias(number)), number, "left_semi").drop(number)
 
 
-def staged(rows: DataFrame, name: str) -> DataFrame:
-    """Writes rows below the shared folder and reads them back: computed once, lineage cut."""
+def staged(rows: DataFrame, name: str, read: int | None = None) -> DataFrame:
+    """Writes rows below the shared folder and reads them back: computed once, lineage cut.
+
+    ``read`` is the number of narrow rows the last stage reads: see ``dealt``.
+    """
+    rows = rows if read is None else dealt(rows, read)
     return session.stage(rows, session.fresh_path(rows.sparkSession, name))
 
 
+def dealt(rows: DataFrame, read: int) -> DataFrame:
+    """The same rows in no more tasks than ``read`` rows are worth, but one per core at least.
+
+    However many shuffle partitions are set, a small table then is not written as one tiny file for each.
+    """
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-read // TASK_ROWS)))
+
+
 def by_batch(rows: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One output batch for each input batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

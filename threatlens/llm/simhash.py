@@ -38,6 +38,7 @@ MAX_BITS = 3
 SEED = 42
 BUCKET = 4096
 _BLOCK = 1 << 16        # shingles hashed at a time: memory does not grow with the text
+_ASKED = 17             # keys that a fingerprint looks up in a segment: its own, and half its bits cleared
 _PRINTS = "row_no long, doc_id long, fingerprint long"
 
 
@@ -105,10 +106,11 @@ def near_pairs(prints: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET
     probes = prints.select(F.col("fingerprint").alias("a"), F.inline(balls)).select(
         "a", "same", F.explode("keys").alias("key"))
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits) & (~F.col("same") | (F.col("a") < F.col("b")))
+    stored = 2 * prints.count()
     busy = shared.staged(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key"),
-                         "busy-segments")
+                         "busy-segments", stored)
     if not busy.limit(1).count():
-        return probes.join(table, "key").where(near).select("a", "b")
+        return shared.dealt(probes.join(table, "key").where(near).select("a", "b"), (1 + _ASKED) * stored)
     calm = probes.join(busy, "key", "left_anti").join(table, "key").where(near).select("a", "b")
     return calm.unionByName(_second_level(probes.join(busy, "key"), table.join(busy, "key"), near))
 
@@ -139,17 +141,19 @@ def classes(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> D
     """
     shared.prepare(docs.sparkSession)
     found = shared.staged(fingerprints(docs, size), "fingerprints")
+    rows = found.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")).alias("first")
-    prints = shared.staged(found.groupBy("fingerprint").agg(F.count("*").alias("copies"), first), "prints")
+    prints = shared.staged(found.groupBy("fingerprint").agg(F.count("*").alias("copies"), first), "prints", rows)
     links = shared.staged(near_pairs(prints.select("fingerprint"), max_bits), "near-pairs")
     labels = components(links).withColumnRenamed("node", "fingerprint")
     linked = prints.join(labels, "fingerprint")
+    linked = shared.staged(linked, "linked-prints", rows)
     roots = shared.staged(linked.groupBy("label").agg(F.min("first").alias("root"), F.count("*").alias("members")),
-                          "components")
-    placed = shared.look_up(shared.staged(linked, "linked-prints"), roots, "label", "members", linked.count())
+                          "components", rows)
+    placed = shared.look_up(linked, roots, "label", "members", linked.count())
     alone = prints.join(labels, "fingerprint", "left_anti").select("fingerprint", "copies", F.col("first").alias("root"))
     every = placed.select("fingerprint", "copies", "root").unionByName(alone)
-    joined = shared.look_up(found, every, "fingerprint", "copies", found.count())
+    joined = shared.dealt(shared.look_up(found, every, "fingerprint", "copies", rows), rows)
     return joined.select("row_no", "doc_id", "fingerprint", F.col("root.doc_id").alias("component_id"),
                          F.col("root.row_no").alias("component_row"))
 
