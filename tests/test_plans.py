@@ -24,6 +24,11 @@ def test_a_line_is_matched_once_per_pass(spark):
     assert text.count("regexp_replace(value") == 1
 
 
+def test_an_xml_document_is_parsed_once(spark):
+    text = plan(catalogue.QUERIES["parse_windows_xml_col"](spark, SF))
+    assert text.count("from_xml(") == 1
+
+
 def test_narrow_reads(spark):
     text = plan(reports.count_by(detect.detect_patterns(catalogue._entries(spark, SF)), "threat_type"))
     assert "event_type" not in text.split("ReadSchema")[1].split(">")[0]

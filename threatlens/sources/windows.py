@@ -29,9 +29,9 @@ def write_xml(documents: DataFrame, path: str, column: str = "value") -> None:
 
 
 def parse_xml_column(documents: DataFrame, column: str = "value") -> DataFrame:
-    """One XML event document per row; other columns are carried along."""
-    parsed = documents.withColumn(
-        "event", F.from_xml(F.col(column), XML_EVENT, {"mode": "PERMISSIVE"})).drop(column)
+    """One XML event document per row, parsed once; other columns are carried along."""
+    parsed = documents.withColumn("event", text.evaluated_once(
+        F.from_xml(F.col(column), XML_EVENT, {"mode": "PERMISSIVE"}))).drop(column)
     return windows_events(parsed)
 
 
