@@ -89,3 +89,24 @@ def test_rows_that_leave_the_scan_are_bounded(spark):
     tenths = np.bincount(np.array(pools[0]) // 30_000, minlength=10)
     assert tenths.min() > 140 and tenths.max() < 270
     assert anomaly._pool(rows.limit(50), 50, 2000, 5).count() == 50
+
+
+def test_walk_in_batches_equals_node_by_node():
+    """Values on a threshold, beyond all of them and not a number; a tree that is a single leaf."""
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    samples = [np.round(rng.normal(size=(256, 3)), 1), np.zeros((5, 3))]
+    grown = [anomaly._grow(7)(pd.DataFrame({"tree": t, "_rank": range(len(x)), "x": list(x)}))
+             for t, x in enumerate(samples)]
+    trees = [{c: g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "size", "depth")} for g in grown]
+    x = np.vstack([samples[0], rng.normal(size=(50, 3)) * 9, [[np.inf, -np.inf, np.nan]]])
+    x[:len(trees[0]["threshold"]), 0] = trees[0]["threshold"][:len(x)]
+
+    def length(tree, row):
+        node = 0
+        while tree["feature"][node] >= 0:
+            low = row[tree["feature"][node]] <= tree["threshold"][node]
+            node = tree["left" if low else "right"][node]
+        return tree["depth"][node] + anomaly.average_path(tree["size"][node])
+    expected = [length(trees[0], row) + length(trees[1], row) for row in x]
+    assert anomaly._total_length(x, [anomaly._steps(t) for t in trees]).tolist() == expected

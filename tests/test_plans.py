@@ -24,6 +24,12 @@ def test_a_line_is_matched_once_per_pass(spark):
     assert text.count("regexp_replace(value") == 1
 
 
+def test_training_and_scoring_parse_lines_once(spark):
+    for name in ("score_iforest", "join_scores"):
+        text = plan(catalogue.QUERIES[name](spark, SF))
+        assert "regexp" not in text and "get_json_object" not in text, name
+
+
 def test_an_xml_document_is_parsed_once(spark):
     text = plan(catalogue.QUERIES["parse_windows_xml_col"](spark, SF))
     assert text.count("from_xml(") == 1

@@ -281,6 +281,33 @@ def train(entries: DataFrame, profile: str = "strict", contamination: float | No
     return Forest(nodes, scaler, sample, cut, profile, below)
 
 
+def _steps(tree: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+    """A tree to walk in whole batches: feature, threshold, next nodes, levels and path length.
+
+    ``next[2 * node + 1]`` is where a row goes that is not above the threshold, ``next[2 * node]``
+    where the others go.  Leaves lead to themselves, so after ``levels`` steps every row is in its leaf.
+    """
+    inner, here = tree["feature"] >= 0, np.arange(len(tree["feature"]))
+    onward = np.empty(2 * len(here), np.intp)
+    onward[0::2] = np.where(inner, tree["right"], here)
+    onward[1::2] = np.where(inner, tree["left"], here)
+    length = tree["depth"] + np.array([average_path(n) for n in tree["size"]])
+    return (np.where(inner, tree["feature"], 0).astype(np.intp), tree["threshold"], onward,
+            int(tree["depth"].max()), length)
+
+
+def _total_length(x: np.ndarray, trees: list[tuple]) -> np.ndarray:
+    """Path lengths of the rows of ``x``, summed over the trees in their order."""
+    flat, first = np.ascontiguousarray(x).reshape(-1), np.arange(len(x)) * x.shape[1]
+    total = np.zeros(len(x))
+    for feature, threshold, onward, levels, length in trees:
+        at = np.zeros(len(x), np.intp)
+        for _ in range(levels):
+            at = onward.take(2 * at + (flat.take(first + feature.take(at)) <= threshold.take(at)))
+        total += length.take(at)
+    return total
+
+
 def _score(scaled: DataFrame, nodes: DataFrame, names: tuple[str, ...], sample: int) -> DataFrame:
     """Adds ``score`` = -2^(-mean depth / average depth), tree by tree on whole batches."""
     table = nodes.toPandas().sort_values(["tree", "node"])     # bounded by the number of trees
@@ -291,24 +318,11 @@ def _score(scaled: DataFrame, nodes: DataFrame, names: tuple[str, ...], sample:
 
     @F.pandas_udf("double")
     def forest_score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        trees = packed.value
-        lengths = [t["depth"] + np.array([average_path(n) for n in t["size"]]) for t in trees]
+        trees = [_steps(t) for t in packed.value]
         for batch in batches:
             x = np.column_stack([c.to_numpy(dtype=float) for c in batch])
             # Log lines repeat: walk every distinct vector once.
             x, back = np.unique(x, axis=0, return_inverse=True)
-            depth = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for t, length in zip(trees, lengths):
-                at = np.zeros(len(x), dtype=int)
-                while True:
-                    feature = t["feature"][at]
-                    inner = feature >= 0
-                    if not inner.any():
-                        break
-                    here = at[inner]
-                    go_left = x[rows[inner], feature[inner]] <= t["threshold"][here]
-                    at[inner] = np.where(go_left, t["left"][here], t["right"][here])
-                depth += length[at]
+            depth = _total_length(x, trees)
             yield pd.Series((-np.exp2(-depth / len(trees) / normal))[back.reshape(-1)])
     return scaled.withColumn("score", forest_score(*[F.col(f"z_{n}") for n in names]))
