@@ -110,3 +110,21 @@ def test_walk_in_batches_equals_node_by_node():
         return tree["depth"][node] + anomaly.average_path(tree["size"][node])
     expected = [length(trees[0], row) + length(trees[1], row) for row in x]
     assert anomaly._total_length(x, [anomaly._steps(t) for t in trees]).tolist() == expected
+
+
+def test_distinct_rows_in_order():
+    x = np.array([[2.0, np.nan], [1.0, 5.0], [2.0, np.nan], [0.0, 5.0], [-0.0, 5.0], [1.0, 5.0]])
+    rows, back = anomaly._distinct(x)
+    assert len(rows) == 3 and np.array_equal(rows[back], x, equal_nan=True)
+
+
+def test_children_lie_side_by_side():
+    """Leaves keep every row, -inf among them; the last rows of a batch walk as the others do."""
+    tree = {"feature": np.array([0, -1, 1, -1, -1]), "threshold": np.array([0.5, 0.0, -1.0, 0.0, 0.0]),
+            "left": np.array([1, -1, 3, -1, -1]), "right": np.array([2, -1, 4, -1, -1]),
+            "size": np.array([4, 2, 2, 1, 1]), "depth": np.array([0, 1, 1, 2, 2])}
+    _, threshold, onward, levels, length = anomaly._steps(tree)
+    assert levels == 2 and onward[0] == 1 and np.isnan(threshold[onward == np.arange(5)]).all()
+    x = np.array([[-np.inf, 0.0], [0.5, 9.0], [1.0, -1.0], [1.0, -0.5], [np.nan, np.nan]])
+    assert anomaly._total_length(x, [anomaly._steps(tree)]).tolist() == [2.0, 2.0, 2.0, 2.0, 2.0]
+    assert sorted(length.tolist()) == sorted((tree["depth"] + np.array([anomaly.average_path(n) for n in tree["size"]])).tolist())

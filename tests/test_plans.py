@@ -1,6 +1,10 @@
 """Plan shapes that must hold at any scale."""
 
-from threatlens.operators import detect, parsers, reports
+from pyspark.sql import functions as F
+
+from threatlens import rules
+from threatlens.functions import text
+from threatlens.operators import anomaly, detect, parsers, reports
 from threatlens.plans import queries as catalogue
 from threatlens.sources import bridge
 
@@ -30,6 +34,24 @@ def test_training_and_scoring_parse_lines_once(spark):
         assert "regexp" not in text and "get_json_object" not in text, name
 
 
+def test_the_model_stages_what_it_reads(spark):
+    for name in ("score_iforest", "join_scores"):
+        staged = catalogue.QUERIES[name](spark, SF).inputFiles()[0]
+        columns = set(spark.read.parquet(staged.rsplit("/", 1)[0]).columns)
+        assert columns == {*anomaly.INPUTS, "ip"}, name
+
+
+def test_line_groups_hold_the_pattern_few_times(spark):
+    """Lines with the joining character itself take one expression, not one for each group."""
+    lines = spark.createDataFrame([("1.1.1.1 - \x01 [x] \"GET /\x01 HTTP/1.1\" 200 5 \"-\" \"a\x01b\"",), ("odd \x01 line",),
+                                   ("2.2.2.2 - - [x] \"GET / HTTP/1.1\" 200 5 \"-\" \"a\"",)], "value string")
+    found = lines.select(text.line_groups(F.col("value"), rules.NGINX_CLASSIC_LINE, 8).alias("g"))
+    assert plan(found).count("regexp_extract") == 1
+    a, b, c = (r.g for r in found.collect())
+    assert a == ["1.1.1.1", "x", "GET", "/\x01", "200", "5", "-", "a\x01b"] and b is None
+    assert c == ["2.2.2.2", "x", "GET", "/", "200", "5", "-", "a"]
+
+
 def test_an_xml_document_is_parsed_once(spark):
     text = plan(catalogue.QUERIES["parse_windows_xml_col"](spark, SF))
     assert text.count("from_xml(") == 1

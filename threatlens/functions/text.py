@@ -71,8 +71,9 @@ def line_groups(line: Column, pattern: str, groups: int) -> Column:
     """
     anchored = f"(?dU)^(?:{pattern})(?s:.*)"
     joined = F.regexp_replace(line, anchored, _MARK.join(f"${i + 1}" for i in range(groups)))
-    plain = F.when(line.rlike(f"(?dU)^(?:{pattern})"), F.array(*[
-        F.regexp_extract(line, anchored, i + 1) for i in range(groups)]))
+    plain = F.when(line.rlike(f"(?dU)^(?:{pattern})"), F.transform(
+        F.array(*[F.lit(i + 1) for i in range(groups)]),
+        lambda i: F.call_function("regexp_extract", line, F.lit(anchored), i)))
     return F.when(line.contains(_MARK), plain).otherwise(F.split(joined, _MARK))
 
 

@@ -27,6 +27,10 @@ CLASSIC_FEATURES = ("method", "status", "bytes", "path_length", "agent_length",
                     "special_chars", "is_error", "is_server_error", "hour")
 
 
+#: The columns that training and scoring read.
+INPUTS = ("seq", "path", "method", "status_code", "bytes_sent", "user_agent", "ts", "ts_hour")
+
+
 def feature_names(profile: str = "strict") -> tuple[str, ...]:
     return STRICT_FEATURES if profile == "strict" else CLASSIC_FEATURES
 
@@ -282,32 +286,55 @@ def train(entries: DataFrame, profile: str = "strict", contamination: float | No
 
 
 def _steps(tree: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
-    """A tree to walk in whole batches: feature, threshold, next nodes, levels and path length.
+    """A tree to walk in whole batches: feature, threshold, next node, levels and path length.
 
-    ``next[2 * node + 1]`` is where a row goes that is not above the threshold, ``next[2 * node]``
-    where the others go.  Leaves lead to themselves, so after ``levels`` steps every row is in its leaf.
+    Nodes are renumbered by level, so that a node's children lie side by side: ``onward[node]`` is
+    where a row above the threshold goes, the one after it where the others go.  Leaves lead to
+    themselves, as no value is below their threshold, so after ``levels`` steps every row is in its leaf.
     """
-    inner, here = tree["feature"] >= 0, np.arange(len(tree["feature"]))
-    onward = np.empty(2 * len(here), np.intp)
-    onward[0::2] = np.where(inner, tree["right"], here)
-    onward[1::2] = np.where(inner, tree["left"], here)
+    inner, count = tree["feature"] >= 0, 1
+    order, onward = np.zeros(len(inner), np.intp), np.arange(len(inner))
+    for at in range(len(inner)):
+        node = order[at]
+        if inner[node]:
+            onward[at], order[count], order[count + 1] = count, tree["right"][node], tree["left"][node]
+            count += 2
     length = tree["depth"] + np.array([average_path(n) for n in tree["size"]])
-    return (np.where(inner, tree["feature"], 0).astype(np.intp), tree["threshold"], onward,
-            int(tree["depth"].max()), length)
+    return (np.where(inner, tree["feature"], 0).astype(np.intp)[order], np.where(inner, tree["threshold"], np.nan)[order],
+            onward, int(tree["depth"].max()), length[order])
 
 
 def _total_length(x: np.ndarray, trees: list[tuple]) -> np.ndarray:
-    """Path lengths of the rows of ``x``, summed over the trees in their order."""
-    flat, first = np.ascontiguousarray(x).reshape(-1), np.arange(len(x)) * x.shape[1]
-    total = np.zeros(len(x))
+    """Path lengths of the rows of ``x``, summed over the trees in their order.
+
+    Every step writes into the same few arrays; all indices are in range by construction, so they are not checked.
+    """
+    n = len(x)
+    flat, rows = np.ascontiguousarray(x.T).reshape(-1), np.arange(n)
+    at, cell, value, limit, below = (np.empty(n, t) for t in (np.intp, np.intp, float, float, bool))
+    total = np.zeros(n)
     for feature, threshold, onward, levels, length in trees:
-        at = np.zeros(len(x), np.intp)
+        column = feature * n
+        at[:] = 0
         for _ in range(levels):
-            at = onward.take(2 * at + (flat.take(first + feature.take(at)) <= threshold.take(at)))
-        total += length.take(at)
+            column.take(at, out=cell, mode="clip")
+            cell += rows
+            flat.take(cell, out=value, mode="clip")
+            threshold.take(at, out=limit, mode="clip")
+            np.less_equal(value, limit, out=below)
+            onward.take(at, out=cell, mode="clip")
+            np.add(cell, below, out=at)
+        total += length.take(at, out=value, mode="clip")
     return total
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in the order they appear, and which of them each row is."""
+    frame = pd.DataFrame(x)
+    back = frame.groupby(list(frame.columns), sort=False, dropna=False).ngroup().to_numpy()
+    return x[~frame.duplicated().to_numpy()], back
+
+
 def _score(scaled: DataFrame, nodes: DataFrame, names: tuple[str, ...], sample: int) -> DataFrame:
     """Adds ``score`` = -2^(-mean depth / average depth), tree by tree on whole batches."""
     table = nodes.toPandas().sort_values(["tree", "node"])     # bounded by the number of trees
@@ -322,7 +349,7 @@ def _score(scaled: DataFrame, nodes: DataFrame, names: tuple[str, ...], sample:
         for batch in batches:
             x = np.column_stack([c.to_numpy(dtype=float) for c in batch])
             # Log lines repeat: walk every distinct vector once.
-            x, back = np.unique(x, axis=0, return_inverse=True)
+            x, back = _distinct(x)
             depth = _total_length(x, trees)
-            yield pd.Series((-np.exp2(-depth / len(trees) / normal))[back.reshape(-1)])
+            yield pd.Series((-np.exp2(-depth / len(trees) / normal))[back])
     return scaled.withColumn("score", forest_score(*[F.col(f"z_{n}") for n in names]))
