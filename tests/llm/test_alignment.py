@@ -87,6 +87,35 @@ def test_words_equal_whole_texts(libraries, texts):
         assert (*numbers, len(pairs), hashlib.sha256(groups.encode()).hexdigest()) == (*row[:4], row[6]), text
 
 
+_MARKED = st.sampled_from([*"aéŁz.,;:!?*$%&#\n' \t9×ß'", "der", "\n", "\nIl", ".\n", "'s", "...", "***", " ", " word", "\r\n", "中", "\u0250"])
+
+
+@settings(max_examples=250, deadline=None)
+@sampled(st.lists(st.lists(_MARKED, max_size=25).map("".join), max_size=5))
+def test_parts_of_words_equal_whole_texts(libraries, texts):
+    found = list(alignment.aligner(A_FILE, B_FILE).align(texts))
+    for text, made, row in zip(texts, found, brute(libraries, texts), strict=True):
+        assert (made is None) == (row[6] == ""), text
+        if made is not None:
+            numbers, groups, pairs = made
+            assert (*numbers, len(pairs), hashlib.sha256(groups.encode()).hexdigest()) == (*row[:4], row[6]), text
+
+
+@pytest.mark.parametrize("cut", [True, False])
+def test_shared_parts_are_aligned_once(libraries, cut):
+    """A hundred words of ten heads and ten tails; whole words where the model has pieces across borders."""
+    heads = ["haus", "été", "Weg", "rue", "Łan", "sin", "go", "Ähre", "mar", "noe"]
+    tails = [".", ",", "!!", ".***", "$$$", ".\nDas", "\nIl", ";", ":\nOù?", "#"]
+    made = alignment.Aligner(A_FILE, B_FILE)
+    assert made.b.cut_at_borders
+    made.b.cut_at_borders = cut
+    text = " ".join(h + t for h in heads for t in tails)
+    numbers, groups, pairs = next(made.align([text]))
+    expected = brute(libraries, [text])[0]
+    assert (*numbers, len(pairs), hashlib.sha256(groups.encode()).hexdigest()) == (*expected[:4], expected[6])
+    assert len(made._texts) <= 45 if cut else len(made._texts) > 100
+
+
 def test_full_caches_start_anew(libraries):
     small = alignment.Aligner(A_FILE, B_FILE, entries=2)
     for text in ("one two three", "two three four", "one five"):

@@ -10,7 +10,10 @@ ends; two tokens are linked if their byte ranges overlap.
 
 Neither tokenizer joins anything across a space that follows a non-space, so
 texts are cut there and each distinct word of a batch is aligned once; words are
-kept in a bounded cache.  A text's groups and links are those of its words.
+kept in a bounded cache.  A text's groups and links are those of its words.  Nor
+does either join a Latin letter to the marks or the line break after it: words of
+only these are cut there too, and what they share is aligned once.  A model with
+a piece that crosses such a place has its words aligned whole.
 
 The count of an id pair is the number of documents that link it.  Documents come
 in parts of bounded size; each part lists its distinct pairs, the counts are
@@ -30,7 +33,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,10 @@ _ALIGNED = ("part long, doc_id long, n_a long, n_b long, n_groups long, n_links
             "pairs array<long>, times array<int>")
 ROWS = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 _CUT = re.compile(r"(?<=\S)(?= )")
+_LETTER, _MARK = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", r"[.,;:!?*$%&#]"
+#: Words that are cut into their letters, the marks after them, and a line break with the letters after it; and where.
+_PARTED = re.compile(rf"{_LETTER}+(?:{_MARK}*\n{_LETTER}+)*{_MARK}*")
+_BORDER = re.compile(rf"(?<={_LETTER})(?={_MARK}|\n)|(?<={_MARK})(?=\n)")
 B_BITS = 32
 
 
@@ -104,6 +111,8 @@ class PieceTokens:
         self._bytes = [self._decoded(i) for i in range(self._model.get_piece_size())]
         self._lengths = np.array([len(b) for b in self._bytes], "i8")
         self.size = len(self._bytes)
+        #: Whether no piece crosses a border, so that both sides of it are encoded alike apart.
+        self.cut_at_borders = not any(_BORDER.search(self._model.id_to_piece(i)) for i in range(self.size))
 
     def _decoded(self, i: int) -> bytes:
         piece = self._model.id_to_piece(i)
@@ -114,8 +123,8 @@ class PieceTokens:
         ids = [p.id for p in pieces]
         if b"".join([self._bytes[i] for i in ids]) != b" " + text.encode():
             return None
-        begins, ends = np.array([p.begin for p in pieces], "i8"), np.array([p.end for p in pieces], "i8")
-        cut = ends > begins                     # tokens without width share a character with the next, or are the space
+        ends = np.array([p.end for p in pieces], "i8")      # a piece begins where the one before it ends
+        cut = np.diff(ends, prepend=0) > 0      # tokens without width share a character with the next, or are the space
         ids = np.array(ids, "i8")
         found = refined(ends + 1, cut, self._lengths[ids])
         return None if found is None else (ids, found)
@@ -142,7 +151,8 @@ class Aligner:
     """Aligns words; ``entries`` bounds the words known, and a full cache starts anew.
 
     A word has a slot: its counts, its groups as text, and its links as pair keys.  Slot 0
-    is for words whose bytes do not come back.
+    is for words whose bytes do not come back.  A word of several parts has the negative
+    number of a run of slots, those of its letters and of its tails.
     """
 
     def __init__(self, vocabulary: str, model: str, entries: int = 700_000):
@@ -155,7 +165,8 @@ class Aligner:
 
     def _forget(self) -> None:
         self._slots: dict[str, int] = {}
-        self._texts, self._pairs = [""], _Pool()
+        self._tails: dict[str, int] = {}        # slots of marks, and of a line break with letters
+        self._texts, self._pairs, self._runs = [""], _Pool(), _Pool()
         self._numbers = [np.zeros((1, 3), "i8")]
 
     def align(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str, np.ndarray] | None]:
@@ -163,49 +174,89 @@ class Aligner:
         if len(self._slots) > self._entries:
             self._forget()
         cut = [text.split(" ") if text else [] for text in texts]
-        distinct = {w for words in cut for w in words}
+        distinct = set(chain.from_iterable(cut))
         loose = {w for w in distinct if not w or w[0].isspace()}
         if loose:
             for i, words in enumerate(cut):
                 if words and not loose.isdisjoint(words):
                     cut[i] = _words(texts[i])
-            distinct = {w for words in cut for w in words}
-        self._learn([w for w in distinct if w not in self._slots])
+            distinct = set(chain.from_iterable(cut))
+        self._learn(distinct.difference(self._slots))
         if len(self._numbers) > 1:
             self._numbers = [np.concatenate(self._numbers)]
         find, written = self._slots.__getitem__, self._texts.__getitem__
         for words in cut:
-            slots = list(map(find, words))
-            if not slots or 0 in slots:
+            at = np.fromiter(map(find, words), "i8", len(words))
+            if not at.all() or not len(at):
                 yield None
                 continue
-            at = np.array(slots)
-            yield self._numbers[0][at].sum(0), ";".join(map(written, slots)), self._pairs.gather(at)[0]
-
-    def _learn(self, new: list[str]) -> None:
-        together, alone = [], []
+            at = self._parts(at)
+            yield self._numbers[0].take(at, 0).sum(0), ";".join(map(written, at.tolist())), self._pairs.gather(at)[0]
+
+    def _parts(self, at: np.ndarray) -> np.ndarray:
+        """The slots with those of its parts in place of each run."""
+        run = at < 0
+        lengths = np.ones(len(at), "i8")
+        lengths[run] = self._runs.lengths[-at[run]]
+        out = np.repeat(at, lengths)
+        out[np.repeat(run, lengths)] = self._runs.gather(-at[run])[0]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        whole, parted = [], {}
         for word in new:
+            if self.b.cut_at_borders and not word.isalpha() and _PARTED.fullmatch(word):
+                parted[word] = _BORDER.split(word)
+            else:
+                whole.append(word)
+        whole += {parts[0] for parts in parted.values()}.difference(new, self._slots)
+        self._learn_whole(whole)
+        tails = sorted({tail for parts in parted.values() for tail in parts[1:]}.difference(self._tails))
+        for at in range(0, len(tails), _WORDS_PER_CALL):
+            # A letter before each tail: marks would join those of another tail, and the first text must be a word.
+            some = [x for tail in tails[at:at + _WORDS_PER_CALL] for x in (" a", tail)]
+            first = self._align(some)
+            self._tails.update(zip(some[1::2], range(first + 1, first + len(some), 2) if first else repeat(0)))
+        runs, lengths = [], []
+        for word, (head, *rest) in parted.items():
+            run = [self._slots[head], *map(self._tails.__getitem__, rest)]
+            if len(run) > 1 and min(run) > 0:
+                self._slots[word] = -len(self._runs.starts) - len(lengths)
+                runs += run
+                lengths.append(len(run))
+            elif word not in self._slots:
+                self._slots[word] = self._align([" " + word])
+        self._runs.add(np.array(runs, "i8"), np.array(lengths, "i8"))
+
+    def _learn_whole(self, words: list[str]) -> None:
+        together, alone = [], []
+        for word in words:
             (alone if not word or word[-1] == " " or word[0].isspace() or "\u2581" in word else together).append(word)
         for at in range(0, len(together), _WORDS_PER_CALL):
             some = together[at:at + _WORDS_PER_CALL]
-            if not self._align(some):
+            first = self._align([" " + word for word in some])
+            if first:
+                self._slots.update(zip(some, range(first, first + len(some))))
+            else:
                 alone += some
         for word in alone:
-            if not self._align([word]):
-                self._slots[word] = 0
+            self._slots[word] = self._align([" " + word])
+
+    def _align(self, words: list[str]) -> int:
+        """Aligns texts, the first of which begins with a space, in one call of each library.
 
-    def _align(self, words: list[str]) -> bool:
-        """Aligns words in one call of each library; False if the bytes do not come back."""
-        joined = " ".join(words)
-        a, b = self.a.spans(" " + joined), self.b.spans(joined)
+        Gives the slot of the first, the others follow; 0 if the bytes do not come back.
+        """
+        joined = "".join(words)
+        a, b = self.a.spans(joined), self.b.spans(joined[1:])
         if a is None or b is None or not len(a[1]) or not len(b[1]) or a[1][-1] != b[1][-1]:
-            return False
+            return 0
         (a_ids, a_ends), (b_ids, b_ends) = a, b
-        word_ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        word_ends = np.cumsum([len(w.encode()) for w in words])
         common = np.intersect1d(a_ends, b_ends, assume_unique=True)
         last_group = np.searchsorted(common, word_ends)
         if last_group[-1] >= len(common) or not np.array_equal(common[last_group], word_ends):
-            return False
+            return 0
         left, right = links(a_ends, b_ends)
         link_cuts = np.searchsorted(a_ends[left], word_ends, "right")
         first = len(self._texts)
@@ -222,8 +273,7 @@ class Aligner:
         ends = np.cumsum(self._widths[code])[np.searchsorted(place[order], 2 * last_group + 1, "right") - 1]
         text = "".join(map(self._written.__getitem__, code.tolist()))
         self._texts += [text[i:j - 1] for i, j in zip([0, *ends.tolist()], ends.tolist())]
-        self._slots.update(zip(words, range(first, len(self._texts))))
-        return True
+        return first
 
 
 def _words(text: str) -> list[str]:
