@@ -126,3 +126,20 @@ def test_empty_tables(none, corpus, spark):
     found = positions.contamination(docs, items.limit(0)).collect()
     assert len(found) == len(rows) and not any(r.hit or r["items"] for r in found)
     assert np.array_equal(positions.words(b"A\x00b-C9\xc3\xa9"), [b"a", b"b", b"c9\xc3\xa9"])
+
+
+def test_shards_are_answered_where_they_are_read(corpus, monkeypatch):
+    """No list is shuffled, a shard is one row, and row groups stay small however many shards a task writes."""
+    import pyarrow.parquet as pq
+    docs, rows, items = corpus
+    found = positions.contamination(docs, items)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(positions, "SHARD_DOCS", 2)
+    monkeypatch.setattr(positions, "ROW_GROUP", 2000)
+    some = next(positions._passes(positions.phrases(items)))
+    index = positions.stored(docs, positions._terms(some))
+    shards = [r.shard for r in index.select("shard").collect()]
+    assert len(set(shards)) == len(shards) >= len(rows) / 2
+    for path in {f.removeprefix("file://") for f in index.inputFiles()}:
+        written = pq.ParquetFile(path).metadata
+        assert max((written.row_group(i).num_rows for i in range(written.num_row_groups)), default=0) < 12

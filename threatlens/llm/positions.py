@@ -4,8 +4,10 @@ The index is partitioned by document: a shard holds some documents that one
 task reads (at most ``SHARD_DOCS``, or fewer with many words) and stores, for
 each term of the tests, the sorted places of that term among the words of the
 shard.  Places of different documents are ``GAP`` apart, so no phrase crosses
-two of them.  Shards are rows of a table in the shared folder, and each is
-answered by itself, so a lost executor costs the shards it was working on.
+two of them.  A shard is one row of a table in the shared folder and is answered
+where it is read, by itself: lists are never shuffled, and a lost executor costs
+the shards it was working on.  The table's row groups are bounded in bytes, so a
+task holds some shards at a time, however many it reads.
 
 A phrase is answered from its rarest term: the places of that term in the shard,
 less its offset in the phrase, are candidate beginnings, and the lists of the
@@ -37,16 +39,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threatlens import session
 from threatlens.llm import shared
 
 WINDOW = 10
 SHARD_DOCS, SHARD_WORDS = 1000, 1 << 20
+ROW_GROUP = 16 << 20    # bytes of shards that are written or read together
 GAP = 1 << 10           # more than any reach of a phrase; see ``_reach``
 MAX_TERMS = 1 << 21
 _SEED = 42
 _KEPT = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
-INDEX = "shard long, term long, places binary"
-_DIRECTORY = -1         # the "term" whose row lists the documents of a shard
+INDEX = "shard long, docs binary, terms binary, starts binary, places binary"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -73,7 +76,7 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def build(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """The index of ``docs`` for the given sorted term hashes: a row per shard and term, and one for its documents."""
+    """The index of ``docs`` for the given sorted term hashes: a row per shard."""
     known = {int(t): i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,34 +108,41 @@ def _shard(shard: int, doc_ids: pa.Array, ids: list[np.ndarray], counts: np.ndar
     place = at + np.repeat(base - np.cumsum(counts) + counts, counts)[at]
     order = np.argsort(flat[at], kind="stable")
     held, first = np.unique(flat[at][order], return_index=True)
-    lists = np.split(place[order].astype("<i4"), first[1:]) if len(held) else []
     directory = np.stack([np.asarray(doc_ids.is_null()).astype("<i8"), doc_ids.fill_null(0).cast(pa.int64()).to_numpy(), counts])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(held) + 1, shard)), pa.array(np.concatenate([[_DIRECTORY], terms[held]]).astype("i8")),
-         pa.array([directory.astype("<i8").tobytes(), *(x.tobytes() for x in lists)], pa.binary())],
-        ["shard", "term", "places"])
+    columns = [directory.astype("<i8"), terms[held].astype("<i8"), np.append(first, len(order)).astype("<i8"),
+               place[order].astype("<i4")]
+    return pa.RecordBatch.from_arrays([pa.array([shard]), *(pa.array([c.tobytes()], pa.binary()) for c in columns)],
+                                      ["shard", "docs", "terms", "starts", "places"])
+
+
+def stored(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+    """The index, written to the shared folder in row groups of about ``ROW_GROUP`` bytes, and read back."""
+    index = build(docs, terms)
+    path = session.fresh_path(docs.sparkSession, "positions")
+    index.write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size.row.check.min", 1).parquet(path)
+    return docs.sparkSession.read.schema(index.schema).parquet(path)
 
 
 class Shard:
-    """The lists of one shard."""
+    """The lists of one shard, a row of the index."""
 
-    def __init__(self, table: pa.Table):
-        rows = dict(zip(table["term"].to_pylist(), table["places"].to_pylist()))
-        self.no_id, self.doc_ids, self.counts = np.frombuffer(rows.pop(_DIRECTORY), "<i8").reshape(3, -1)
+    def __init__(self, row: dict):
+        self.no_id, self.doc_ids, self.counts = np.frombuffer(row["docs"], "<i8").reshape(3, -1)
         self.bases = np.cumsum(self.counts + GAP) - self.counts - GAP
-        self._rows, self._lists = rows, {}
+        self._place_of = {t: i for i, t in enumerate(np.frombuffer(row["terms"], "<i8").tolist())}
+        starts = np.frombuffer(row["starts"], "<i8")
+        self._starts, self._sizes = starts.tolist(), np.diff(starts).tolist()
+        self._places = np.frombuffer(row["places"], "<i4")
 
     def list_of(self, term: int) -> np.ndarray:
-        found = self._lists.get(term)
-        if found is None:
-            found = self._lists[term] = np.frombuffer(self._rows[term], "<i4")
-        return found
+        i = self._place_of[term]
+        return self._places[self._starts[i]:self._starts[i + 1]]
 
     def _by_rarity(self, terms: list[int]) -> list[int] | None:
         """Indices of the terms, those of the shortest lists first; None if one has no list."""
-        if any(t not in self._rows for t in terms):
+        if any(t not in self._place_of for t in terms):
             return None
-        return sorted(range(len(terms)), key=lambda i: len(self._rows[terms[i]]))
+        return sorted(range(len(terms)), key=lambda i: self._sizes[self._place_of[terms[i]]])
 
     def exact(self, terms: list[int]) -> np.ndarray:
         """Places where the phrase begins."""
@@ -184,12 +194,15 @@ def _passes(asked: DataFrame) -> Iterator[list[tuple]]:
     yield some
 
 
-def _grouped(index: DataFrame, answer: Callable[[Shard], pa.Table], schema: str) -> DataFrame:
-    """What each shard answers; shards are bounded."""
-    def run(table: pa.Table) -> pa.Table:
-        out = answer(Shard(table))
-        return out.append_column("shard", pa.array([table["shard"][0].as_py()] * out.num_rows, pa.int64()))
-    return index.groupBy("shard").applyInArrow(run, f"{schema}, shard long")
+def _answered(index: DataFrame, answer: Callable[[Shard], pa.Table], schema: str) -> DataFrame:
+    """What each shard answers, where it is read; shards are bounded."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                out = answer(Shard(row))
+                yield from out.append_column("shard", pa.array([row["shard"]] * out.num_rows, pa.int64())).to_batches()
+    return index.mapInArrow(run, f"{schema}, shard long")
 
 
 def _item_groups(some: list[tuple]) -> dict[tuple, list]:
@@ -210,15 +223,15 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, within: int
     With ``within``, proximity matches: ``first`` is a place of the phrase's rarest term in its shard that
     has each other term of the phrase at most so many words away, in any order.
     """
-    shared.prepare(docs.sparkSession)
+    shared.prepare_small(docs.sparkSession)
     kind = "string" if items.schema["item_id"].dataType.simpleString() == "string" else "bigint"
     out = None
     for some in _passes(shared.staged(phrases(items, window), "test-phrases")):
         _reach(some)
         asked = _item_groups(some)
-        index = shared.staged(build(docs, _terms(some)), "positions")
+        index = stored(docs, _terms(some))
 
-        found = _grouped(index, _matched(asked, within, kind), f"doc_id long, item_id {kind}, first long, length long").drop("shard")
+        found = _answered(index, _matched(asked, within, kind), f"doc_id long, item_id {kind}, first long, length long").drop("shard")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -247,14 +260,14 @@ ROWS = "doc long, doc_id long, n_words long, hit array<struct<first:long,length:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, the ranges of words that phrases hit (apart, in order), and the items found."""
-    shared.prepare(docs.sparkSession)
+    shared.prepare_small(docs.sparkSession)
     found = []
     for some in _passes(shared.staged(phrases(items, window), "test-phrases")):
         _reach(some)
         asked = {terms: [str(i) for i in item_ids if i is not None] for terms, item_ids in _item_groups(some).items()}
-        index = shared.staged(build(docs, _terms(some)), "positions")
+        index = stored(docs, _terms(some))
 
-        found.append(_grouped(index, _hit(asked), ROWS))
+        found.append(_answered(index, _hit(asked), ROWS))
     if len(found) == 1:
         return found[0].drop("shard", "doc")
     return _together(found)
