@@ -128,3 +128,26 @@ def test_children_lie_side_by_side():
     x = np.array([[-np.inf, 0.0], [0.5, 9.0], [1.0, -1.0], [1.0, -0.5], [np.nan, np.nan]])
     assert anomaly._total_length(x, [anomaly._steps(tree)]).tolist() == [2.0, 2.0, 2.0, 2.0, 2.0]
     assert sorted(length.tolist()) == sorted((tree["depth"] + np.array([anomaly.average_path(n) for n in tree["size"]])).tolist())
+
+
+def test_scaler_is_exact_for_wide_numbers(spark):
+    """Numbers of 2^31 and more and small ones, of either sign, and nulls; narrow features take no decimals."""
+    from fractions import Fraction
+    wide = [0, 1, 2**31 - 1, 2**31, 2**31 + 1, 987_654_321_987, 10**17, None]
+    narrow = [0, 5, -7, 2**31 - 1, -2**31, 3, 2**31 - 2, None]
+    rows = spark.createDataFrame([(None if a is None else float(a), None if b is None else float(b))
+                                  for a, b in zip(wide, narrow)], "f_bytes double, f_hour double")
+    scaler = anomaly.fit_scaler(rows, ("bytes", "hour"))
+    for values, mean, std in zip((wide, narrow), scaler.means, scaler.stds):
+        total, squares = sum(v or 0 for v in values), sum((v or 0) ** 2 for v in values)
+        assert mean == float(Fraction(total, 8))
+        assert std == float(Fraction(8 * squares - total * total, 64)) ** 0.5
+    seen = []
+    class Spy:
+        def agg(self, *columns):
+            seen.extend(str(c).lower() for c in columns)
+            return rows.agg(*columns)
+    anomaly.fit_scaler(Spy(), ("bytes", "hour"))
+    assert sum("decimal" in c for c in seen) == 2
+    empty = anomaly.fit_scaler(rows.limit(0), ("bytes", "hour"))
+    assert (empty.rows, empty.means, empty.stds) == (0, [0.0, 0.0], [1.0, 1.0])

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from threatlens import rules
-from threatlens.functions import text
+from threatlens.functions import lookup, text
 from threatlens.operators import anomaly, detect, parsers, reports
 from threatlens.plans import queries as catalogue
 from threatlens.sources import bridge
@@ -28,6 +28,19 @@ def test_a_line_is_matched_once_per_pass(spark):
     assert text.count("regexp_replace(value") == 1
 
 
+def test_a_classic_time_is_read_once(spark):
+    """The classic profile's filter on the time takes no copy of its parsing."""
+    entries = parsers.parse_nginx(bridge.access_lines(bridge.read_events(spark, SF)), "classic")
+    assert plan(entries.select("seq", "ts", "ip")).count("d/MMM/yyyy:H:m:s xx") == 1
+
+
+def test_method_codes_compare_names_first(spark):
+    rows = spark.createDataFrame([(m,) for m in ("GET", "get", "PATCH", "Patch", "HEAD", "TRACE", "", None)], "m string")
+    found = rows.select(lookup.method_code(F.col("m")).alias("a"), lookup.method_code(F.col("m"), "classic").alias("b"))
+    assert [tuple(r) for r in found.collect()] == [(0, 0), (5, 0), (5, 6), (5, 6), (4, 4), (5, 9), (5, 9), (5, 9)]
+    assert plan(found.select("a")).count("element_at") == 0
+
+
 def test_training_and_scoring_parse_lines_once(spark):
     for name in ("score_iforest", "join_scores"):
         text = plan(catalogue.QUERIES[name](spark, SF))

@@ -22,6 +22,7 @@ from threatlens.functions import lookup, text
 from threatlens.schemas import NODES
 
 MAX_SAMPLES = 256
+_WIDE = 1 << 31
 STRICT_FEATURES = ("status", "bytes", "path_length", "has_query", "method", "hour", "special_chars")
 CLASSIC_FEATURES = ("method", "status", "bytes", "path_length", "agent_length", "query_params",
                     "special_chars", "is_error", "is_server_error", "hour")
@@ -70,17 +71,27 @@ class Scaler:
 def fit_scaler(rows: DataFrame, names: tuple[str, ...]) -> Scaler:
     """Mean and population deviation of whole-number features; zero deviation becomes 1.
 
-    Sums are decimal, so the result does not depend on the order of rows.
+    Sums are of whole numbers, so the result does not depend on the order of rows: squares are summed
+    in two halves; numbers of 2^31 and more, which only ``bytes`` has, are summed as decimals.
     """
-    exact = {n: F.col(f"f_{n}").cast("decimal(18,0)") for n in names}
-    sums = rows.agg(
-        F.count("*").alias("n"),
-        *[F.sum(c).alias(f"s_{n}") for n, c in exact.items()],
-        *[F.sum((c * c).cast("decimal(38,0)")).alias(f"q_{n}") for n, c in exact.items()]).first()
+    found = [F.count("*").alias("n")]
+    for name in names:
+        value = F.col(f"f_{name}")
+        number = value.cast("long")
+        if name == "bytes":
+            wide = F.when(F.abs(value) >= _WIDE, value.cast("decimal(18,0)"))
+            number = F.when(F.abs(value) < _WIDE, number)
+            found += [F.sum(wide).alias("s_wide"), F.sum((wide * wide).cast("decimal(38,0)")).alias("q_wide")]
+        square = number * number
+        found += [F.sum(number).alias(f"s_{name}"), F.sum(F.shiftright(square, 32)).alias(f"h_{name}"),
+                  F.sum(square.bitwiseAND(F.lit((1 << 32) - 1))).alias(f"l_{name}")]
+    sums = {k: int(v or 0) for k, v in rows.agg(*found).first().asDict().items()}
     n = sums["n"]
     means, stds = [], []
     for name in names:
-        total, squares = int(sums[f"s_{name}"] or 0), int(sums[f"q_{name}"] or 0)
+        total, squares = sums[f"s_{name}"], (sums[f"h_{name}"] << 32) + sums[f"l_{name}"]
+        if name == "bytes":
+            total, squares = total + sums["s_wide"], squares + sums["q_wide"]
         means.append(float(Fraction(total, n)) if n else 0.0)
         variance = float(Fraction(n * squares - total * total, n * n)) if n else 0.0
         stds.append(math.sqrt(variance) or 1.0)

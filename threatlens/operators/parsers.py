@@ -49,13 +49,15 @@ def _or(c: Column, default: str) -> Column:
 
 def _access(lines: DataFrame, source: str, profile: str) -> DataFrame:
     g = F.col("g")
+    time = text.access_time(g[1])
     if profile == "strict":
         hit = _matched(lines, source, profile, rules.ACCESS_STRICT_LINE, 9)
         protocol, rest = text.strip(_or(g[4], "HTTP/1.1")), 5
         referrer, agent = _or(g[7], "-"), g[8]
     else:
         pattern = rules.NGINX_CLASSIC_LINE if source == "nginx" else rules.APACHE_CLASSIC_LINE
-        hit = _matched(lines, source, profile, pattern, 8)
+        hit = _matched(lines, source, profile, pattern, 8).withColumn("g_time", text.evaluated_once(time))
+        time = F.col("g_time")      # read by the filter below and by the entries
         protocol, rest = F.lit(""), 4
         referrer, agent = g[6], g[7]
         if source == "apache":
@@ -64,7 +66,7 @@ def _access(lines: DataFrame, source: str, profile: str) -> DataFrame:
     entries = hit.select(
         *_carried(lines),
         g[0].alias("ip"),
-        text.access_time(g[1]).alias("ts"),
+        time.alias("ts"),
         text.access_offset(g[1]).alias("ts_offset"),
         text.access_hour(g[1]).alias("ts_hour"),
         g[2].alias("method"),
